@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, sharding, source_mixing, token_blocks
+from . import fingerprints, ngram_join, sharding, source_mixing, token_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,11 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_tokens(spark, path)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are at least 75 % alike."""
+    return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of texts, edited texts and their likeness."""
     return fingerprints.compared_with_edit(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_ngram_join": op2_ngram_join,
     "op7_fingerprints": op7_fingerprints,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
