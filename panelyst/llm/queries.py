@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, sharding, source_mixing, token_blocks
+from . import fingerprints, lm_scoring, ngram_join, sharding, source_mixing, token_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,6 +36,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts under the interpolated model and under the base."""
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     taken = source_mixing.systematic_copies(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_ngram_join": op2_ngram_join,
     "op7_fingerprints": op7_fingerprints,
+    "op8_lm_scores": op8_lm_scores,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
 }
