@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm_scoring, ngram_join, sharding, source_mixing, token_blocks
+from . import decontamination, fingerprints, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, token_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, and where."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document against its language's threshold."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of texts, edited texts and their likeness."""
     return fingerprints.compared_with_edit(table(spark, sf_dir, "documents"))
@@ -63,6 +73,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_ngram_join": op2_ngram_join,
+    "op3_decontamination": op3_decontamination,
+    "op5_quality": op5_quality,
     "op7_fingerprints": op7_fingerprints,
     "op8_lm_scores": op8_lm_scores,
     "op9_mix_sources": op9_mix_sources,
