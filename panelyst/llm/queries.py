@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, token_blocks
+from . import decontamination, fingerprints, line_dedup, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, token_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +41,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without lines that came before, equal or within one edit."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.col("n_near").cast("long"), F.col("text").alias("kept_text"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of texts, edited texts and their likeness."""
     return fingerprints.compared_with_edit(table(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
     "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_lm_scores": op8_lm_scores,
     "op9_mix_sources": op9_mix_sources,
@@ -108,4 +115,22 @@ SELECT doc_id, size, source_size, target,
 FROM d
 """
 
-ORACLE_SQL = {"op9_mix_sources": OP9_SQL}
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, p[i] AS line, len(p) AS n_lines
+  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))),
+f AS (SELECT line, min(struct_pack(a := doc_id, b := line_no)) AS o FROM l WHERE trim(line) <> '' GROUP BY line),
+h AS (SELECT line, o, length(line) AS n FROM f WHERE length(line) >= 16),
+k AS (SELECT line, o, n, unnest(list_distinct([('P', n // 2, left(line, n // 2)), ('P', (n - 1) // 2, left(line, (n - 1) // 2)),
+                                 ('S', n // 2, right(line, n // 2)), ('S', (n - 1) // 2, right(line, (n - 1) // 2))])) AS key FROM h),
+near AS (SELECT DISTINCT x.line FROM k x JOIN k y ON x.key = y.key AND y.o < x.o AND abs(x.n - y.n) <= 1
+         WHERE levenshtein(x.line, y.line) <= 1),
+j AS (SELECT l.*, trim(l.line) <> '' AND (struct_pack(a := doc_id, b := line_no) <> f.o) AS again,
+             trim(l.line) <> '' AND near.line IS NOT NULL AS near
+      FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line)
+SELECT doc_id, max(n_lines) AS n_lines, count(*) FILTER (again OR near) AS n_removed, count(*) FILTER (near AND NOT again) AS n_near,
+       coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(again OR near, FALSE)), '') AS kept_text
+FROM j GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
