@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, line_dedup, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, token_blocks
+from . import decontamination, fingerprints, line_dedup, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, substring_dedup, token_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,6 +36,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each text without repeated strings of 400 bytes."""
+    out = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document against its language's threshold."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -80,6 +87,7 @@ QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
