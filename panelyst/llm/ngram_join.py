@@ -30,6 +30,9 @@ FREQUENT_MOST = 2_000_000
 SHARD_BYTES = 48 << 20
 #: Rows of a block; a tile has at most two blocks.
 BLOCK_ROWS = 2048
+#: Leaders that a group of tiles may have in a turn, and turns of leaders before all pairs of open tiles.
+LEADERS = 32
+TURNS = 3
 #: Up to so many ids go to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -149,10 +152,9 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int, shards: int) -> tup
 
 
 def tile_rows(docs: DataFrame, k: int, percent: int, shards: int, frequent) -> DataFrame:
-    """(key, node, n, pos, leader) of prefix rows whose shingle others have too.
+    """(key, node, n, pos, band) of prefix rows whose shingle others have too, and all rows of frequent ones.
 
-    Shards hold whole shingles, except frequent ones, which are spread over several by node. ``leader`` is the least
-    node of the same shingle and size band in the shard, if the pair passes the bound by positions.
+    Shards hold whole shingles, except frequent ones, which are spread over several by node.
     """
     spread = docs.sparkSession.sparkContext.broadcast(frequent)
     one_band = math.log((100 / percent))
@@ -208,54 +210,67 @@ def tile_rows(docs: DataFrame, k: int, percent: int, shards: int, frequent) -> D
             at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
             keep |= hot[at] == key
         key, node, n, pos, band = key[keep], node[keep], n[keep], pos[keep], band[keep]
-        head = np.ones(len(key), bool)
-        head[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.empty(0, np.int64)
-        fits = (node != node[lead]) & (np.minimum(n - pos, n[lead] - pos[lead]) >= least_overlap(n + n[lead], percent))
         return pa.table(
             {
                 "key": pa.array(textscan.signed(key)),
                 "node": pa.array(textscan.signed(node)),
                 "n": pa.array(n),
                 "pos": pa.array(pos),
-                "leader": pa.array(textscan.signed(node[lead]), mask=~fits),
+                "band": pa.array(band),
             }
         )
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, keys binary, nodes binary, ns binary, poss binary")
-    return sent.groupBy("shard").applyInArrow(meet, "key long, node long, n long, pos long, leader long")
+    return sent.groupBy("shard").applyInArrow(meet, "key long, node long, n long, pos long, band long")
 
 
-def cross_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows of one tile whose components differ and whose positions and sizes allow a link."""
-    joined = rows.join(roots.select("node", "root"), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with their components, of shingles that more than one component has; ``rows`` counts those of a shingle."""
+    joined = rows.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    open_ = joined.join(mixed.select("key", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
+    return joined.join(mixed.select("key", "rows"), "key")
+
+
+def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows of open tiles and a leader of each; tiles of like shingles choose alike, turns differ."""
+    lead = F.struct(F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn)).alias("by"), "node", "n", "pos", "root")
+    leaders = rows.groupBy("key", "band").agg(F.min(lead).alias("l"))
+    met = rows.join(leaders, ["key", "band"]).where("root <> l.root")
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("l.n")) / (100 + percent))
+    met = met.where(F.least(F.col("n") - F.col("pos"), F.col("l.n") - F.col("l.pos")) >= least)
+    return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def cross_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows of one tile whose components differ and whose sizes, positions and bits allow a link."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     tiles = (
-        open_.withColumn("block", own)
+        rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+        .withColumn("block", own)
+        .join(bitmaps, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root", "bitmap")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "n", "node")
     )
 
     def run(batches):
-        held = None
+        held, maps = None, []
         for batch in batches:
             table = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
             held = table if held is None else np.concatenate([held, table], axis=1)
+            maps += batch.column(8).to_pylist()
             same = np.all(held[:3] == held[:3, -1:], axis=0)
-            cut = int(np.argmax(same)) if same.any() else held.shape[1]
+            cut = int(np.argmax(same))
             if cut:
-                yield from pairs(held[:, :cut])
-                held = held[:, cut:]
+                yield from pairs(held[:, :cut], maps[:cut])
+                held, maps = held[:, cut:], maps[cut:]
         if held is not None and held.shape[1]:
-            yield from pairs(held)
+            yield from pairs(held, maps)
 
-    def pairs(t: np.ndarray):
+    def pairs(t: np.ndarray, maps: list[bytes]):
         key, lo, hi, block, n, pos, node, root = t
-        i, gap, found = np.arange(t.shape[1]), 0, []
+        i, gap, seen = np.arange(t.shape[1]), 0, {}
         while len(i):
             gap += 1
             i = i[i + gap < t.shape[1]]
@@ -263,24 +278,23 @@ def cross_pairs(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             near = (key[i] == key[j]) & (lo[i] == lo[j]) & (hi[i] == hi[j]) & (n[j] * percent <= n[i] * 100)
             i, j = i[near], j[near]
             ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i] + n[j], percent)
-            if ok.any():
-                found.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
-        if found:
-            u = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
+            least = least_overlap(n[i] + n[j], percent)
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+            for x, y, m in zip(i[ok].tolist(), j[ok].tolist(), least[ok].tolist(), strict=True):
+                pair = (int(min(node[x], node[y])), int(max(node[x], node[y])))
+                if pair not in seen:
+                    seen[pair] = overlap_bound(maps[x], maps[y], int(n[x]), int(n[y])) >= m
+        kept = [p for p, good in seen.items() if good]
+        if kept:
+            a, b = zip(*kept, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, profile: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links: bit counts first, then the sorted arrays."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = written(
-        profile.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "nodes"
-    )
-
     def sided(p: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
             p = p.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
@@ -335,12 +349,15 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(8, -(-size // SHARD_BYTES))
     rows = written(tile_rows(docs, k, percent, shards, frequent_shingles(docs, k, percent, shards)), "tiles")
-    led = rows.where("leader IS NOT NULL").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = verified(led, profile, docs, k, percent)
-    roots = written(components(links), "roots")
-    more = verified(cross_pairs(rows, roots, percent), profile, docs, k, percent)
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)), "roots")
+    nodes = written(profile.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), "nodes")
+    links, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    for turn in range(TURNS + 1):
+        open_ = open_rows(rows, roots)
+        found = star_pairs(open_, turn, percent) if turn < TURNS else cross_pairs(open_, nodes.select("node", "bitmap"), percent)
+        more = verified(found, nodes, docs, k, percent)
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            roots = written(components(links), "roots")
     placed = profile.where("node <> 0").join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
