@@ -197,24 +197,26 @@ def _none(keys: np.ndarray) -> np.ndarray:
     return np.zeros(len(keys), "<u2")
 
 
-def _judged(table: pa.Table, found: _Found, length: int):
+def _judged(table: pa.Table, found: _Found, length: int) -> list:
     """For each slice: (cut, values, offsets, scan, runs repeated throughout, runs whose windows are to be compared)."""
-    names, runs = _chunk_names(table, length)
-    k, _, repeated, _ = found.table(NAME, names, _none(names))
-    r, _, whole, chosen = found.table(RUN, runs, _none(runs))
+    slices = list(_scans(table, length))
+    names = [scan.names for *_, scan in slices]
+    runs = [scan.runs() for *_, scan in slices]
+    k, _, repeated, _ = found.table(NAME, all_names := np.concatenate(names), _none(all_names))
+    r, _, whole, chosen = found.table(RUN, all_runs := np.concatenate(runs), _none(all_runs))
     spoken = np.zeros(len(r), bool)  # one run of each kind speaks for all, if its chunk was chosen
-    for cut, values, offsets, scan in _scans(table, length):
-        own = scan.runs()
+    out = []
+    for (cut, values, offsets, scan), name, own in zip(slices, names, runs, strict=True):
         at = np.searchsorted(r, own)
-        alive = repeated[np.searchsorted(k, scan.names)] if len(own) else np.empty(0, bool)
-        full = whole[at] if len(own) else alive
-        first = np.zeros(len(own), bool)
+        alive, full, first = (np.zeros(len(own), bool) for _ in range(3))
         if len(own):
+            alive, full = repeated[np.searchsorted(k, name)], whole[at]
             _, where = np.unique(at, return_index=True)
             first[where] = True
             first &= ~spoken[at] & chosen[at]
             spoken[at] = True
-        yield cut, values, offsets, scan, full, np.flatnonzero(alive & (~full | first))
+        out.append((cut, values, offsets, scan, full, np.flatnonzero(alive & (~full | first))))
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -242,14 +244,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sent = rows.mapInArrow(send, "chunk long, rows binary")
 
-    def windows_of(table: pa.Table, found: _Found):
-        parts = [scan.windows(which)[1:] for *_, scan, _, which in _judged(table, found, length)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def joined(windows: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([w[1] for w in windows]), np.concatenate([w[2] for w in windows])
 
     def ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found, out = _Found(answers, shards), []
         for blob, name in zip(texts.column("rows"), texts.column("chunk").to_pylist(), strict=True):
-            out += _requests(name, WINDOW, *windows_of(unpack_rows(blob.as_py()), found), shards)
+            windows = [scan.windows(which) for *_, scan, _, which in _judged(unpack_rows(blob.as_py()), found, length)]
+            out += _requests(name, WINDOW, *joined(windows), shards)
         return pa.Table.from_batches([_request_batch(out)])
 
     asked = sent.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(ask_windows, REQUEST)
@@ -258,20 +260,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut_out(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found, out = _Found(answers, shards), []
         for blob in texts.column("rows"):
-            table = unpack_rows(blob.as_py())
-            k, c, repeated, _ = found.table(WINDOW, *windows_of(table, found))
+            judged = _judged(unpack_rows(blob.as_py()), found, length)
+            windows = [scan.windows(which) for *_, scan, _, which in judged]
+            k, c, repeated, _ = found.table(WINDOW, *joined(windows))
             both_keys = textscan.mix(k) + c
             order = np.argsort(both_keys)
             both_keys, again = both_keys[order], repeated[order]
-            for cut, values, offsets, scan, full, which in _judged(table, found, length):
+            for (cut, values, offsets, scan, full, _), (start, key, check) in zip(judged, windows, strict=True):
                 delta = np.zeros(len(values) + 1, np.int64)
                 delta[scan.first[full]] += 1
                 np.add.at(delta, scan.last[full] + length, -1)
-                start, key, check = scan.windows(which)
                 if len(start):
                     start = start[again[np.searchsorted(both_keys, textscan.mix(key) + check)]]
-                    np.add.at(delta, start, 1)
-                    np.add.at(delta, start + length, -1)
+                    delta[start] += 1  # starts differ
+                    delta[start + length] -= 1
                 gone = np.cumsum(delta[:-1]) > 0
                 out.append(_cut(cut, values, offsets, gone))
         return pa.concat_tables(out) if out else _OUT.empty_table()
