@@ -33,6 +33,8 @@ BLOCK_ROWS = 2048
 #: Leaders that a group of tiles may have in a turn, and turns of leaders before all pairs of open tiles.
 LEADERS = 32
 TURNS = 3
+#: First places of a prefix that a row carries to tell whose pair it is.
+HEADS = 12
 #: Up to so many ids go to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -68,8 +70,8 @@ def node_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap_of(s: np.ndarray) -> bytes:
-    """Bits s % size set, size a power of two from 2 to 4 times the number of elements, at least 64."""
-    size = max(64, 1 << math.ceil(math.log2(2 * max(1, len(s)))))
+    """Bits s % size set, size a power of two from 4 to 8 times the number of elements, at least 64."""
+    size = max(64, 1 << math.ceil(math.log2(4 * max(1, len(s)))))
     bits = np.zeros(size, np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -86,6 +88,25 @@ def overlap_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     return min(n_a - int(np.bitwise_count(x).sum()) + common, n_b - int(np.bitwise_count(y).sum()) + common)
 
 
+def overlap_bounds(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """overlap_bound of many pairs of rows at once."""
+    size = np.array([len(m) for m in maps])
+    out = np.empty(len(i), np.int64)
+    kinds = size[i] * (1 << 32) + size[j]
+    for kind in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == kind)
+        for part in (own[k : k + 8192] for k in range(0, len(own), 8192)):
+            x, y = (np.frombuffer(b"".join([maps[r] for r in side[part].tolist()]), np.uint8).reshape(len(part), -1) for side in (i, j))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+            ones = lambda m: np.bitwise_count(m).sum(axis=1, dtype=np.int64)
+            common = ones(x & y)
+            out[part] = np.minimum(n[i[part]] - ones(x), n[j[part]] - ones(y)) + common
+    return out
+
+
 # ------------------------------------------------------------------------------------------------- steps
 
 
@@ -241,36 +262,64 @@ def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def cross_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows of one tile whose components differ and whose sizes, positions and bits allow a link."""
+def first_keys(rows: DataFrame) -> DataFrame:
+    """(node, heads): the keys among a node's first HEADS places that others share, with their places."""
+    early = rows.where(F.col("pos") < HEADS).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("h"))
+    return early.select("node", F.transform("h", lambda x: x["pos"]).alias("head_pos"), F.transform("h", lambda x: x["key"]).alias("head_key"))
+
+
+def cross_pairs(rows: DataFrame, every: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows of one tile whose components differ and whose sizes, positions and bits allow a link.
+
+    A pair that meets in several tiles belongs to the first shingle that both have; tiles that can tell that an earlier
+    one exists leave it to that. ``every``: all tile rows, from which the first keys of each node come.
+    """
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    marked = bitmaps.join(first_keys(every), "node", "left")
     tiles = (
         rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
         .withColumn("block", own)
-        .join(bitmaps, "node")
+        .join(marked, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root", "bitmap")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root", "bitmap", "head_pos", "head_key")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "n", "node")
     )
 
     def run(batches):
-        held, maps = None, []
+        held, more = None, []
         for batch in batches:
             table = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
             held = table if held is None else np.concatenate([held, table], axis=1)
-            maps += batch.column(8).to_pylist()
+            more += zip(*(batch.column(i).to_pylist() for i in (8, 9, 10)), strict=True)
             same = np.all(held[:3] == held[:3, -1:], axis=0)
             cut = int(np.argmax(same))
             if cut:
-                yield from pairs(held[:, :cut], maps[:cut])
-                held, maps = held[:, cut:], maps[cut:]
+                yield from pairs(held[:, :cut], more[:cut])
+                held, more = held[:, cut:], more[cut:]
         if held is not None and held.shape[1]:
-            yield from pairs(held, maps)
+            yield from pairs(held, more)
 
-    def pairs(t: np.ndarray, maps: list[bytes]):
+    def pairs(t: np.ndarray, more: list):
         key, lo, hi, block, n, pos, node, root = t
-        i, gap, seen = np.arange(t.shape[1]), 0, {}
+        maps = [m[0] for m in more]
+        heads = np.zeros((t.shape[1], HEADS), np.int64)
+        filled = np.zeros((t.shape[1], HEADS), bool)
+        for r, (_, at, keys) in enumerate(more):
+            before = [k for p, k in zip(at or (), keys or (), strict=True) if p < pos[r]]
+            heads[r, : len(before)], filled[r, : len(before)] = before, True
+        found = []
+
+        def keep(i, j):
+            for part in range(0, len(i), 16384):
+                x, y = i[part : part + 16384], j[part : part + 16384]
+                met = (heads[x][:, :, None] == heads[y][:, None, :]) & filled[x][:, :, None] & filled[y][:, None, :]
+                mine = ~met.any(axis=(1, 2))
+                x, y = x[mine], y[mine]
+                good = overlap_bounds(maps, n, x, y) >= least_overlap(n[x] + n[y], percent)
+                found.append(np.stack([np.minimum(node[x[good]], node[y[good]]), np.maximum(node[x[good]], node[y[good]])], axis=1))
+
+        i, gap, waiting, count = np.arange(t.shape[1]), 0, [], 0
         while len(i):
             gap += 1
             i = i[i + gap < t.shape[1]]
@@ -278,16 +327,17 @@ def cross_pairs(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
             near = (key[i] == key[j]) & (lo[i] == lo[j]) & (hi[i] == hi[j]) & (n[j] * percent <= n[i] * 100)
             i, j = i[near], j[near]
             ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            least = least_overlap(n[i] + n[j], percent)
-            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
-            for x, y, m in zip(i[ok].tolist(), j[ok].tolist(), least[ok].tolist(), strict=True):
-                pair = (int(min(node[x], node[y])), int(max(node[x], node[y])))
-                if pair not in seen:
-                    seen[pair] = overlap_bound(maps[x], maps[y], int(n[x]), int(n[y])) >= m
-        kept = [p for p, good in seen.items() if good]
-        if kept:
-            a, b = zip(*kept, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i] + n[j], percent)
+            waiting.append((i[ok], j[ok]))
+            count += int(ok.sum())
+            if count > 200_000 or not len(i):
+                keep(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, count = [], 0
+        if waiting:
+            keep(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+        u = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
@@ -353,7 +403,7 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR
     links, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
     for turn in range(TURNS + 1):
         open_ = open_rows(rows, roots)
-        found = star_pairs(open_, turn, percent) if turn < TURNS else cross_pairs(open_, nodes.select("node", "bitmap"), percent)
+        found = star_pairs(open_, turn, percent) if turn < TURNS else cross_pairs(open_, rows, nodes.select("node", "bitmap"), percent)
         more = verified(found, nodes, docs, k, percent)
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
