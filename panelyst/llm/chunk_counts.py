@@ -15,7 +15,7 @@ import zstandard
 from . import textscan
 
 #: Text bytes of a chunk; one longer text makes a longer chunk.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
