@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each one of the numbered operators.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and gives a DataFrame, which run() writes into the shared folder and reads again as the
+next one's docs. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelyst.llm import decontamination, ngram_join, quality_classifier, source_mixing, token_blocks
+from panelyst.llm.common import written
+from panelyst.llm.queries import table, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; of rows with one doc_id, all stay or go by the worst of them."""
+    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
+    rejected = judged.where(~F.col("keep")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join, that with its smallest doc_id; repeated rows count once.
+
+    Documents without words are components of their own.
+    """
+    found = ngram_join.similar_components(docs)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_id"]), "left_semi")
+    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return known.unionByName(kept.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights: documents as often as the mix takes them."""
+    return source_mixing.mix_sources(docs).drop("copy_no")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token segments of the documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_blocks.read_tokens(spark, token_blocks.write_tokens(docs, tokenizer_path(), end_id=0))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokens),
+]
+
+#: SQL expresses neither the classifier, the decontamination nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
