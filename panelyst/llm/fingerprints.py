@@ -84,7 +84,8 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def successors(docs: DataFrame, per_bin: int = 1000) -> DataFrame:
-    """(doc_id, text, next_text): each document and the one after it in descending order of (doc_id, text), cyclically.
+    """(doc_id, text, bin, helper): documents dealt out so that with_successor() finds the one after each, in descending
+    order of (doc_id, text), cyclically.
 
     Bins of about ``per_bin`` rows between quantiles of doc_id (at most 10,000; on tables beyond that their rows grow)
     are ordered apart from each other. The upper bounds of the bins are ids of the table; rows that have such an id also
@@ -93,8 +94,6 @@ def successors(docs: DataFrame, per_bin: int = 1000) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     stats = base.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
-    if not stats["n"]:
-        return base.withColumn("next_text", F.lit(""))
     bins = max(1, min(10_000, stats["n"] // per_bin))
     bounds = []
     if bins > 1 and stats["top"] is not None:
