@@ -32,7 +32,7 @@ SHARD_BYTES = 48 << 20
 BLOCK_ROWS = 2048
 #: Leaders that a group of tiles may have in a turn, and turns of leaders before all pairs of open tiles.
 LEADERS = 32
-TURNS = 3
+TURNS = 2
 #: First places of a prefix that a row carries to tell whose pair it is.
 HEADS = 12
 #: Up to so many ids go to all executors (8 bytes each); more are joined by a shuffle.
@@ -268,40 +268,80 @@ def first_keys(rows: DataFrame) -> DataFrame:
     return early.select("node", F.transform("h", lambda x: x["pos"]).alias("head_pos"), F.transform("h", lambda x: x["key"]).alias("head_key"))
 
 
-def cross_pairs(rows: DataFrame, every: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows of one tile whose components differ and whose sizes, positions and bits allow a link.
-
-    A pair that meets in several tiles belongs to the first shingle that both have; tiles that can tell that an earlier
-    one exists leave it to that. ``every``: all tile rows, from which the first keys of each node come.
-    """
+def _tiles(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows dealt to tiles: of a shingle with many rows, each pair of blocks of nodes is one; sorted by size within a tile."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    marked = bitmaps.join(first_keys(every), "node", "left")
-    tiles = (
+    return (
         rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
         .withColumn("block", own)
-        .join(marked, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root", "bitmap", "head_pos", "head_key")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "pos", "node", "root", *extra)
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "n", "node")
     )
 
+
+def _whole_tiles(batches):
+    """(table of the first eight columns, rows of the others) with whole tiles alone; at most a batch and a tile are held."""
+    held, more = None, []
+    for batch in batches:
+        table = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
+        held = table if held is None else np.concatenate([held, table], axis=1)
+        if batch.num_columns > 8:
+            more += zip(*(batch.column(i).to_pylist() for i in range(8, batch.num_columns)), strict=True)
+        cut = int(np.argmax(np.all(held[:3] == held[:3, -1:], axis=0)))
+        if cut:
+            yield held[:, :cut], more[:cut]
+            held, more = held[:, cut:], more[cut:]
+    if held is not None and held.shape[1]:
+        yield held, more
+
+
+def _near_rows(t: np.ndarray, percent: int):
+    """Pairs of indices (i, j) of a tile whose components differ and whose sizes and positions allow a link."""
+    key, lo, hi, block, n, pos, _, root = t
+    i, gap = np.arange(t.shape[1]), 0
+    while len(i):
+        gap += 1
+        i = i[i + gap < t.shape[1]]
+        j = i + gap
+        near = (key[i] == key[j]) & (lo[i] == lo[j]) & (hi[i] == hi[j]) & (n[j] * percent <= n[i] * 100)
+        i, j = i[near], j[near]
+        ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+        ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i] + n[j], percent)
+        yield i[ok], j[ok]
+
+
+def promising(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that some other row of their tile may link with, with ``rows`` counted anew: most share a passage alone."""
+
     def run(batches):
-        held, more = None, []
-        for batch in batches:
-            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)])
-            held = table if held is None else np.concatenate([held, table], axis=1)
-            more += zip(*(batch.column(i).to_pylist() for i in (8, 9, 10)), strict=True)
-            same = np.all(held[:3] == held[:3, -1:], axis=0)
-            cut = int(np.argmax(same))
-            if cut:
-                yield from pairs(held[:, :cut], more[:cut])
-                held, more = held[:, cut:], more[cut:]
-        if held is not None and held.shape[1]:
-            yield from pairs(held, more)
+        for t, _ in _whole_tiles(batches):
+            mark = np.zeros(t.shape[1], bool)
+            for i, j in _near_rows(t, percent):
+                mark[i] = mark[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t[0][mark]), pa.array(t[6][mark])], ["key", "node"])
+
+    found = _tiles(rows, []).mapInArrow(run, "key long, node long")
+    kept = written(rows.drop("rows").join(found, ["key", "node"], "left_semi"), "promising")
+    return kept.join(kept.groupBy("key").agg(F.count("*").alias("rows")), "key")
+
+
+def cross_pairs(rows: DataFrame, every: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows of one tile whose components differ and whose sizes, positions and bits allow a link.
+
+    A pair that meets in several tiles belongs to the first shingle that both have; tiles that can tell that an earlier
+    one exists leave it to that. ``every``: all tile rows, from which the first keys of each node come.
+    """
+    marked = bitmaps.join(first_keys(every), "node", "left")
+    tiles = _tiles(promising(rows, percent).join(marked, "node"), ["bitmap", "head_pos", "head_key"])
+
+    def run(batches):
+        for t, more in _whole_tiles(batches):
+            yield from pairs(t, more)
 
     def pairs(t: np.ndarray, more: list):
-        key, lo, hi, block, n, pos, node, root = t
+        _, _, _, _, n, pos, node, _ = t
         maps = [m[0] for m in more]
         heads = np.zeros((t.shape[1], HEADS), np.int64)
         filled = np.zeros((t.shape[1], HEADS), bool)
@@ -319,21 +359,14 @@ def cross_pairs(rows: DataFrame, every: DataFrame, bitmaps: DataFrame, percent:
                 good = overlap_bounds(maps, n, x, y) >= least_overlap(n[x] + n[y], percent)
                 found.append(np.stack([np.minimum(node[x[good]], node[y[good]]), np.maximum(node[x[good]], node[y[good]])], axis=1))
 
-        i, gap, waiting, count = np.arange(t.shape[1]), 0, [], 0
-        while len(i):
-            gap += 1
-            i = i[i + gap < t.shape[1]]
-            j = i + gap
-            near = (key[i] == key[j]) & (lo[i] == lo[j]) & (hi[i] == hi[j]) & (n[j] * percent <= n[i] * 100)
-            i, j = i[near], j[near]
-            ok = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least_overlap(n[i] + n[j], percent)
-            waiting.append((i[ok], j[ok]))
-            count += int(ok.sum())
-            if count > 200_000 or not len(i):
+        waiting, count = [], 0
+        for i, j in _near_rows(t, percent):
+            waiting.append((i, j))
+            count += len(i)
+            if count > 200_000:
                 keep(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
                 waiting, count = [], 0
-        if waiting:
+        if count:
             keep(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
         u = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         if len(u):
