@@ -80,7 +80,7 @@ def _chunks(batches):
     for kind, batch in _split(batches):
         held[kind].append(batch)
         size[kind] += batch.nbytes
-        if size[kind] > 32 << 20:
+        if size[kind] > 16 << 20:
             for name, rows in chunks(held[kind]):
                 yield kind, name, rows
             held[kind], size[kind] = [], 0

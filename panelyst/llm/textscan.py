@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
