@@ -123,6 +123,18 @@ SELECT doc_id, size, source_size, target,
 FROM d
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT w.doc_id, count(g.g) AS n FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = n.doc_id
+"""
+
 OP6_SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line_no, p[i] AS line, len(p) AS n_lines
@@ -141,4 +153,4 @@ SELECT doc_id, max(n_lines) AS n_lines, count(*) FILTER (again OR near) AS n_rem
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
