@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ingredient_keys
-from ..functions.text import first_name_token, normalize_gtin, normalized_set, strip_norm
+from ..functions.text import first_name_token, normalize_gtin, normalize_name, normalized_set, strip_norm
 from ..functions.variants import variant_tokens
 
 #: Brand names and aliases are broadcast up to so many.
@@ -33,6 +33,8 @@ def prepared(items: DataFrame, brands: DataFrame) -> DataFrame:
     """Items with all that keys and features need, computed once an item rather than once a pair."""
     out = with_brand_key(items, brands)
     out = out.withColumn("gtin14", normalize_gtin(F.col("gtin"))).withColumn("token", first_name_token(F.col("name")))
+    norm = F.nullif(normalize_name(F.col("name")), F.lit(""))
+    out = out.withColumn("norm_name", norm).withColumn("name_words", F.array_distinct(F.split("norm_name", " ")))
     out = out.withColumn("ingredient_set", normalized_set(F.col("ingredients"))).withColumn("variants", variant_tokens(F.col("name")))
     return out.withColumn("keys", block_keys())
 

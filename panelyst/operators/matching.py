@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
-from ..functions.text import normalize_name, overlap_coefficient, sizes_equal
+from ..functions.text import overlap_coefficient, sizes_equal
 from ..functions.variants import variants_conflict
 from .blocking import blocked, candidate_pairs
 from .graph import connected
@@ -35,7 +35,7 @@ SHIPPED = Model(
 )
 HAND_WEIGHTS = [6.0, 2.0, 1.5, 2.5, 3.0, 1.0, -4.0]
 
-SIDE = ["name", "gtin14", "brand_key", "ingredients", "ingredient_set", "size_value", "size_unit", "variants"]
+SIDE = ["norm_name", "name_words", "gtin14", "brand_key", "ingredients", "ingredient_set", "size_value", "size_unit", "variants"]
 
 
 def sided(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -50,14 +50,12 @@ def with_features(pairs: DataFrame) -> DataFrame:
     A common barcode is TRUE or NULL, a variant conflict too: neither's absence says anything.
     """
     lhs, rhs = F.col("l"), F.col("r")
-    name_l, name_r = (F.nullif(normalize_name(x["name"]), F.lit("")) for x in (lhs, rhs))
-    both = name_l.isNotNull() & name_r.isNotNull()
-    words = lambda n: F.array_distinct(F.split(n, " "))
+    both = lhs["norm_name"].isNotNull() & rhs["norm_name"].isNotNull()
     enough = lambda x: (F.size(x["ingredients"]) >= LEAST_INGREDIENTS) & (F.size(x["ingredient_set"]) >= LEAST_INGREDIENTS)
     return (
         pairs.withColumn("gtin_exact", F.when(lhs["gtin14"] == rhs["gtin14"], F.lit(True)))
-        .withColumn("name_jaro_winkler", F.when(both, jaro_winkler(name_l, name_r)))
-        .withColumn("name_token_set", F.when(both, overlap_coefficient(words(name_l), words(name_r))))
+        .withColumn("name_jaro_winkler", F.when(both, jaro_winkler(lhs["norm_name"], rhs["norm_name"])))
+        .withColumn("name_token_set", F.when(both, overlap_coefficient(lhs["name_words"], rhs["name_words"])))
         .withColumn("brand_match", lhs["brand_key"] == rhs["brand_key"])
         .withColumn("ingredients_overlap", F.when(enough(lhs) & enough(rhs), overlap_coefficient(lhs["ingredient_set"], rhs["ingredient_set"])))
         .withColumn("size_match", sizes_equal(lhs["size_value"], F.nullif(lhs["size_unit"], F.lit("")), rhs["size_value"], F.nullif(rhs["size_unit"], F.lit(""))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, variants
-from ..operators import agreement, blocking, catalog, generic_names, matching, raters, scoring, training
+from ..operators import agreement, blocking, catalog, generic_names, graph, matching, raters, scoring, training
 from ..sources import pages as shop_pages
 from . import adapters as a
 
@@ -219,7 +219,8 @@ item AS (SELECT p.id, p.ord, p.display_name AS name, coalesce(x.brand_id, nullif
 
 
 def _prepared(spark, d):
-    return blocking.prepared(a.items(spark, d), a.brands(spark, d))
+    """The prepared catalog, written once: keys and variants are dear, and pairs read both sides several times."""
+    return graph.kept(blocking.prepared(a.items(spark, d), a.brands(spark, d)), "prepared")
 
 
 @registered("name_normalisation", f"""WITH {ITEMS} SELECT id, {NORM.format(x='name')} AS normalized, token, gtin14, brand_key FROM item""")
@@ -303,7 +304,7 @@ def clusters_by_code(spark, d):
 def resolve_sightings(spark, d):
     """Synthetic sightings of all products against the catalog; fine keys."""
     c = _prepared(spark, d)
-    seen = blocking.prepared(training.synthetic_sightings(a.items(spark, d)), a.brands(spark, d))
+    seen = graph.kept(blocking.prepared(training.synthetic_sightings(a.items(spark, d)), a.brands(spark, d)), "prepared")
     return matching.resolve(seen, c, fine_only=True).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
 
 
