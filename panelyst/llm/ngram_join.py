@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import components, written
+from .common import components, discard, written
 
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
@@ -416,8 +416,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    links = sided(left, items, ["items"]).mapInArrow(exact, "a long, b long").distinct()
-    return written(links, "links")
+    links = written(sided(left, items, ["items"]).mapInArrow(exact, "a long, b long").distinct(), "links")
+    for table in (pairs, left, ids, items):  # nothing reads them any more
+        discard(table)
+    return links
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -441,6 +443,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             roots = written(components(links), "roots")
+    for table in (rows, nodes):
+        discard(table)
     placed = profile.where("node <> 0").join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
