@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+#: Bytes whose words are hashed at a time, within a text too; 64-bit terms of more than this, or of one word, never exist at once.
+BLOCK_BYTES = 256 << 10
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,14 +110,20 @@ def word_bounds(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def word_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the word offsets of the documents."""
-    starts, _, docs = word_bounds(values, offsets)
-    if not len(starts):
-        return np.empty(0, np.uint64), docs
-    terms = _BYTE_LOWER[values]
-    terms *= powers(_BASE, len(values))
-    sums = np.add.reduceat(terms, starts)
-    sums *= powers(_INVERSE, len(values))[starts]
-    return mix(sums), docs
+    starts, ends, docs = word_bounds(values, offsets)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, first + BLOCK_BYTES)))
+        last = ends[to - 1]
+        terms = _BYTE_LOWER[values[first:last]]
+        terms *= powers(_BASE, last - first)
+        sums = np.add.reduceat(terms, starts[at:to] - first)
+        sums *= powers(_INVERSE, last - first)[starts[at:to] - first]
+        out[at:to] = mix(sums)
+        at = to
+    return out, docs
 
 
 def hash_word(word: bytes) -> int:
