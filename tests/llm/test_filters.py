@@ -5,6 +5,7 @@ import pytest
 
 from panelyst.llm import decontamination as dc
 from panelyst.llm import quality_classifier as qc
+from panelyst.llm import textscan
 
 from ..conftest import DATA
 from .helpers import empty, odd
@@ -127,3 +128,22 @@ def test_codes(order):
     got = qc.codes(values, np.array([0, 3, 5]), order)
     first = qc._SYMBOL[ord("a")]
     assert got[0] == got[3] == first and (order == 1 or got[1] == (int(first) << 7 | int(qc._SYMBOL[ord("b")])))
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(40))).encode() for _ in range(60)] + [b"", b"x" * 90, b""]
+    values, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    grams, words = qc.codes(values, offsets), textscan.word_hashes(values, offsets)
+    monkeypatch.setattr(qc, "BLOCK", 7)
+    monkeypatch.setattr(textscan, "BLOCK_BYTES", 7)
+    assert (np.concatenate([g for _, _, g in qc.code_blocks(values, offsets)]) == grams).all()
+    assert all((a == b).all() for a, b in zip(textscan.word_hashes(values, offsets), words, strict=True))
+
+
+def test_copies_of_the_model_change_nothing(spark, monkeypatch):
+    docs = odd(spark)
+    model = qc.train(docs.limit(20).select("text"))
+    once = sorted(map(repr, qc.perplexities(docs, model).collect()))
+    monkeypatch.setattr(qc, "COPY_BYTES", 1 + docs.selectExpr("sum(octet_length(text))").first()[0] // 3)
+    assert sorted(map(repr, qc.perplexities(docs, model).collect())) == once
