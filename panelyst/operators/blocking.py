@@ -12,6 +12,8 @@ from ..functions.variants import variant_tokens
 
 #: Brand names and aliases are broadcast up to so many.
 BROADCAST_ALIASES = 200_000
+#: Rows of a tile's side; a key with more is dealt to several tiles.
+TILE_ROWS = 1024
 
 
 def brand_aliases(brands: DataFrame) -> DataFrame:
@@ -56,18 +58,48 @@ def keyed(items: DataFrame, fine_only: bool = False) -> DataFrame:
     return rows.where(~F.col("key").startswith("brand:")) if fine_only else rows
 
 
-def candidate_pairs(items: DataFrame, fine_only: bool = False) -> DataFrame:
-    """(a, b, via) of items that share a key, a < b; via is the key that came up first, by the item that brought it."""
-    rows = keyed(items, fine_only)
-    first = rows.groupBy("key").agg(F.min(F.struct("ord", "key_ord")).alias("since"))
-    met = rows.select("key", F.col("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").where("a < b")
-    return met.join(first, "key").groupBy("a", "b").agg(F.min_by("key", "since").alias("via"))
+def brand_word_keyed(items: DataFrame) -> DataFrame:
+    """(key, id, word): one row for each word of the name of an item with a brand; key is that of its whole brand."""
+    return items.where("brand_key IS NOT NULL").select(F.concat(F.lit("brand:"), F.col("brand_key")).alias("key"), "id", F.explode("name_words").alias("word"))
 
 
-def blocked(items: DataFrame, catalog: DataFrame, fine_only: bool = False) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """(on, a, b): all pairs of ids of two tables (on, id) with equal keys. A key with many rows on a side is dealt to tiles, by
+    blocks of ids of both sides, so that no task takes a whole bucket."""
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*on).agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias(name))
+
+    each = blocks(left, "ls").join(blocks(right, "rs"), on)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(each, on).select(*on, F.col("id").alias("a"), block("ls").alias("_l"), upto("rs").alias("_r"))
+    b = right.join(each, on).select(*on, F.col("id").alias("b"), block("rs").alias("_r"), upto("ls").alias("_l"))
+    return a.join(b, [*on, "_l", "_r"]).select(*on, "a", "b")
+
+
+def _meetings(left: DataFrame, right: DataFrame, fine_only: bool, brand_words: bool) -> DataFrame:
+    """(key, a, b) of every key that two items share; with ``brand_words`` items of one brand also need a common name word."""
+    side = lambda items: keyed(items, fine_only or brand_words).select("key", "id")
+    pairs = met(side(left), side(right), ["key"])
+    if brand_words and not fine_only:
+        pairs = pairs.unionByName(met(brand_word_keyed(left), brand_word_keyed(right), ["key", "word"]).drop("word"))
+    return pairs
+
+
+def candidate_pairs(items: DataFrame, fine_only: bool = False, brand_words: bool = False) -> DataFrame:
+    """(a, b, via) of items that share a key, a < b; via is the key that came up first, by the item that brought it.
+
+    ``brand_words`` leaves out pairs that share their brand alone, without barcode, name word or ingredient band.
+    """
+    first = keyed(items, fine_only).groupBy("key").agg(F.min(F.struct("ord", "key_ord")).alias("since"))
+    pairs = _meetings(items, items, fine_only, brand_words).where("a < b")
+    return pairs.join(first, "key").groupBy("a", "b").agg(F.min_by("key", "since").alias("via"))
+
+
+def blocked(items: DataFrame, catalog: DataFrame, fine_only: bool = False, brand_words: bool = False) -> DataFrame:
     """(id, entry_id): distinct entries of the catalog that share a key with an item; items without keys have none."""
-    left, right = keyed(items, fine_only), keyed(catalog, fine_only)
-    return left.select("id", "key").join(right.select("key", F.col("id").alias("entry_id")), "key").select("id", "entry_id").distinct()
+    return _meetings(items, catalog, fine_only, brand_words).select(F.col("a").alias("id"), F.col("b").alias("entry_id")).distinct()
 
 
 def same_block_others(catalog: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,6 +86,20 @@ def probability(model: Model = SHIPPED) -> Column:
     return sigmoid(z + F.lit(model.bias))
 
 
+def brand_alone_most(model: Model = SHIPPED) -> float:
+    """The highest probability of a pair of one brand without common barcode or name word, whatever else agrees or is absent."""
+    w = dict(zip(FEATURES, zip(model.weights[::2], model.weights[1::2], strict=True), strict=True))
+    most = lambda f: max(0.0, w[f][0]) + w[f][1]
+    names = w["name_token_set"][1] + most("name_jaro_winkler")
+    z = model.bias + sum(w["brand_match"]) + max(0.0, names) + max(0.0, most("ingredients_overlap")) + max(0.0, most("size_match")) + max(0.0, sum(w["variant_conflict"]))
+    return 1 / (1 + math.exp(-z))
+
+
+def brand_words_suffice(model: Model) -> bool:
+    """Whether brands need to meet by name words only: pairs that this leaves out stay below the threshold."""
+    return brand_alone_most(model) < model.threshold
+
+
 def vector_probability(vector: Column, model: Model) -> Column:
     return sigmoid(sum((vector[i] * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(0.0)) + F.lit(model.bias))
 
@@ -122,7 +137,8 @@ def resolve(items: DataFrame, catalog: DataFrame, model: Model = SHIPPED, fine_o
     of any other product comes within 0.04.
     """
     entries = catalog.select(F.col("id").alias("entry_id"), "product_id", F.col("ord").alias("entry_ord"))
-    scored = with_features(sided(blocked(items, catalog, fine_only).withColumnRenamed("id", "a").withColumnRenamed("entry_id", "b"), items, catalog))
+    # the same hits as by whole brands, without their quadratic buckets
+    scored = with_features(sided(blocked(items, catalog, fine_only, brand_words_suffice(model)).withColumnRenamed("id", "a").withColumnRenamed("entry_id", "b"), items, catalog))
     hits = scored.withColumn("score", probability(model)).where(F.col("score") >= model.threshold).select(F.col("a").alias("id"), F.col("b").alias("entry_id"), "score").join(entries, "entry_id")
     # the best of each product first: partial aggregation, so that popular items don't gather all their hits in a window
     by_product = hits.groupBy("id", "product_id").agg(F.max_by(F.struct("entry_id", "score", "entry_ord"), F.struct("score", -F.col("entry_ord"))).alias("h"))

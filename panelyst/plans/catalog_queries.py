@@ -302,10 +302,10 @@ def clusters_by_code(spark, d):
 
 @registered("resolve_sightings")
 def resolve_sightings(spark, d):
-    """Synthetic sightings of all products against the catalog; fine keys."""
+    """Synthetic sightings of all products against the catalog, over all keys."""
     c = _prepared(spark, d)
     seen = graph.kept(blocking.prepared(training.synthetic_sightings(a.items(spark, d)), a.brands(spark, d)), "prepared")
-    return matching.resolve(seen, c, fine_only=True).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
+    return matching.resolve(seen, c).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
 
 
 @registered("pair_scores")

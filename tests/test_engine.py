@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from panelyst.operators import agreement, blocking, catalog, generic_names, graph, matching, raters, scoring, training
 
+from .conftest import DATA
+
 SOURCES = [
     ("low", "Low", "ingredient_safety", 1.0, 10.0, "lower_is_better", "nonprofit"),
     ("high", "High", "ingredient_safety", 0.0, 100.0, "higher_is_better", "ad_supported"),
@@ -205,3 +207,29 @@ def test_catalog_reads(spark, rated):
     events = spark.createDataFrame([(1, f"i{i % 30}", i) for i in range(90)], "user_id int, item string, ts int")
     s = catalog.shelf(events).orderBy("place").collect()
     assert len(s) == 24 and s[0].item == "i29" and s[0].last_seen == 89
+
+
+def test_registered_sightings_resolve_over_all_keys(spark, monkeypatch):
+    from panelyst.plans import adapters
+    from panelyst.plans.catalog_queries import QUERIES
+
+    monkeypatch.setattr(blocking, "TILE_ROWS", 3)
+    c = blocking.prepared(adapters.items(spark, DATA), adapters.brands(spark, DATA)).cache()
+    seen = blocking.prepared(training.synthetic_sightings(adapters.items(spark, DATA)), adapters.brands(spark, DATA)).cache()
+    keys = c.select(F.col("id").alias("b"), F.col("keys").alias("o_keys"))
+    pairs = seen.select(F.col("id").alias("a"), "keys").join(keys, F.arrays_overlap("keys", "o_keys")).select("a", "b")
+    scored = matching.with_features(matching.sided(pairs, seen, c)).withColumn("p", matching.probability()).where(F.col("p") >= matching.SHIPPED.threshold)
+    hits = {}
+    for r in scored.join(c.select(F.col("id").alias("b"), "ord"), "b").select("a", "b", "p", "ord").collect():
+        hits.setdefault(r.a, []).append((-r.p, r.ord, r.b))
+    want = {}
+    for a, h in hits.items():
+        h.sort()
+        want[a] = (h[0][2], round(-h[0][0], 6), len(h) > 1 and h[1][0] - h[0][0] < matching.AMBIGUITY)
+    assert {r.id: (r.product_id, r.confidence, r.ambiguous) for r in QUERIES["resolve_sightings"](spark, DATA).collect()} == want
+    assert len(want) > 0.9 * c.count()
+
+
+def test_pairs_of_a_brand_alone_stay_below_the_threshold():
+    assert matching.brand_alone_most() == pytest.approx(0.329, abs=1e-3) and matching.brand_words_suffice(matching.SHIPPED)
+    assert not matching.brand_words_suffice(matching.Model(matching.SHIPPED.weights, 5.0, 0.5))
