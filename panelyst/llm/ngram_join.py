@@ -392,7 +392,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
     left = written(sided(pairs, nodes, ["n", "bitmap"]).mapInArrow(bounded, "a long, b long"), "bounded")
     need = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    ids = written(nodes.join(need, "node", "left_semi").select("doc_id").distinct(), "ids")
+    wanted = nodes.join(need, "node", "left_semi")
+    ids = written(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct(), "ids")
+    nameless = written(wanted.where("doc_id IS NULL").select("node"), "nameless")  # sets that only rows without an id have
 
     def arrays(batches):
         for batch in batches:
@@ -401,7 +403,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.select("doc_id", "text").join(some, "doc_id", "left_semi")
-    items = written(chosen.mapInArrow(arrays, "node long, items binary").where("node <> 0"), "items", compression="none")
+    found = chosen.mapInArrow(arrays, "node long, items binary").where("node <> 0")
+    if not nameless.isEmpty():
+        rest = docs.select("doc_id", "text").where("doc_id IS NULL").mapInArrow(arrays, "node long, items binary")
+        # one row for each set: any number of rows without an id may have it
+        found = found.unionByName(rest.join(nameless, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items")))
+    items = written(found, "items", compression="none")
 
     def exact(batches):
         for batch in batches:
@@ -417,7 +424,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     links = written(sided(left, items, ["items"]).mapInArrow(exact, "a long, b long").distinct(), "links")
-    for table in (pairs, left, ids, items):  # nothing reads them any more
+    for table in (pairs, left, ids, nameless, items):  # nothing reads them any more
         discard(table)
     return links
 

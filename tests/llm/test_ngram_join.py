@@ -59,6 +59,22 @@ def test_near_copies_by_brute_force(spark, monkeypatch):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_near_copies_without_ids(spark):
+    base = [f"v{i}" for i in range(60)]
+    near = lambda i: " ".join([*base, f"end{i}"])
+    # both sides without an id, twice each; then a chain of three whose middle alone lacks one
+    lone = [(None, near(i)) for i in (0, 0, 1, 1)]
+    u = [f"u{i}" for i in range(60)]
+    chain = [(7, " ".join(u)), (None, " ".join(u[6:] + [f"x{i}" for i in range(6)])), (9, " ".join(u[12:] + [f"x{i}" for i in range(12)]))]
+    rows = [*lone, *chain, (11, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(spark, df)
+    by = {r.doc_id: r.component_id for r in nj.similar_components(df).collect() if r.doc_id is not None}
+    assert by == {7: 7, 9: 7, 11: 11}
+    # nodes without any id link with each other and with those of an id
+    check(spark, spark.createDataFrame([*lone, (5, near(2))], "doc_id long, text string"))
+
+
 def test_bounds_never_fall_below_the_overlap():
     rng = np.random.default_rng(0)
     maps, n, sets = [], [], []
