@@ -113,14 +113,17 @@ def hand_score() -> Column:
     return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(0.0))
 
 
-def scored_pairs(items: DataFrame, model: Model = SHIPPED, fine_only: bool = False) -> DataFrame:
+def scored_pairs(items: DataFrame, model: Model = SHIPPED, fine_only: bool = False, brand_words: bool = False) -> DataFrame:
     """(a, b, via, features, score) of all candidate pairs of prepared items."""
-    return with_features(sided(candidate_pairs(items, fine_only), items, items)).withColumn("score", probability(model)).drop("l", "r")
+    return with_features(sided(candidate_pairs(items, fine_only, brand_words), items, items)).withColumn("score", probability(model)).drop("l", "r")
 
 
-def cluster_listings(items: DataFrame, model: Model = SHIPPED, fine_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster_id), scored pairs): single-link clusters over pairs at or above the threshold; singletons stay."""
-    scored = scored_pairs(items, model, fine_only)
+def cluster_listings(items: DataFrame, model: Model = SHIPPED, fine_only: bool = False, brand_words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((id, cluster_id), scored pairs): single-link clusters over pairs at or above the threshold; singletons stay.
+
+    Where brand_words_suffice, ``brand_words`` gives the same clusters and leaves pairs below the threshold out of the scored ones.
+    """
+    scored = scored_pairs(items, model, fine_only, brand_words)
     return clusters(items.select("id"), scored.where(F.col("score") >= model.threshold)), scored
 
 

@@ -283,6 +283,19 @@ def candidate_pairs(spark, d):
     return blocking.candidate_pairs(_prepared(spark, d), fine_only=True).select("a", "b")
 
 
+@registered("all_candidate_pairs", f"""WITH {KEYED}, every AS (SELECT * FROM keyed UNION ALL SELECT id, 'brand:' || brand_key AS key FROM item WHERE brand_key IS NOT NULL)
+SELECT DISTINCT x.id AS a, y.id AS b FROM every x JOIN every y ON x.key = y.key AND x.id < y.id""")
+def all_candidate_pairs(spark, d):
+    """All keys, whole brands too: the result itself grows with the square of a brand."""
+    return blocking.candidate_pairs(_prepared(spark, d)).select("a", "b")
+
+
+@registered("cluster_listings")
+def cluster_listings(spark, d):
+    """Clusters of the catalog by the matcher, over all keys; brands meet by name words, which finds the same links."""
+    return matching.cluster_listings(_prepared(spark, d), brand_words=matching.brand_words_suffice(matching.SHIPPED))[0]
+
+
 @registered("clusters_by_code", f"""WITH RECURSIVE {a.PRODUCT}, g AS (SELECT id, {GTIN} AS k FROM product), h AS (SELECT id, k, min(id) OVER (PARTITION BY k) AS head FROM g WHERE k IS NOT NULL),
 s AS (SELECT id, display_name || '|' || CAST(size_value AS BIGINT) || '|' || brand_id AS k FROM product), sh AS (SELECT id, min(id) OVER (PARTITION BY k) AS head FROM s),
 e AS (SELECT id AS a, head AS b FROM h UNION SELECT head, id FROM h UNION SELECT id, head FROM sh UNION SELECT head, id FROM sh),
@@ -310,8 +323,8 @@ def resolve_sightings(spark, d):
 
 @registered("pair_scores")
 def pair_scores(spark, d):
-    """Features, model score and hand score of all fine candidate pairs."""
-    out = matching.scored_pairs(_prepared(spark, d), fine_only=True).withColumn("hand", matching.hand_score())
+    """Features, model score and hand score of all candidate pairs, over all keys."""
+    out = matching.scored_pairs(_prepared(spark, d)).withColumn("hand", matching.hand_score())
     return out.select("a", "b", *[F.col(f).cast("double").alias(f) for f in matching.FEATURES], r6("score").alias("score"), r6("hand").alias("hand"))
 
 

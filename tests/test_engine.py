@@ -233,3 +233,21 @@ def test_registered_sightings_resolve_over_all_keys(spark, monkeypatch):
 def test_pairs_of_a_brand_alone_stay_below_the_threshold():
     assert matching.brand_alone_most() == pytest.approx(0.329, abs=1e-3) and matching.brand_words_suffice(matching.SHIPPED)
     assert not matching.brand_words_suffice(matching.Model(matching.SHIPPED.weights, 5.0, 0.5))
+
+
+def test_registered_pairs_and_clusters_over_all_keys(spark, monkeypatch):
+    from panelyst.plans import adapters
+    from panelyst.plans.catalog_queries import QUERIES
+
+    monkeypatch.setattr(blocking, "TILE_ROWS", 3)
+    rows = blocking.prepared(adapters.items(spark, DATA), adapters.brands(spark, DATA)).select("id", "keys").collect()
+    keys = {r.id: set(r["keys"]) for r in rows}
+    want = {(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    scored = QUERIES["pair_scores"](spark, DATA).select("a", "b", "score").collect()
+    assert len(scored) == len(want) and {(r.a, r.b) for r in scored} == want
+    root = {i: i for i in keys}
+    for r in scored:
+        if r.score >= matching.SHIPPED.threshold and root[r.a] != root[r.b]:
+            lo, hi = sorted((root[r.a], root[r.b]))
+            root = {i: lo if x == hi else x for i, x in root.items()}
+    assert {r.id: r.cluster_id for r in QUERIES["cluster_listings"](spark, DATA).collect()} == root
