@@ -79,7 +79,7 @@ def test_model_by_brute_force(spark):
 
     def p(g, k):
         if k == 0:
-            return 1 / 128
+            return 1 / (1 << qc.BITS)
         g &= qc.mask(k)
         c = counts[k]
         d = qc.discounts(*[sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])
@@ -98,7 +98,7 @@ def test_model_by_brute_force(spark):
     asked = np.unique(np.concatenate([np.array(list(counts[3]), np.uint64), qc.codes(np.frombuffer(b"zzabcab ca", np.uint8), np.array([0, 10]), 3)]))
     got = qc.resolve(asked, tables, order)
     assert np.allclose(got, [np.log2(p(int(g), order)) for g in asked])
-    symbols = np.array([(int(asked[5]) >> 7 << 7) | s for s in range(128)], np.uint64)
+    symbols = np.array([(int(asked[5]) >> qc.BITS << qc.BITS) | s for s in range(1 << qc.BITS)], np.uint64)
     assert np.isclose(np.exp2(qc.resolve(symbols, tables, order)).sum(), 1)
 
 
@@ -126,8 +126,8 @@ def test_odd_rows(spark):
 def test_codes(order):
     values = np.frombuffer(b"abcab", np.uint8)
     got = qc.codes(values, np.array([0, 3, 5]), order)
-    first = qc._SYMBOL[ord("a")]
-    assert got[0] == got[3] == first and (order == 1 or got[1] == (int(first) << 7 | int(qc._SYMBOL[ord("b")])))
+    assert got[0] == got[3] == ord("a") and (order == 1 or got[1] == int.from_bytes(b"ab"))
+    assert got[2] == int.from_bytes(b"abc"[-order:]) and got[4] == int.from_bytes(b"ab"[-order:])
 
 
 def test_blocks_change_nothing(monkeypatch):
