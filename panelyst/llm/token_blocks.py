@@ -102,6 +102,7 @@ def decode_blocks(data: bytes, first: int = 0, last: int | None = None) -> np.nd
         at += many * np.dtype(kind).itemsize
     low, width, count, start, pos, value = parts
     last = blocks if last is None else min(last, blocks)
+    first = min(first, last)
     packed = np.frombuffer(data, np.uint8, offset=at)
     over = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width[first:last]).tolist():
