@@ -16,8 +16,6 @@ from .common import written
 
 #: Characters of a block.
 BLOCK = 64
-#: Shorter lines go only if they are equal to an earlier one.
-NEAR_LEAST = 16
 #: Up to so many lines (16 bytes each) are looked up by a broadcast; more by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -41,7 +39,7 @@ def _half_keys(line: Column, n: Column) -> Column:
     keys = []
     for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
         keys += [F.xxhash64(_L("first"), half, F.left(line, half)), F.xxhash64(_L("last"), half, F.right(line, half))]
-    return F.when(n >= NEAR_LEAST, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.array(*keys))
 
 
 def _blocks(line: Column, n: Column) -> Column:
@@ -117,22 +115,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text less its removed lines, and n_lines, n_removed, n_near (columns of these names are replaced).
 
     Lines are parted by U+000A. Documents stand in ascending order of doc_id, null ids last, then of a hash of the text.
-    A line goes if an earlier line, of this document or another, equals it, or is within one edit if both have at
-    least NEAR_LEAST characters; that the earlier one goes too doesn't matter. Lines of blanks stay and are compared with
+    A line goes if an earlier line, of this document or another, equals it or is within one edit; that the earlier one goes
+    too doesn't matter. Lines of blanks stay and are compared with
     none. A null text stays null and counts as one blank line. Rows equal in doc_id and text are one document and lose
     the same lines. An empty table gives none. Equality of lines is that of 128-bit hashes.
     """
     docs = docs.drop("n_lines", "n_removed", "n_near")
-    lost = line_removals(docs).select(F.col("doc.id").alias("_id"), F.col("doc.hash").alias("_hash"), "removed", F.col("n_near").alias("_near"))
-    base = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", _L(""))))
-    joined = base.join(lost, base["doc_id"].eqNullSafe(lost["_id"]) & (base["_text_hash"] == lost["_hash"]), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = {c: F.col(c) for c in docs.columns}
-    out["text"] = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    # the row is one struct, so that its columns' names meet none of these
+    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", _L(""))).alias("hash")).alias("b")
+    lost = line_removals(docs).alias("l")
+    joined = base.join(lost, F.expr("b.id <=> l.doc.id AND b.hash = l.doc.hash"), "left")
+    row, removed = F.col("row"), F.col("l.removed")
+    parts = F.split(row["text"], "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(removed, i)), "\n")
+    out = {c: row[c] for c in docs.columns}
+    out["text"] = F.when(removed.isNull(), row["text"]).otherwise(kept)
     return joined.select(
         *[c.alias(k) for k, c in out.items()],
         F.coalesce(F.size(parts), _L(1)).alias("n_lines"),
-        F.coalesce(F.size("removed"), _L(0)).alias("n_removed"),
-        F.coalesce("_near", _L(0)).alias("n_near"),
+        F.coalesce(F.size(removed), _L(0)).alias("n_removed"),
+        F.coalesce("l.n_near", _L(0)).alias("n_near"),
     )

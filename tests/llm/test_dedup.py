@@ -72,7 +72,7 @@ def test_lines_by_brute_force(spark):
                 kept.append(s)
                 continue
             again = s in seen
-            close = len(s) >= 16 and any(len(o) >= 16 and abs(len(o) - len(s)) < 2 and distance(s, o) <= 1 for o in seen if o != s)
+            close = any(abs(len(o) - len(s)) < 2 and distance(s, o) <= 1 for o in seen if o != s)
             seen.append(s)
             near += close and not again
             if not (again or close):
