@@ -11,6 +11,8 @@ from .common import WORD, unit, written
 WEIGHTS = (5, 2, 1)
 #: No source is taken more than so many times.
 MAX_REPEATS = 3
+#: Seeded offsets that a source tries.
+TRIES = 128
 
 
 def word_count(text: Column) -> Column:
@@ -49,47 +51,72 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     )
 
 
-def systematic_copies(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+def _offsets(source: Column, tries: int, seed: int) -> Column:
+    """array<struct<k, u, f>>: tries of a source, each with a random offset u; every other also varies the expected copies by f."""
+    key = F.coalesce(source, F.lit("\x00null"))
+
+    def one(k: Column) -> Column:
+        vary = F.when(k % 2 == 1, 0.5 + 2 * unit(F.lit(str(seed)), F.lit("f"), k.cast("string"), key)).otherwise(F.lit(1.0))
+        return F.struct(k.alias("k"), unit(F.lit(str(seed)), k.cast("string"), key).alias("u"), vary.alias("f"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), one)
+
+
+def systematic_copies(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17, tries: int = TRIES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, order_key): how often the mix takes each document.
 
     Within a source, documents stand in order of (size, md5 of doc_id), each with the same expected number of copies,
     target / source_size. Their prefix sums plus one random offset of the source cross integers; a document is taken once
-    for each integer that it crosses. Standing by size makes the words taken come near the target.
-
-    Ranks come from a histogram of (source, size, first two hex digits of the md5) and a row number within each of its
-    cells, so a source with a third of all rows is dealt out over its cells and never meets in one task; the running sum
-    is over cells. Nulls: a null text has size 0, a null source is a source of its own, null doc_ids rank as the text
-    'null'. Rows with equal doc_id are separate documents. An empty table gives none.
+    for each integer that it crosses. Standing by size makes the words taken come near the target of a large source. Of
+    ``tries`` seeded offsets a source takes the one whose words come nearest, the first among equals; every other try also
+    takes the expected copies from 0.5 to 2.5 times, up to max_repeats, which is what small sources with a few long documents need.
+
+    Ranks are row numbers within (source, size, first two hex digits of the md5) plus what lies before, summed in two steps,
+    over bands of sizes and within each, so a source with a third of all rows never meets in one task. How many words a try
+    takes follows from the ranks of whole sizes. Nulls: a null text has size 0, a null source is a source of its own, null
+    doc_ids rank as the text 'null'. Rows with equal doc_id are separate documents. An empty table gives none.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sized = written(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("order_key", key), "mix-sizes"
     ).withColumn("cell", F.substring("order_key", 1, 2))
-    cells = sized.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    # a band has about as many sizes as there are bands
+    cells = sized.groupBy("source", "size", "cell").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.sqrt("size")))
+    first = Window.unboundedPreceding
+    bands = cells.groupBy("source", "band").agg(F.sum("n").alias("n"))
+    bands = bands.select("source", "band", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("band").rowsBetween(first, -1)), F.lit(0)).alias("band_before"))
+    within = Window.partitionBy("source", "band").orderBy("size", "cell").rowsBetween(first, -1)
+    cells = cells.withColumn("inner_before", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    cells = cells.alias("c").join(bands.alias("b"), F.expr("c.source <=> b.source AND c.band = b.band"))
+    cells = cells.select("c.source", "c.size", "c.cell", "c.n", (F.col("inner_before") + F.col("band_before")).alias("before"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    cells = cells.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "c.size", "c.cell", "c.before", "t.source_size", "t.target")
-    within = Window.partitionBy("source", "size", "cell").orderBy("order_key", "doc_id")
-    ranked = sized.withColumn("row", F.row_number().over(within)).alias("d")
-    same = F.expr("d.source <=> c.source AND d.size = c.size AND d.cell = c.cell")
-    placed = ranked.join(cells.alias("c"), same).select("d.doc_id", "d.source", "d.size", "d.order_key", "c.source_size", "c.target", (F.col("d.row") + F.col("c.before")).alias("rank"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = unit(F.lit(str(seed)), F.coalesce(F.col("source"), F.lit("\x00null")))
-    copies = F.floor(F.col("rank") * expected + offset) - F.floor((F.col("rank") - 1) * expected + offset)
+    targets = targets.withColumn("expected", expected)
+    steps = cells.groupBy("source", "size").agg(F.min("before").alias("before"), F.sum("n").alias("n")).alias("s")
+    tried = steps.join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.*", "t.target", "t.expected", F.explode(_offsets(F.col("s.source"), tries, seed)).alias("o"))
+    rate = F.least(F.col("expected") * F.col("o.f"), F.lit(float(max_repeats)))
+    words = F.col("size") * (F.floor((F.col("before") + F.col("n")) * rate + F.col("o.u")) - F.floor(F.col("before") * rate + F.col("o.u")))
+    totals = tried.groupBy("source", "o", "target", "expected").agg(F.sum(words).alias("words"))
+    best = totals.groupBy("source").agg(F.min_by(F.struct(F.col("o.u").alias("u"), rate.alias("rate")), F.struct(F.abs(F.col("words") - F.col("target")), F.col("o.k"))).alias("o"))
+    chosen = targets.alias("t").join(best.alias("x"), F.expr("t.source <=> x.source")).select("t.source", "source_size", "target", "x.o.u", "x.o.rate")
+    cells = cells.alias("c").join(chosen.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "c.size", "c.cell", "c.before", "source_size", "target", "u", "rate")
+    ranked = sized.withColumn("row", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("order_key", "doc_id"))).alias("d")
+    same = F.expr("d.source <=> c.source AND d.size = c.size AND d.cell = c.cell")
+    placed = ranked.join(cells.alias("c"), same).select("d.doc_id", "d.source", "d.size", "d.order_key", "source_size", "target", "u", "rate", (F.col("d.row") + F.col("c.before")).alias("rank"))
+    copies = F.floor(F.col("rank") * F.col("rate") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("u"))
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "order_key")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken, and copy_no from 1.
 
-    Rows with equal doc_id and source must agree in text to be told apart; they are matched by the rank among themselves.
+    Rows with equal doc_id, source and size are told apart by their rank among themselves. A column copy_no is replaced.
     """
+    docs = docs.drop("copy_no")
     taken = systematic_copies(docs, weights, max_repeats, seed)
     same = Window.partitionBy("doc_id", "source", "size").orderBy("size")
-    a = docs.withColumn("_size", word_count(F.col("text")))
-    a = a.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_size"))).alias("a")
-    t = taken.where("copies > 0").withColumn("_nth", F.row_number().over(same)).select("doc_id", "source", "size", "_nth", "copies").alias("t")
-    joined = a.join(t, F.expr("a.doc_id <=> t.doc_id AND a.source <=> t.source AND a._size = t.size AND a._nth = t._nth"))
-    cols = [F.col(f"a.`{c}`") for c in docs.columns]
-    return joined.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.copies"))).alias("copy_no"))
+    # the row is one struct, so that its columns' names meet none of these
+    a = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("nth", F.row_number().over(same)).alias("a")
+    t = taken.where("copies > 0").withColumn("nth", F.row_number().over(same)).select("doc_id", "source", "size", "nth", "copies").alias("t")
+    joined = a.join(t, F.expr("a.doc_id <=> t.doc_id AND a.source <=> t.source AND a.size = t.size AND a.nth = t.nth"))
+    return joined.select(*[F.col("a.row")[c].alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.copies"))).alias("copy_no"))

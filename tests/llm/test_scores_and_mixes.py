@@ -65,7 +65,8 @@ def test_mix(spark):
     for r in got:
         assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source]) and 0 <= r.copies <= 3
     mixed = sm.mix_sources(docs)
-    assert mixed.count() == sum(r.copies for r in got) and mixed.columns == [*docs.columns, "copy_no"]
+    assert mixed.count() == sum(r.copies for r in got) and mixed.columns == [*(c for c in docs.columns if c != "copy_no"), "copy_no"]
+    assert all({r[c] for r in mixed.select(c).distinct().collect()} == {docs.first()[c]} for c in ("_size", "_nth", "row", "size"))
     assert sorted(map(str, got)) == sorted(map(str, sm.systematic_copies(docs).collect()))
     assert sm.systematic_copies(empty(spark)).count() == sm.mix_sources(empty(spark)).count() == 0
 
@@ -82,6 +83,7 @@ def test_shards(spark):
     out = sh.write_shards(docs, 6, bucket_bytes=4000).cache()
     assert out.count() == docs.count()
     again = sh.write_shards(docs.repartition(5), 6, bucket_bytes=4000)
+    assert {(r["_tie"], r["_crc"], r["_start"], r["by_id"], r["bucket_start"]) for r in out.collect()} == {tuple(docs.first()[c] for c in ("_tie", "_crc", "_start", "by_id", "bucket_start"))}
     cols = ["doc_id", "text", "shard", "bucket", "slot"]
     assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, again.select(cols).collect()))
     by = defaultdict(list)
