@@ -111,17 +111,21 @@ def overlap_bounds(maps: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarra
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, node and bitmap of every document."""
+    """doc_id, text_hash, n, node and bitmap of every document."""
 
     def run(batches):
         for batch in batches:
+            done = 0
             for ids, sets in _sets(batch, k):
+                hashes = batch.column(2).slice(done, len(sets))
+                done += len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(textscan.signed(node_of(sets))), pa.array([bitmap_of(s) for s in sets], pa.binary())],
-                    ["doc_id", "n", "node", "bitmap"],
+                    [ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(textscan.signed(node_of(sets))), pa.array([bitmap_of(s) for s in sets], pa.binary())],
+                    ["doc_id", "text_hash", "n", "node", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, bitmap binary")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, bitmap binary")
 
 
 def _sharded(shard: np.ndarray, shards: int, columns: dict[str, np.ndarray]):
@@ -430,7 +434,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node): component_id is the smallest doc_id that links lead to, itself included.
+    """(doc_id, text_hash, n_shingles, component_id, node, root): component_id is the smallest doc_id that links lead to,
+    itself included; root, the same for all rows of a component, is 0 for those without shingles; text_hash is xxhash64.
 
     docs: doc_id, text; other columns are ignored. Words are parted by U+0020 and U+0009..U+000D, A-Z lower-cased. A set
     has the distinct k-word shingles; a text with fewer words has its whole sequence; one without words or a null text has
@@ -452,8 +457,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR
             roots = written(components(links), "roots")
     for table in (rows, nodes):
         discard(table)
-    placed = profile.where("node <> 0").join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
+    placed = profile.where("node <> 0").join(roots, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
-    alone = profile.where("node = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
+    linked = placed.join(least, "root").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "node", "root")
+    alone = profile.where("node = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.lit(0).cast("long").alias("root"))
     return linked.unionByName(alone)
