@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+
 #: Java pattern of what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="panelyst-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/panelyst/{label}-{uuid.uuid4().hex}"
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/panelyst/{label}-{uuid.uuid4().hex}"
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the same with underscores behind it, whichever the table has no column of in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, label: str, path: str | None = None, **options: str) -> DataFrame:

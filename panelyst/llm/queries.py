@@ -112,15 +112,19 @@ f AS (SELECT min(caps_before) AS caps, arg_min(level, caps_before) AS level FROM
 t AS (SELECT l.source, l.source_size,
              CASE WHEN f.caps IS NULL OR l.caps_before < f.caps THEN l.cap::DOUBLE ELSE least(l.cap::DOUBLE, f.level * l.weight) END AS target
       FROM l, f),
-d AS (SELECT x.doc_id, x.size, t.source_size, t.target,
-             row_number() OVER (PARTITION BY x.source ORDER BY x.size, x.k, x.doc_id) AS i,
-             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS e,
-             ('0x' || substr(md5('17' || chr(31) || coalesce(x.source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM sized x JOIN t ON x.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(floor(i * e + u) - floor((i - 1) * e + u) AS BIGINT) * size AS taken,
-       CAST(floor(i * e + u) - floor((i - 1) * e + u) AS BIGINT) AS copies
-FROM d
+e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS expected, coalesce(source, chr(0) || 'null') AS name FROM t),
+k AS (SELECT e.*, k, ('0x' || substr(md5('17' || chr(31) || k || chr(31) || name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
+             least(expected * CASE WHEN k % 2 = 1 THEN 0.5::DOUBLE + 2 * ('0x' || substr(md5('17' || chr(31) || 'f' || chr(31) || k || chr(31) || name), 1, 8))::BIGINT / 4294967296.0::DOUBLE ELSE 1.0::DOUBLE END, 3.0::DOUBLE) AS rate
+      FROM e, (SELECT unnest(range(128)) AS k)),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, k, doc_id) AS i FROM sized),
+z AS (SELECT source, size, min(i) - 1 AS before, count(*) AS n FROM d GROUP BY source, size),
+o AS (SELECT k.source, k.k, k.u, k.rate, k.source_size, k.target, sum(z.size * (floor((z.before + z.n) * k.rate + k.u) - floor(z.before * k.rate + k.u))) AS words
+      FROM k JOIN z ON z.source IS NOT DISTINCT FROM k.source GROUP BY ALL),
+c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - target), k) = 1)
+SELECT d.doc_id, d.size, c.source_size, c.target,
+       CAST(floor(i * rate + u) - floor((i - 1) * rate + u) AS BIGINT) * d.size AS taken,
+       CAST(floor(i * rate + u) - floor((i - 1) * rate + u) AS BIGINT) AS copies
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
 OP2_SQL = r"""
@@ -140,11 +144,13 @@ WITH l AS (
   SELECT doc_id, i - 1 AS line_no, p[i] AS line, len(p) AS n_lines
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))),
 f AS (SELECT line, min(struct_pack(a := doc_id, b := line_no)) AS o FROM l WHERE trim(line) <> '' GROUP BY line),
-h AS (SELECT line, o, length(line) AS n FROM f WHERE length(line) >= 16),
+h AS (SELECT line, o, length(line) AS n FROM f),
 k AS (SELECT line, o, n, unnest(list_distinct([('P', n // 2, left(line, n // 2)), ('P', (n - 1) // 2, left(line, (n - 1) // 2)),
                                  ('S', n // 2, right(line, n // 2)), ('S', (n - 1) // 2, right(line, (n - 1) // 2))])) AS key FROM h),
 near AS (SELECT DISTINCT x.line FROM k x JOIN k y ON x.key = y.key AND y.o < x.o AND abs(x.n - y.n) <= 1
-         WHERE levenshtein(x.line, y.line) <= 1),
+         -- one edit of characters; levenshtein() counts bytes
+         WHERE len(list_filter(range(0, greatest(x.n, y.n)), lambda i: left(x.line, i) = left(y.line, i)
+               AND substr(x.line, CAST(i + CASE WHEN x.n >= y.n THEN 2 ELSE 1 END AS BIGINT)) = substr(y.line, CAST(i + CASE WHEN y.n >= x.n THEN 2 ELSE 1 END AS BIGINT)))) > 0),
 j AS (SELECT l.*, trim(l.line) <> '' AND (struct_pack(a := doc_id, b := line_no) <> f.o) AS again,
              trim(l.line) <> '' AND near.line IS NOT NULL AS near
       FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line)

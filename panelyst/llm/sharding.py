@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import new_path
+from .common import free_name, new_path
 
 #: Bytes of text that one bucket is meant to hold; a task shuffles one bucket in memory.
 BUCKET_BYTES = 16 << 20
@@ -35,10 +35,10 @@ def shard_of(key: Column, shards: int, seed: int = 0) -> Column:
     return at.cast("int")
 
 
-def _fisher_yates(seed: int, out: pa.Schema):
+def _fisher_yates(seed: int, keys: list[str], out: pa.Schema):
     def shuffle(key: tuple, table: pa.Table) -> pa.Table:
         shard, bucket = key[0].as_py(), key[1].as_py()
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("_tie", "ascending"), ("_crc", "ascending")]))
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[(k, "ascending") for k in keys]))
         order = np.arange(table.num_rows)
         np.random.default_rng([seed, shard, bucket]).shuffle(order)
         table = table.take(pa.array(order))
@@ -65,16 +65,17 @@ def write_shards(docs: DataFrame, shards: int = 24, seed: int = 0, bucket_bytes:
     docs = docs.drop("shard", "bucket", "pos", "slot")
     total = docs.agg(F.sum(record_size(F.col("text"))).alias("n")).first()["n"] or 0
     per_shard = max(1, math.ceil(total / shards / bucket_bytes))
-    tie = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed + 1))
-    crc = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(seed + 2))
+    by_id, by_text = free_name(docs, "by_id"), free_name(docs, "by_text")
+    id_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed + 1))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(seed + 2))
     scattered = (
         docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
-        .withColumn("_tie", tie)
-        .withColumn("_crc", crc)
-        .withColumn("bucket", F.pmod(F.xxhash64("_tie", "_crc"), F.lit(per_shard).cast("long")).cast("int"))
+        .withColumn(by_id, id_hash)
+        .withColumn(by_text, text_hash)
+        .withColumn("bucket", F.pmod(F.xxhash64(by_id, by_text), F.lit(per_shard).cast("long")).cast("int"))
     )
-    schema = scattered.drop("_tie", "_crc").withColumn("pos", F.lit(0).cast("long")).schema
-    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(_fisher_yates(seed, to_arrow_schema(schema)), schema)
+    schema = scattered.drop(by_id, by_text).withColumn("pos", F.lit(0).cast("long")).schema
+    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(_fisher_yates(seed, [by_id, by_text], to_arrow_schema(schema)), schema)
     path = path or new_path(spark, "shards")
     shuffled.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return read_shards(spark, path, schema, columns)
@@ -85,7 +86,8 @@ def read_shards(spark, path: str, schema, columns: dict[str, Column] | None = No
     rows = spark.read.schema(schema).parquet(path)
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     run = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("_start"))
+    start = free_name(rows, "bucket_start")
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias(start))
     if columns is not None:
         rows = rows.select("shard", "bucket", "pos", *[c.alias(k) for k, c in columns.items()])
-    return rows.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("pos") + F.col("_start")).drop("_start")
+    return rows.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("pos") + F.col(start)).drop(start)

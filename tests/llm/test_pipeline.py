@@ -6,6 +6,7 @@ from panelyst.llm.common import written
 from panelyst.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 from ..conftest import DATA
+from .helpers import empty, odd, odd_rows, words
 from .test_ngram_join import brute
 
 
@@ -39,3 +40,24 @@ def test_stages(spark):
 def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    docs = odd(spark)
+    out = cp.near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect())
+    rows = {(r.doc_id, r.text or "") for r in docs.collect()}
+    # rows of one component: equal texts and those that differ in a word at the end; the same id alone links nothing
+    made = odd_rows()
+    kept = {(-1 if d is None else d, t) for d, t in rows} - {(-1, made[5][1])} - {(200 + i, made[7][1] + f" end{i}") for i in range(5)}
+    long = len(set(words(made[7][1]))) > 30
+    assert set(got) >= kept - {(d, t) for d, t in kept if d >= 200} and len({d for d, _ in got if d >= 200}) <= (0 if long else 5)
+    assert (3, "another text of the same id") in got and (3, made[3][1]) in got and len(set(got)) == len(got)
+    assert cp.near_duplicates(spark, empty(spark), DATA).count() == 0
+
+
+def test_quality_of_odd_rows(spark):
+    out = cp.quality(spark, odd(spark), DATA)
+    assert out.columns == odd(spark).columns and not {100, 101} & {r.doc_id for r in out.collect()}
+    assert cp.quality(spark, empty(spark), DATA).count() == 0
