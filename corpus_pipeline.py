@@ -10,27 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyst.llm import decontamination, ngram_join, quality_classifier, source_mixing, token_blocks
-from panelyst.llm.common import written
+from panelyst.llm.common import free_name, written
 from panelyst.llm.queries import table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; of rows with one doc_id, all stay or go by the worst of them."""
     judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("keep")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    rejected = judged.where(~F.col("keep")).select("doc_id").distinct().alias("r")
+    return docs.alias("d").join(rejected, F.expr("d.doc_id <=> r.doc_id"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join, that with its smallest doc_id; repeated rows count once.
+    """One document of each component of the n-gram Jaccard join, that with its smallest doc_id; null ids come last, and among
+    equal ids a hash of the text decides. Rows equal in doc_id and text count once, any of them.
 
-    Documents without words are components of their own.
+    Documents without words are components of their own and all stay.
     """
     found = ngram_join.similar_components(docs)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_id"]), "left_semi")
-    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where("doc_id IS NULL"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    heads = found.where("node <> 0").groupBy("root").agg(F.min(first).alias("h")).select("h.doc_id", "h.text_hash")
+    wordless = found.where("node = 0").select("doc_id", "text_hash").distinct().alias("w")
+    text_hash = free_name(docs, "text_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    same = f"d.doc_id <=> {{0}}.doc_id AND d.`{text_hash}` = {{0}}.text_hash"
+    kept = hashed.join(heads.alias("h"), F.expr(same.format("h")), "left_semi").dropDuplicates(["doc_id", text_hash])
+    return kept.unionByName(hashed.join(wordless, F.expr(same.format("w")), "left_semi")).drop(text_hash)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
