@@ -14,6 +14,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let batches between JVM and Python have at most ``most`` bytes of rows, unless the session already says less.
+
+    By default a batch has 10,000 rows whatever their size, and texts of some kilobytes then take several copies of tens of
+    megabytes in each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "0") or 0) <= 0 or int(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/panelyst/{label}-{uuid.uuid4().hex}"
 
