@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyst.llm import decontamination, ngram_join, quality_classifier, source_mixing, token_blocks
-from panelyst.llm.common import free_name, written
+from panelyst.llm.common import free_name, small_batches, written
 from panelyst.llm.queries import table, tokenizer_path
 
 
@@ -27,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are components of their own and all stay.
     """
+    small_batches(spark)
     found = ngram_join.similar_components(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     heads = found.where("node <> 0").groupBy("root").agg(F.min(first).alias("h")).select("h.doc_id", "h.text_hash")
@@ -45,11 +46,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents as often as the mix takes them."""
+    small_batches(spark)
     return source_mixing.mix_sources(docs).drop("copy_no")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token segments of the documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    small_batches(spark)
     return token_blocks.read_tokens(spark, token_blocks.write_tokens(docs, tokenizer_path(), end_id=0))
 
 
