@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,9 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     megabytes in each task.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "0") or 0) <= 0 or int(spark.conf.get(key)) > most:
+    said = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", spark.conf.get(key, "-1").strip().lower())
+    now = int(said[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[said[2]] if said else -1
+    if now <= 0 or now > most:
         spark.conf.set(key, str(most))
 
 
