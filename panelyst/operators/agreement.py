@@ -21,11 +21,9 @@ def rating_tier() -> Column:
 
 
 def disagreements(found: DataFrame) -> DataFrame:
-    """(product_id, axis, spread, low, high, ratings) of split axes: low is the first of the lowest, high the last of the highest."""
+    """(product_id, axis, spread, low, high) of split axes, of pillars with ends."""
     split = found.where(F.col("disagreement") & (F.col("n") > 1))
-    low = F.array_min(F.transform("ratings", lambda r: F.struct(r["score"].alias("score"), r["ord"].alias("ord"), r.alias("r"))))["r"]
-    high = F.array_max(F.transform("ratings", lambda r: F.struct(r["score"].alias("score"), r["ord"].alias("ord"), r.alias("r"))))["r"]
-    return split.select("product_id", "axis", (F.col("spread_max") - F.col("spread_min")).alias("spread"), low.alias("low"), high.alias("high"), "ratings")
+    return split.select("product_id", "axis", (F.col("spread_max") - F.col("spread_min")).alias("spread"), "low", "high")
 
 
 def describe_disagreement() -> Column:
@@ -65,11 +63,10 @@ def provenance_notes(covered: DataFrame) -> DataFrame:
 
 
 def describe_driver(drivers: DataFrame, found: DataFrame) -> DataFrame:
-    """(product_id, text): the top driver with its split's ends, or else the first rater."""
-    joined = drivers.join(found.select("product_id", "axis", "disagreement", "ratings"), ["product_id", "axis"])
+    """(product_id, text): the top driver with its split's ends, or else the first rater; of pillars with ends."""
+    joined = drivers.join(found.select("product_id", "axis", "disagreement", "first", "low", "high"), ["product_id", "axis"])
     phrase = F.element_at(F.create_map(*[F.lit(x) for kv in AXIS_PHRASE.items() for x in kv]), F.col("axis"))
-    ends = F.array_sort(F.transform("ratings", lambda r: F.struct(r["score"].alias("score"), r["ord"].alias("ord"), r["source_name"].alias("name"))))
-    named = F.when(F.col("disagreement"), F.concat(ends[0]["name"], F.lit(" and "), F.element_at(ends, -1)["name"])).otherwise(F.col("ratings")[0]["source_name"])
+    named = F.when(F.col("disagreement"), F.concat(F.col("low.source_name"), F.lit(" and "), F.col("high.source_name"))).otherwise(F.col("first.source_name"))
     return joined.select("product_id", F.concat(phrase, F.lit(" "), F.col("direction"), F.lit(" the score most: "), named).alias("text"))
 
 

@@ -62,15 +62,18 @@ def search_products(products: DataFrame, brands: DataFrame, query: str) -> DataF
     return named.where(has("display_name") | has("brand_name") | has("gtin"))
 
 
-def alternatives(products: DataFrame, every: DataFrame) -> DataFrame:
+def alternatives(products: DataFrame, every: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(product_id, alt_id, alt_safety, cleaner, tradeoffs): safer products of a category, for every product at once.
 
+    ``among`` (id) restricts what is offered; without it the result is quadratic in a category.
+
     A product without safety ratings is below all rated ones and never an alternative. cleaner and tradeoffs name the axes
     where the alternative differs by five points or more; an axis that either lacks is in neither.
     """
     wide = every.groupBy("product_id").agg(*[F.max(F.when(F.col("axis") == a, F.col("representative"))).alias(a) for a in AXES])
     p = products.select(F.col("id").alias("product_id"), "category").join(wide, "product_id", "left")
-    base, alt = p.alias("b"), p.where(F.col(AXES[0]).isNotNull()).alias("a")
+    offered = p if among is None else p.join(among.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    base, alt = p.alias("b"), offered.where(F.col(AXES[0]).isNotNull()).alias("a")
     safer = F.col(f"a.{AXES[0]}") > F.coalesce(F.col(f"b.{AXES[0]}"), F.lit(float("-inf")))
     joined = base.join(alt, (F.col("a.category") == F.col("b.category")) & safer & (F.col("a.product_id") != F.col("b.product_id")))
     delta = {a: F.col(f"a.{a}") - F.col(f"b.{a}") for a in AXES}
@@ -98,8 +101,14 @@ def top_alternative(products: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def shelf_catalog(products: DataFrame, every: DataFrame, most: int = 200) -> DataFrame:
-    """(product_id, alternatives): safer products of each, safest first, as one array; ``most`` a product."""
-    ranked = alternatives(products, every).withColumn("r", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("alt_safety"), "alt_id"))).where(F.col("r") <= most)
+    """(product_id, alternatives): of the category's ``most`` safest products those safer than each, safest first, as one array.
+
+    Only the safest of a category are paired, which is what a shelf shows of it: the safest are everybody's best alternatives.
+    """
+    safety = every.where(F.col("axis") == AXES[0]).select(F.col("product_id").alias("id"), F.col("representative").alias("s"))
+    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("s"), "id"))
+    top = products.select("id", "category").join(safety.where("s IS NOT NULL"), "id").withColumn("place", place).where(F.col("place") <= most)
+    ranked = alternatives(products, every, top.select("id")).withColumn("r", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("alt_safety"), "alt_id")))
     return ranked.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("r", "alt_id", "alt_safety", "cleaner", "tradeoffs"))).alias("alternatives"))
 
 
@@ -108,13 +117,17 @@ def browse(products: DataFrame, means: DataFrame, widest: DataFrame, order: str
     p = products.select(F.col("id").alias("product_id"), "display_name", "category")
     p = (p if category is None else p.where(F.col("category") == category)).join(means, "product_id", "left").join(widest, "product_id", "left")
     p = p.withColumn("widest", F.coalesce("widest", F.lit(0.0)))
-    by = {
+    return p.orderBy(*browse_keys(order), "product_id")
+
+
+def browse_keys(order: str) -> list[Column]:
+    """What an order of browse() goes by, before the id."""
+    return {
         "name": [F.collate("display_name", "UNICODE")],
         "contested": [F.desc("widest")],
         "best": [F.desc_nulls_last("mean")],
         "worst": [F.asc_nulls_last("mean")],
     }[order]
-    return p.orderBy(*by, "product_id")
 
 
 def categories(products: DataFrame) -> DataFrame:
@@ -143,6 +156,18 @@ def get_flag(flags: DataFrame, product_id: str, slug: str | None = None) -> Data
     return own if slug is None else own.where(F.col("slug") == slug)
 
 
+def read_flags(rows: DataFrame) -> DataFrame:
+    """Stored flags with positions and notes read from JSON; none where they are absent or broken."""
+    read = lambda c, kind: F.coalesce(F.from_json(c, kind), F.from_json(F.lit("[]"), kind))
+    positions = read("positions", "array<struct<body: string, stance: string>>")
+    return rows.withColumn("positions", positions).withColumn("notes", read("notes", "array<string>"))
+
+
+def outbound_urls(curated: DataFrame) -> DataFrame:
+    """(product_id, url) of products whose shop id (asin) is known."""
+    return curated.select("product_id", F.concat(F.lit("https://www.amazon.com/dp/"), "asin").alias("url"))
+
+
 def positions_by_stance(flags: DataFrame) -> DataFrame:
     """(product_id, slug, stance, positions) of flags, positions in their order."""
     one = flags.select("product_id", "slug", F.posexplode("positions").alias("ord", "p"))

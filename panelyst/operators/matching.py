@@ -157,7 +157,7 @@ def resolve(items: DataFrame, catalog: DataFrame, model: Model = SHIPPED, fine_o
 def resolve_sightings(items: DataFrame, catalog: DataFrame, curated: DataFrame, **options) -> DataFrame:
     """Curated identities first (item column asin, table asin, product_id) at confidence 1, the rest by resolve(); items that
     resolve to nothing keep a row of NULLs."""
-    known = items.join(curated.select(F.upper("asin").alias("_asin"), "product_id"), F.upper("asin") == F.col("_asin"))
+    known = items.select("id", F.upper("asin").alias("asin")).join(curated.select(F.upper("asin").alias("asin"), "product_id"), "asin")
     exact = known.select("id", "product_id", F.lit(None).cast("string").alias("entry_id"), F.lit(1.0).alias("confidence"), F.lit(False).alias("ambiguous"), F.lit("curated id").alias("reason"))
     rest = items.join(exact.select("id"), "id", "left_anti")
     fuzzy = resolve(rest, catalog, **options)

@@ -61,14 +61,20 @@ def normalized_ratings(ratings: DataFrame, sources: DataFrame) -> DataFrame:
 RATING_FIELDS = ("ord", "source_id", "source_name", "funding_model", "score", "score_raw", "match_confidence", "match_method", "match_reviewed")
 
 
-def pillars(rated: DataFrame, keep_ratings: bool = True) -> DataFrame:
+def pillars(rated: DataFrame, keep_ratings: bool = True, ends: bool | None = None) -> DataFrame:
     """(product_id, axis, representative, spread_min, spread_max, n, disagreement, ratings) of axes with ratings.
 
-    The mean represents an axis; extremes are NULL below two ratings. Nothing blends axes here.
+    The mean represents an axis; extremes are NULL below two ratings. Nothing blends axes here. ``ends`` adds first, low and
+    high: the first rating, the first of the lowest and the last of the highest, which takes no list of all; it goes
+    with the ratings unless it is said.
     """
     aggs = [F.avg("score").alias("representative"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")]
+    ends = keep_ratings if ends is None else ends
     if keep_ratings:
         aggs.append(F.array_sort(F.collect_list(F.struct(*RATING_FIELDS))).alias("ratings"))
+    if ends:
+        one, by_score = F.struct(*RATING_FIELDS), F.struct("score", "ord")
+        aggs += [F.min_by(one, F.col("ord")).alias("first"), F.min_by(one, by_score).alias("low"), F.max_by(one, by_score).alias("high")]
     many = F.col("n") > 1
     out = rated.groupBy("product_id", "axis").agg(*aggs)
     return out.select(
@@ -80,6 +86,7 @@ def pillars(rated: DataFrame, keep_ratings: bool = True) -> DataFrame:
         "n",
         (many & (F.col("hi") - F.col("lo") >= SPLIT_POINTS)).alias("disagreement"),
         *(["ratings"] if keep_ratings else []),
+        *(["first", "low", "high"] if ends else []),
     )
 
 

@@ -46,10 +46,13 @@ def synthetic_sightings(catalog: DataFrame, tail: str = TAILS[0], keep_gtin: boo
 
 
 def degraded(pairs: DataFrame) -> DataFrame:
-    """Noisy sightings of entries in rows that carry one and a salt: tails, cut ingredient lists, barcodes mostly lost."""
+    """Noisy sightings of entries in rows that carry one and a salt: tails, cut ingredient lists, barcodes mostly lost.
+
+    The id names the entry too: two entries may be compared with one and the same other.
+    """
     k = (F.col("salt"), F.col("id"))
     gtin = F.when(hash_unit(F.lit("gtin"), *k) < KEEP_GTIN, F.col("gtin"))
-    return pairs.select("entry", "label", "salt", F.concat_ws("-", F.lit("s"), *k).alias("id"), "brand", _named(F.col("brand"), F.col("name"), _tail(*k)).alias("name"), gtin.alias("gtin"), _shortened(F.col("ingredients"), *k).alias("ingredients"), "size_value", "size_unit", "ord")
+    return pairs.select("entry", "label", "salt", F.concat_ws("-", F.lit("s"), "salt", "entry", "id").alias("id"), "brand", _named(F.col("brand"), F.col("name"), _tail(*k)).alias("name"), gtin.alias("gtin"), _shortened(F.col("ingredients"), *k).alias("ingredients"), "size_value", "size_unit", "ord")
 
 
 def labeled_sightings(catalog: DataFrame, positives: int = 2, negatives: int = 2, cross: int = 1, variants: int = 1, brandless: int = 0, seed: str = "1") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text, variants
-from ..operators import agreement, blocking, catalog, generic_names, graph, matching, raters, scoring, training
+from ..functions import hashing, text
+from ..operators import agreement, blocking, catalog, generic_names, matching, raters, scoring, training
 from ..sources import pages as shop_pages
 from . import adapters as a
 
@@ -32,8 +32,8 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
     return scoring.normalized_ratings(a.ratings(spark, d), a.sources(spark, d))
 
 
-def _pillars(spark: SparkSession, d: str, keep: bool = False) -> DataFrame:
-    return scoring.pillars(_rated(spark, d), keep)
+def _pillars(spark: SparkSession, d: str, ends: bool = False) -> DataFrame:
+    return scoring.pillars(_rated(spark, d), False, ends)
 
 
 def _products(spark: SparkSession, d: str) -> DataFrame:
@@ -97,14 +97,20 @@ def marginal_effects(spark, d):
     return scoring.marginal_effects(_every(spark, d), scoring.default_weights(spark))
 
 
-@registered("disagreements", f"""WITH {a.PILLARS},
-d AS (SELECT product_id, axis, spread_max - spread_min AS spread FROM pillar WHERE disagreement),
-o AS (SELECT r.*, row_number() OVER (PARTITION BY product_id, axis ORDER BY score, ord) AS up, row_number() OVER (PARTITION BY product_id, axis ORDER BY score DESC, ord DESC) AS down FROM rated r)
-SELECT d.product_id, d.axis, round(d.spread, 6) AS spread, l.source_name AS low_source, h.source_name AS high_source,
-       h.source_name || ' (' || h.funding_model || ') scores ' || CAST(floor(h.score + 0.5) AS BIGINT) || ' on '
-       || CASE d.axis WHEN 'ingredient_safety' THEN 'ingredient safety' WHEN 'environmental' THEN 'environmental impact' WHEN 'labor' THEN 'labor practices' ELSE 'packaging' END
-       || '; ' || l.source_name || ' (' || l.funding_model || ') scores ' || CAST(floor(l.score + 0.5) AS BIGINT) || '. Spread ' || CAST(floor(d.spread + 0.5) AS BIGINT) || ' points.' AS line
-FROM d JOIN o l ON l.product_id = d.product_id AND l.axis = d.axis AND l.up = 1 JOIN o h ON h.product_id = d.product_id AND h.axis = d.axis AND h.down = 1""")
+#: Pillars with their ends, one pass over the ratings.
+ENDED = f"""{a.RATED},
+ended AS MATERIALIZED (
+  SELECT product_id, axis, count(*) AS n, avg(score) AS representative, min(score) AS spread_min, max(score) AS spread_max, count(*) > 1 AND max(score) - min(score) >= 20 AS disagreement,
+         arg_min(source_name, ord) AS first_source, min((score, ord, source_name, funding_model)) AS lo, max((score, ord, source_name, funding_model)) AS hi
+  FROM rated GROUP BY product_id, axis)"""
+PHRASE = "CASE {x} WHEN 'ingredient_safety' THEN 'ingredient safety' WHEN 'environmental' THEN 'environmental impact' WHEN 'labor' THEN 'labor practices' ELSE 'packaging' END"
+
+
+@registered("disagreements", f"""WITH {ENDED}
+SELECT product_id, axis, round(spread_max - spread_min, 6) AS spread, lo[3] AS low_source, hi[3] AS high_source,
+       hi[3] || ' (' || hi[4] || ') scores ' || CAST(floor(hi[1] + 0.5) AS BIGINT) || ' on ' || {PHRASE.format(x='axis')} || '; ' || lo[3] || ' (' || lo[4] || ') scores '
+       || CAST(floor(lo[1] + 0.5) AS BIGINT) || '. Spread ' || CAST(floor(spread_max - spread_min + 0.5) AS BIGINT) || ' points.' AS line
+FROM ended WHERE disagreement""")
 def disagreements(spark, d):
     out = agreement.disagreements(_pillars(spark, d, True))
     return out.select("product_id", "axis", r6("spread").alias("spread"), F.col("low.source_name").alias("low_source"), F.col("high.source_name").alias("high_source"), agreement.describe_disagreement().alias("line"))
@@ -117,13 +123,24 @@ def coverage(spark, d):
     return agreement.coverage(_rated(spark, d))
 
 
-@registered("driver_prose")
+@registered("driver_prose", f"""WITH {ENDED}, pillar AS (SELECT *, CASE WHEN n > 1 THEN spread_max END AS m FROM ended),
+c AS (SELECT product_id, avg(representative) AS overall, avg(coalesce(m, representative)) AS top FROM pillar GROUP BY product_id),
+m AS (SELECT p.*, representative - overall AS diff, {AXIS_ORD} AS o FROM pillar p JOIN c USING (product_id) WHERE abs(representative - overall) >= 0.5),
+t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY round(abs(diff), 9) DESC, o) = 1),
+b AS (SELECT *, {BAND.format(x='overall')} AS was, {BAND.format(x='top')} AS now FROM (SELECT product_id, round(overall, 6) AS overall, round(top, 6) AS top FROM c))
+SELECT b.product_id,
+       {PHRASE.format(x='t.axis')} || CASE WHEN t.diff > 0 THEN ' lifts' ELSE ' drags' END || ' the score most: ' || CASE WHEN t.disagreement THEN t.lo[3] || ' and ' || t.hi[3] ELSE t.first_source END AS text,
+       'This one looks ' || was || '.' AS greeting,
+       CASE WHEN abs(top - overall) < 0.5 THEN 'Weighing labor practices barely moves it.'
+            ELSE 'Weighing labor practices' || CASE WHEN top > overall THEN ' lifts' ELSE ' drops' END || ' it to ' || CAST(floor(top + 0.5) AS BIGINT) || CASE WHEN was <> now THEN ', from ' || was || ' to ' || now ELSE '' END || '.' END AS change
+FROM b LEFT JOIN t USING (product_id)""")
 def driver_prose(spark, d):
     """Prose about top drivers, composites and weight changes."""
     found = _pillars(spark, d, True)
     w = scoring.default_weights(spark)
     text_ = agreement.describe_driver(scoring.top_drivers(found, w), found)
-    c = scoring.composites(found, w)
+    # sums in another order differ in their last digits, which halves would show
+    c = scoring.composites(found, w).withColumns({x: r6(x) for x in ("overall", "overall_max")})
     line = agreement.narrate_weight_change(F.lit("labor"), F.col("overall"), F.col("overall_max"))
     return c.join(text_, "product_id", "left").select("product_id", "text", agreement.greet(F.col("overall")).alias("greeting"), line.alias("change"))
 
@@ -191,13 +208,6 @@ def table_counts(spark, d):
     return catalog.table_counts({t: a.table(spark, d, t) for t in ("part", "supplier", "lineitem", "events", "documents", "pages", "labels")})
 
 
-@registered("product_views")
-def product_views(spark, d):
-    """Products with brand and nested pillars."""
-    v = catalog.views(_products(spark, d), a.brands(spark, d), _pillars(spark, d))
-    return v.select("product_id", "display_name", "brand_name", F.to_json("pillars").alias("pillars"))
-
-
 @registered("spotlight", f"""WITH {a.PILLARS}, {COMPOSITE} SELECT product_id, CAST(floor(overall + 0.5) AS BIGINT) AS overall, {BAND.format(x='overall')} AS band FROM composite WHERE product_id IN ('p1', 'p2', 'p3', 'p5', 'p8', 'p13')""")
 def spotlight(spark, d):
     wanted = spark.createDataFrame([(f"p{i}", i) for i in (1, 2, 3, 5, 8, 13)], "product_id string, ord int")
@@ -218,14 +228,15 @@ item AS (SELECT p.id, p.ord, p.display_name AS name, coalesce(x.brand_id, nullif
          FROM product p LEFT JOIN alias x ON x.alias = {STRIP.format(x='p.brand_id')})"""
 
 
-def _prepared(spark, d):
-    """The prepared catalog, written once: keys and variants are dear, and pairs read both sides several times."""
-    return graph.kept(blocking.prepared(a.items(spark, d), a.brands(spark, d)), "prepared")
+def _named(spark, d):
+    """Items with brand key, barcode and name token alone."""
+    out = blocking.with_brand_key(a.items(spark, d), a.brands(spark, d))
+    return out.withColumn("gtin14", text.normalize_gtin(F.col("gtin"))).withColumn("token", text.first_name_token(F.col("name")))
 
 
 @registered("name_normalisation", f"""WITH {ITEMS} SELECT id, {NORM.format(x='name')} AS normalized, token, gtin14, brand_key FROM item""")
 def name_normalisation(spark, d):
-    return _prepared(spark, d).select("id", text.normalize_name(F.col("name")).alias("normalized"), "token", "gtin14", "brand_key")
+    return _named(spark, d).select("id", text.normalize_name(F.col("name")).alias("normalized"), "token", "gtin14", "brand_key")
 
 
 @registered("generic_names", f"""WITH {a.PRODUCT}, n AS (SELECT display_name AS name FROM product), t AS (SELECT name, list_filter(string_split({NORM.format(x='name')}, ' '), lambda x: x <> '') AS tk FROM n),
@@ -236,13 +247,6 @@ def generic(spark, d):
     return generic_names.generic_names(_products(spark, d).select(F.col("display_name").alias("name")))
 
 
-@registered("variant_tokens")
-def variant_tokens(spark, d):
-    """Variant tokens of names, and the name of a sibling."""
-    v = variants.variant_tokens(F.col("display_name"))
-    return _products(spark, d).select("id", "display_name", F.to_json(v).alias("tokens"), variants.mutate_variant_token(F.col("display_name")).alias("sibling"))
-
-
 def _mul(x: str, m: int) -> str:
     return f"CAST((({x})::HUGEINT * {m}) % 4294967296 AS BIGINT)"
 
@@ -267,7 +271,8 @@ band AS (SELECT id, k // 4 AS band, list_reduce(list_prepend(2166136261::BIGINT,
 
 @registered("minhash_bands", f"WITH {MINHASH} SELECT id, CAST(band AS BIGINT) AS band, h AS hash FROM band")
 def minhash_bands(spark, d):
-    sig = _prepared(spark, d).where(F.size("ingredient_set") >= 5).select("id", F.posexplode(hashing.ingredient_keys(F.col("ingredient_set"))).alias("band", "key"))
+    sets = a.items(spark, d).select("id", text.normalized_set(F.col("ingredients")).alias("ingredient_set"))
+    sig = sets.where(F.size("ingredient_set") >= 5).select("id", F.posexplode(hashing.ingredient_keys(F.col("ingredient_set"))).alias("band", "key"))
     value = F.conv(F.upper(F.element_at(F.split("key", ":"), 3)), 36, 10).cast("long")
     return sig.select("id", F.col("band").cast("long").alias("band"), value.alias("hash"))
 
@@ -277,25 +282,6 @@ keyed AS (SELECT id, 'gtin:' || gtin14 AS key FROM item WHERE gtin14 IS NOT NULL
           UNION ALL SELECT id, 'ing:' || band || ':' || h FROM band)"""
 
 
-@registered("candidate_pairs", f"WITH {KEYED} SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.key = y.key AND x.id < y.id")
-def candidate_pairs(spark, d):
-    """Fine keys alone: a whole-brand bucket of these 25 brands would pair a 25th of the catalog with itself."""
-    return blocking.candidate_pairs(_prepared(spark, d), fine_only=True).select("a", "b")
-
-
-@registered("all_candidate_pairs", f"""WITH {KEYED}, every AS (SELECT * FROM keyed UNION ALL SELECT id, 'brand:' || brand_key AS key FROM item WHERE brand_key IS NOT NULL)
-SELECT DISTINCT x.id AS a, y.id AS b FROM every x JOIN every y ON x.key = y.key AND x.id < y.id""")
-def all_candidate_pairs(spark, d):
-    """All keys, whole brands too: the result itself grows with the square of a brand."""
-    return blocking.candidate_pairs(_prepared(spark, d)).select("a", "b")
-
-
-@registered("cluster_listings")
-def cluster_listings(spark, d):
-    """Clusters of the catalog by the matcher, over all keys; brands meet by name words, which finds the same links."""
-    return matching.cluster_listings(_prepared(spark, d), brand_words=matching.brand_words_suffice(matching.SHIPPED))[0]
-
-
 @registered("clusters_by_code", f"""WITH RECURSIVE {a.PRODUCT}, g AS (SELECT id, {GTIN} AS k FROM product), h AS (SELECT id, k, min(id) OVER (PARTITION BY k) AS head FROM g WHERE k IS NOT NULL),
 s AS (SELECT id, display_name || '|' || CAST(size_value AS BIGINT) || '|' || brand_id AS k FROM product), sh AS (SELECT id, min(id) OVER (PARTITION BY k) AS head FROM s),
 e AS (SELECT id AS a, head AS b FROM h UNION SELECT head, id FROM h UNION SELECT id, head FROM sh UNION SELECT head, id FROM sh),
@@ -313,21 +299,6 @@ def clusters_by_code(spark, d):
     return matching.clusters(p.select("id"), links)
 
 
-@registered("resolve_sightings")
-def resolve_sightings(spark, d):
-    """Synthetic sightings of all products against the catalog, over all keys."""
-    c = _prepared(spark, d)
-    seen = graph.kept(blocking.prepared(training.synthetic_sightings(a.items(spark, d)), a.brands(spark, d)), "prepared")
-    return matching.resolve(seen, c).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
-
-
-@registered("pair_scores")
-def pair_scores(spark, d):
-    """Features, model score and hand score of all candidate pairs, over all keys."""
-    out = matching.scored_pairs(_prepared(spark, d)).withColumn("hand", matching.hand_score())
-    return out.select("a", "b", *[F.col(f).cast("double").alias(f) for f in matching.FEATURES], r6("score").alias("score"), r6("hand").alias("hand"))
-
-
 # ------------------------------------------------------------------------------------------------ raters
 
 
@@ -375,20 +346,6 @@ def ethics_scores(spark, d):
     return raters.ethics_scores(_products(spark, d), a.brands(spark, d)).select("product_id", "score", "status", "via_parent")
 
 
-@registered("derived_listings")
-def derived_listings(spark, d):
-    """Listings of the three derived raters."""
-    p = _products(spark, d)
-    h = raters.hazard_scores(p.select(F.col("id").alias("product_id"), "ingredients"))
-    k = raters.packaging_scores(p.select(F.col("id").alias("product_id"), "materials"))
-    e = raters.ethics_scores(p, a.brands(spark, d))
-    out = None
-    for scores, prefix, source in ((h, "hz", "ingredient-hazard"), (k, "pk", "packaging-scan"), (e, "be", "cruelty-free")):
-        one, _ = raters.rater_listings(p, scores, prefix, source, "2024-01-01 00:00:00")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ------------------------------------------------------------------------------------------------ training
 
 PROBS = "pr AS (SELECT l.quality AS label, round(least(1.0, d.n_chars / 5000.0), 3)::DOUBLE AS p FROM labels l JOIN documents d USING (doc_id))"
@@ -432,35 +389,20 @@ CUTS = (70, 80, 90)
 
 @registered("brand_sizes", f"WITH {SIZED} SELECT product_id, brand_own, brand_size FROM sized")
 def brand_sizes(spark, d):
-    return training.brand_sizes(_prepared(spark, d)).select("product_id", "brand_own", "brand_size")
+    return training.brand_sizes(_named(spark, d)).select("product_id", "brand_own", "brand_size")
 
 
 @registered("profile_by_bucket", f"""WITH {SIZED}, b AS (SELECT unnest(['tail', 'small', 'mid', 'head']) AS bucket),
 g AS (SELECT {CUT} AS bucket, count(*) AS products, count(DISTINCT brand_own) AS brands, avg(CASE WHEN gtin14 IS NULL THEN 0.0 ELSE 1.0 END) AS gc, avg(ni) AS mi, avg(nt) AS mt FROM sized GROUP BY 1)
 SELECT b.bucket, coalesce(products, 0) AS products, coalesce(brands, 0) AS brands, round(coalesce(gc, 0), 6) AS gtin_coverage, round(coalesce(mi, 0), 6) AS mean_ingredients, round(coalesce(mt, 0), 6) AS mean_name_tokens FROM b LEFT JOIN g USING (bucket)""")
 def profile_by_bucket(spark, d):
-    out = training.profile_by_bucket(_prepared(spark, d), CUTS)
+    out = training.profile_by_bucket(_named(spark, d), CUTS)
     return out.select("bucket", "products", "brands", *[r6(c).alias(c) for c in ("gtin_coverage", "mean_ingredients", "mean_name_tokens")])
 
 
 @registered("stratified_probes", f"""WITH {SIZED}, r AS (SELECT product_id, row_number() OVER (PARTITION BY {CUT} ORDER BY ('0x' || substr(md5('1|' || product_id), 1, 8))::BIGINT, product_id) AS r FROM sized) SELECT product_id FROM r WHERE r <= 50""")
 def stratified_probes(spark, d):
-    return training.stratified_probes(_prepared(spark, d), 50, cutoffs=CUTS).select("product_id")
-
-
-@registered("recall_by_bucket")
-def recall_by_bucket(spark, d):
-    """Recall of synthetic sightings by brand size."""
-    c = _prepared(spark, d)
-    probes = training.stratified_probes(c, 50, cutoffs=CUTS)
-    return training.recall_by_bucket(training.measure_recall(probes, c, a.brands(spark, d), cutoffs=CUTS))
-
-
-@registered("labeled_pairs")
-def labeled_pairs(spark, d):
-    """Training pairs by label and kind: own sightings, others of a block, changed variants, without brand, other brands."""
-    pairs = training.labeled_pairs(_prepared(spark, d), a.brands(spark, d), brandless=1)
-    return pairs.groupBy("label", F.element_at(F.split("id", "-"), 3).alias("kind")).agg(F.count("*").alias("n"))
+    return training.stratified_probes(_named(spark, d), 50, cutoffs=CUTS).select("product_id")
 
 
 # ------------------------------------------------------------------------------------------------ pages
@@ -479,10 +421,3 @@ SELECT page_id, CASE WHEN regexp_matches(url, '^https?://([^/]*[.])?amazon[.]com
        nullif(upper(regexp_extract(url, '/(?:dp|gp/product)/([A-Za-z0-9]{{10}})(?:[/?#]|$)', 1)), '') AS asin FROM u""")
 def page_sites(spark, d):
     return _pages(spark, d).select("page_id", shop_pages.site_of(F.col("url")).alias("site"), text.asin_from_url(F.col("url")).alias("asin"))
-
-
-@registered("page_sightings")
-def page_sightings(spark, d):
-    """Sightings of product pages and whether they are of cosmetics."""
-    s = shop_pages.sightings(_pages(spark, d))
-    return s.withColumn("c", shop_pages.classify_cosmetic(F.col("raw_name"), F.col("category"))).select("page_id", "source", "asin", "raw_name", "raw_brand", "raw_gtin", "raw_ingredients", "category", "c.cosmetic", "c.reason")

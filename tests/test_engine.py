@@ -211,6 +211,7 @@ def test_catalog_reads(spark, rated):
 
 def test_registered_sightings_resolve_over_all_keys(spark, monkeypatch):
     from panelyst.plans import adapters
+    from panelyst.plans import matching_queries  # noqa: F401
     from panelyst.plans.catalog_queries import QUERIES
 
     monkeypatch.setattr(blocking, "TILE_ROWS", 3)
@@ -237,6 +238,7 @@ def test_pairs_of_a_brand_alone_stay_below_the_threshold():
 
 def test_registered_pairs_and_clusters_over_all_keys(spark, monkeypatch):
     from panelyst.plans import adapters
+    from panelyst.plans import matching_queries  # noqa: F401
     from panelyst.plans.catalog_queries import QUERIES
 
     monkeypatch.setattr(blocking, "TILE_ROWS", 3)

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from panelyst.plans import feed_queries, matching_queries  # noqa: F401
 from panelyst.plans.catalog_queries import ORACLE_SQL, QUERIES
 
 from .conftest import DATA
