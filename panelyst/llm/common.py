@@ -22,7 +22,7 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     megabytes in each task.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    said = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", spark.conf.get(key, "-1").strip().lower())
+    said = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", spark.conf.get(key).strip().lower())
     now = int(said[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[said[2]] if said else -1
     if now <= 0 or now > most:
         spark.conf.set(key, str(most))
