@@ -21,10 +21,12 @@ Q = 8
 WINDOW = 64
 STRIDE = 16
 RATE = 0.08
-#: Items of fewer letters and digits say nothing about contamination and match nothing.
+#: Items of fewer letters and digits are too common within texts; they match documents that hold nothing else.
 LEAST = 24
-#: Bytes of items that are sent to the executors at a time.
-BLOCK_BYTES = 8 << 20
+#: Bytes of items that are sent to the executors at a time; an index takes about 30 bytes for each.
+BLOCK_BYTES = 4 << 20
+#: Shared q-grams that are laid out at a time; those of one document are at once.
+HITS = 1 << 20
 
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
@@ -55,17 +57,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, stride: int = STRIDE, rate: float = RATE):
         self.ids, self.texts, self.windows, codes, where, place = [], [], [], [], [], []
+        self.short: dict[bytes, list[int]] = {}
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             norm, _, _ = normalise(raw, np.array([0, len(raw)]))
             if len(norm) < LEAST:
+                if len(norm):
+                    self.short.setdefault(norm.tobytes(), []).append(item)
                 continue
             length = min(window, len(norm))
             starts = sorted({*range(0, len(norm) - length + 1, stride), len(norm) - length})
             g = grams(norm)
             codes.append(g)
-            where.append(np.full(len(g), len(self.ids), np.int64))
-            place.append(np.arange(len(g)))
+            where.append(np.full(len(g), len(self.ids), np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
             self.ids.append(item)
             self.texts.append(norm)
             self.windows.append((length, np.array(starts)))
@@ -74,33 +79,45 @@ class Index:
         self.band = (max(self.edits) if self.edits else 0) + 1
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.item = np.concatenate(where)[order] if codes else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if codes else np.empty(0, np.int64)
-        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.item = np.concatenate(where)[order] if codes else np.empty(0, np.int32)
+        self.place = np.concatenate(place)[order] if codes else np.empty(0, np.int32)
+        self.codes, first, many = np.unique(code[order], return_index=True, return_counts=True)
+        self.first, self.many = first.astype(np.int32), many.astype(np.int32)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[_slot(self.codes)] = True
 
     def hits(self, norm: np.ndarray, docs: np.ndarray):
-        """(document, place in it, item, place in that) of every shared q-gram."""
+        """(document, place in it, item, place in that) of every shared q-gram, some documents at a time."""
         g = grams(norm)
         at = np.flatnonzero(self.table[_slot(g)])
         if not len(at) or not len(self.codes):
-            return (np.empty(0, np.int64),) * 4
+            return
         i = np.minimum(np.searchsorted(self.codes, g[at]), len(self.codes) - 1)
         same = self.codes[i] == g[at]
         at, i = at[same], i[same]
         doc = np.searchsorted(docs, at, side="right") - 1
         inside = at + Q <= docs[doc + 1]
         at, i, doc = at[inside], i[inside], doc[inside]
-        many = self.many[i]
-        which = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[i], many)
-        return np.repeat(doc, many), np.repeat(at - docs[doc], many), self.item[which], self.place[which]
+        upto = np.concatenate([[0], np.cumsum(self.many[i], dtype=np.int64)])
+        a = 0
+        while a < len(at):
+            b = min(int(np.searchsorted(upto, upto[a] + HITS)), len(at))
+            b = int(np.searchsorted(doc, doc[b])) if b < len(at) else b
+            b = b if b > a else int(np.searchsorted(doc, doc[a], side="right"))
+            many = self.many[i[a:b]]
+            which = np.arange(int(many.sum())) - np.repeat(np.cumsum(many, dtype=np.int64) - many, many) + np.repeat(self.first[i[a:b]], many)
+            yield np.repeat(doc[a:b], many), np.repeat(at[a:b] - docs[doc[a:b]], many), self.item[which].astype(np.int64), self.place[which].astype(np.int64)
+            a = b
 
     def regions(self, norm: np.ndarray, docs: np.ndarray):
-        """(document, item, window start, first diagonal of the band) of windows with enough shared q-grams in a band."""
-        doc, place, item, inner = self.hits(norm, docs)
-        if not len(doc):
-            return
+        """(document, item, window start, first diagonal of the band, first) of windows with enough shared q-grams in a band.
+
+        ``first`` marks windows at the stride; the others are for those bands where none of these is verified.
+        """
+        for hits in self.hits(norm, docs):
+            yield from self._banded(*hits)
+
+    def _banded(self, doc: np.ndarray, place: np.ndarray, item: np.ndarray, inner: np.ndarray):
         diagonal = place - inner + (1 << 22)
         band = diagonal // self.band
         doc, item, inner = (np.concatenate([x, x]) for x in (doc, item, inner))
@@ -113,11 +130,13 @@ class Index:
         ends = np.append(starts[1:], len(doc))
         enough = np.flatnonzero(ends - starts >= self.least[item[starts]])
         for a, b in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
-            length, windows = self.windows[item[a]]
+            length, strided = self.windows[item[a]]
             own = np.unique(inner[a:b])
+            windows = np.arange(max(0, int(own[0]) - length + Q), min(int(own[-1]), len(self.texts[item[a]]) - length) + 1)
             count = np.searchsorted(own, windows + length - Q, side="right") - np.searchsorted(own, windows)
-            for s in windows[count >= self.least[item[a]]].tolist():
-                yield int(doc[a]), int(item[a]), s, int(band[a]) * self.band - (1 << 22)
+            windows = windows[count >= self.least[item[a]]]
+            for s, first in zip(windows.tolist(), np.isin(windows, strided).tolist(), strict=True):
+                yield int(doc[a]), int(item[a]), s, int(band[a]) * self.band - (1 << 22), first
 
 
 def banded_edits(patterns: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +159,38 @@ def banded_edits(patterns: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def matches(index: Index, values: np.ndarray, offsets: np.ndarray):
-    """(document, item, first byte, last byte + 1, edits) of every verified window in a slice of documents."""
+    """(document, item, first byte, last byte + 1, edits) of every verified window in a slice of documents.
+
+    Windows at the stride are aligned first; a document and item without a verified one have all their other windows with
+    enough shared q-grams aligned, so whether they match doesn't depend on where an excerpt begins.
+    """
     norm, docs, raw = normalise(values, offsets)
+    sizes = np.diff(docs)
+    for doc in np.flatnonzero((sizes > 0) & (sizes < LEAST)).tolist() if index.short else ():
+        for item in index.short.get(norm[docs[doc] : docs[doc + 1]].tobytes(), ()):
+            yield doc, item, int(raw[docs[doc]] - offsets[doc]), int(raw[docs[doc + 1] - 1] + 1 - offsets[doc]), 0
+    strided: list = []
+    others: dict[tuple[int, int], list] = {}
+    for doc, item, s, diagonal, first in index.regions(norm, docs):
+        if first:
+            strided.append((doc, item, s, diagonal))
+        else:
+            others.setdefault((doc, item), []).append((doc, item, s, diagonal))
+    seen = set()
+    for match in _aligned(index, norm, docs, raw, offsets, strided):
+        seen.add(match[:2])
+        yield match[0], index.ids[match[1]], *match[2:]
+    rest = [row for key, rows in others.items() if key not in seen for row in rows]
+    for doc, item, *place in _aligned(index, norm, docs, raw, offsets, rest):
+        yield doc, index.ids[item], *place
+
+
+def _aligned(index: Index, norm: np.ndarray, docs: np.ndarray, raw: np.ndarray, offsets: np.ndarray, windows: list):
+    """(document, place of the item, first byte, last byte + 1, edits) of windows whose alignment in their band is near enough."""
     found: dict[tuple[int, int], list] = {}
-    for doc, item, s, diagonal in index.regions(norm, docs):
-        length, _ = index.windows[item]
-        found.setdefault((length, index.edits[item]), []).append((doc, item, s, diagonal))
+    for row in windows:
+        length, _ = index.windows[row[1]]
+        found.setdefault((length, index.edits[row[1]]), []).append(row)
     for (length, edits), rows in found.items():
         width = 2 * index.band + 2 * edits
         for part in (rows[i : i + 4096] for i in range(0, len(rows), 4096)):
@@ -167,10 +212,10 @@ def matches(index: Index, values: np.ndarray, offsets: np.ndarray):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Matches: doc_id, item_id, windows (of the item that were found), edits (fewest), first_byte, end_byte (their extent).
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Windows of ``window`` letters and digits of an
-    item, ``stride`` apart, or the whole of a shorter item, match with at most ``rate`` edits a byte. Null and empty texts
-    match nothing, nor do items of fewer than LEAST letters and digits. Rows with equal doc_id make one row of the
-    result with an item. The benchmark goes to the executors in blocks of about ``block_bytes``.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Any ``window`` letters and digits in a row of an
+    item, or the whole of a shorter item, match with at most ``rate`` edits a byte; items of fewer than LEAST match documents
+    that hold nothing else. windows counts those ``stride`` apart, or, where none of these matches, all. Null and empty texts
+    match nothing. Rows with equal doc_id make one row of the result with an item. The benchmark goes to the executors in blocks of about ``block_bytes``.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
@@ -190,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     if rows:
                         doc, item, first, end, edits = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [cut.column(0).take(pa.array(doc)), pa.array([index.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in (edits, first, end)]],
+                            [cut.column(0).take(pa.array(doc)), pa.array(item, pa.int64()), *[pa.array(x, pa.int64()) for x in (edits, first, end)]],
                             ["doc_id", "item_id", "edits", "first_byte", "end_byte"],
                         )
 
@@ -203,5 +248,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a match; those with a null doc_id stay only if no document with one matches."""
-    leaks = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    leaks = contamination(docs, benchmark, **options).select("doc_id").distinct().alias("leaks")
+    return docs.alias("docs").join(leaks, F.expr("docs.doc_id <=> leaks.doc_id"), "left_anti")

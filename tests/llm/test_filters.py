@@ -39,6 +39,54 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert dc.contamination(odd(spark), bench).count() == 0
 
 
+def _nearest(pattern, text):
+    """Fewest edits between a pattern and any stretch of a text."""
+    d = np.zeros(len(text) + 1, int)
+    steps = np.arange(len(text) + 1)
+    for i, p in enumerate(pattern):
+        new = np.concatenate([[i + 1], np.minimum(d[:-1] + (text != p), d[1:] + 1)])
+        d = np.minimum.accumulate(new - steps) + steps
+    return d.min()
+
+
+def test_contamination_by_brute_force(spark, monkeypatch):
+    """Every pair of a document and an item, by the nearest alignment of every window of the item."""
+    monkeypatch.setattr(dc, "HITS", 40)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, letters(rng.choice([24, 40, 60]))) for i in range(8)] + [(8, "tiny one"), (9, "")]
+    docs = []
+    for i in range(60):
+        t = letters(60)
+        if i % 3:
+            s = rng.choice(items[:8])[1]
+            a = rng.randrange(max(1, len(s) - 16))
+            cut = list(s[a : a + rng.randint(12, 30)])
+            for _ in range(rng.randrange(3)):
+                cut[rng.randrange(len(cut))] = rng.choice("xyz")
+            t = t[:20] + "".join(cut) + t[20:]
+        docs.append((i, t))
+    docs += [(60, " Tiny, one! "), (61, "a tiny one"), (62, None)]
+    want = set()
+    for d, t in docs:
+        text = np.frombuffer((t or "").encode(), np.uint8)
+        for i, item in items[:8]:
+            p = np.frombuffer(item.encode(), np.uint8)
+            if t and any(_nearest(p[s : s + 16], text) <= 1 for s in range(len(p) - 15)):
+                want.add((d, i))
+    got = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=16, stride=4, rate=0.0625)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want | {(60, 8)} and len(want) > 15
+
+
+@pytest.mark.parametrize("start", range(0, 17, 5))
+def test_excerpts_at_any_phase(spark, start):
+    rng = random.Random(4)
+    item, other = _sentence(rng, 60), _sentence(rng, 30)
+    norm = "".join(c for c in item if c.isalnum())
+    docs = spark.createDataFrame([(1, other + " " + norm[start : start + 64] + " " + other), (2, other)], "doc_id long, text string")
+    assert [r.doc_id for r in dc.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
 def test_banded_edits_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
