@@ -7,6 +7,7 @@ payload is the binary file format described at encode_segment.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from functools import lru_cache
@@ -192,6 +193,11 @@ def piece_starts(cps: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin[:n])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range in turn."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Encoder:
     """Encodes lists of texts with a tokenizer file; equal pieces are encoded once and kept by hash.
 
@@ -203,16 +209,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        # what piece_starts() cuts; with any other file whole texts are encoded
+        before = said.get("pre_tokenizer") or {}
+        self.by_pieces = (
+            said.get("normalizer") is None
+            and said.get("truncation") is None
+            and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+            and all(t["content"].startswith("<|") for t in said.get("added_tokens") or [])
+        )
         self._clear()
 
     def _clear(self) -> None:
         self.hashes, self.starts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.lengths, self.flat = np.empty(0, np.int32), np.empty(0, np.uint16)
+        self.cp_starts, self.cp_lengths, self.cps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _find(self, hashes: np.ndarray, text: str, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def _find(self, hashes: np.ndarray, text: str, cps: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Index of each hash (ascending, distinct) in the kept table; missing pieces are encoded."""
         at = np.searchsorted(self.hashes, hashes)
         known = at < len(self.hashes)
@@ -229,6 +246,10 @@ class Encoder:
             self.hashes = np.insert(self.hashes, at[new], hashes[new])
             self.starts = np.insert(self.starts, at[new], starts)
             self.lengths = np.insert(self.lengths, at[new], lengths)
+            sizes = last[new] - first[new]
+            self.cp_starts = np.insert(self.cp_starts, at[new], len(self.cps) + np.cumsum(sizes) - sizes)
+            self.cp_lengths = np.insert(self.cp_lengths, at[new], sizes)
+            self.cps = np.concatenate([self.cps, cps[_ranges(first[new], sizes)]])
             at = np.searchsorted(self.hashes, hashes)
         return at
 
@@ -249,7 +270,12 @@ class Encoder:
         ends = np.append(starts[1:], len(cps))
         if len(self.hashes) + len(distinct) > self.keep:
             self._clear()
-        at = self._find(distinct, text, starts[first], ends[first])[which]
+        at = self._find(distinct, text, cps, starts[first], ends[first])[which]
+        sizes = ends - starts
+        # pieces are found by hash and then compared
+        if (self.cp_lengths[at] != sizes).any() or (self.cps[_ranges(self.cp_starts[at], sizes)] != cps).any():
+            ids = [self._whole(t) for t in texts]
+            return np.concatenate(ids), np.array([len(i) for i in ids])
         lengths = self.lengths[at].astype(np.int64)
         upto = np.cumsum(lengths)
         take = np.arange(int(upto[-1])) + np.repeat(self.starts[at] - (upto - lengths), lengths)
@@ -261,7 +287,7 @@ class Encoder:
         out: list = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
-            if "<|" in t or not t.isascii() and not self._known(t):
+            if not self.by_pieces or "<|" in t or not t.isascii() and not self._known(t):
                 out[i] = self._whole(t)
             else:
                 plain.append(i)
