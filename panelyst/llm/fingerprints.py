@@ -38,9 +38,18 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merge_all(k: int = K):
-    """An aggregate for sketches of many rows: merge_all()(column); each distinct hash is kept once."""
-    return lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))), 1, k)
+def merge_groups(df: DataFrame, by: list[str], column: str, k: int = K, fan: int = 64) -> DataFrame:
+    """(by, column): the sketch of all rows of each group. About ``fan`` sketches meet at a time and are cut to k hashes, as
+    often as the largest group needs, so no task gathers a group. A null sketch adds nothing; an empty table gives none."""
+    of = lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k)
+    rows = df.select(*by, F.col(column).alias("sketch"))
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    while largest > fan:
+        slots = -(-largest // fan)
+        slot = F.pmod(F.monotonically_increasing_id(), F.lit(slots))
+        rows = rows.withColumn("slot", slot).groupBy(*by, "slot").agg(of("sketch").alias("sketch")).drop("slot")
+        largest = slots
+    return rows.groupBy(*by).agg(of("sketch").alias(column))
 
 
 def _share(part: Column, whole: Column) -> Column:

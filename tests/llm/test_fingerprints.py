@@ -46,4 +46,6 @@ def test_sketches_estimate_and_merge(spark):
     assert abs(r.j - len(s & t) / len(s | t)) < 0.12 and abs(r.c - len(s & t) / len(t)) < 0.15 and abs(r.n / len(s) - 1) < 0.2
     assert r.back == r.x and len(r.m) == 256
     both = df.select(fp.sketch(F.col("a"), 256).alias("s")).union(df.select(fp.sketch(F.col("b"), 256).alias("s")))
-    assert both.agg(fp.merge_all(256)(F.col("s")).alias("m")).first().m == r.m
+    grouped = both.select(F.lit(1).alias("g"), "s")
+    for fan in (2, 64):
+        assert fp.merge_groups(grouped.unionByName(grouped).unionByName(grouped), ["g"], "s", 256, fan).first().s == r.m
