@@ -49,11 +49,11 @@ def tokens(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def unigram_keys(token: np.ndarray) -> np.ndarray:
-    return token >> _U(8)
+    return token
 
 
 def bigram_keys(token: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return textscan.mix(before * _U(0x9E6C63D0876A9A47) + token) >> _U(8)
+    return textscan.mix(before * _U(0x9E6C63D0876A9A47) + token)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
