@@ -42,7 +42,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each text without repeated strings of 400 bytes."""
     out = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_shared")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,13 @@ _U = np.uint64
 LENGTH = 400
 #: Bytes of the strings whose hashes choose the sample.
 GRAM = 64
+#: Shared passages of this many bytes and more, which may be too short to go, always show in longest_shared.
+PASSAGE = 192
 #: Text bytes a shard of names is made for.
 SHARD_BYTES = 8 << 20
 SLICE = 2 << 20
 
-NAME, RUN, WINDOW = 0, 1, 2
+NAME, RUN, WINDOW, SHORT = 0, 1, 2, 3
 
 
 def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,13 +52,13 @@ def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
 class Scan:
     """Runs of windows of a slice of documents, and hashes of any of its strings."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray, length: int):
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, length: int, short: bool = False):
         n = len(values)
         gram = min(GRAM, length)
         self.length = length
-        self.first = self.last = np.empty(0, np.int64)
-        self.names = np.empty(0, _U)
-        if n < length:
+        self.first = self.last = self.picks = np.empty(0, np.int64)
+        self.names = self.short_names = np.empty(0, _U)
+        if n < min(length, PASSAGE):
             return
         terms = textscan._BYTE[values]
         terms *= textscan.powers(textscan._BASE, n)
@@ -67,14 +69,23 @@ class Scan:
         grams = self.hashes(np.arange(n - gram + 1), gram)
         # the place breaks ties, so that equal strings in one window stay apart: the first of them is the sample
         place = _U((1 << max(22, n.bit_length())) - 1)
-        least = least_of_windows((grams & ~place) | np.arange(len(grams), dtype=_U), length - gram + 1) & place
-        room = np.zeros(n + 1, np.int32)
-        sizes = np.diff(offsets)
-        fits = sizes >= length
-        np.add.at(room, offsets[:-1][fits], 1)
-        np.add.at(room, offsets[1:][fits] - length + 1, -1)
-        start = np.flatnonzero(np.cumsum(room[: len(least)]) > 0)
-        least = least[start]
+        ranked = (grams & ~place) | np.arange(len(grams), dtype=_U)
+
+        def sampled(width: int) -> tuple[np.ndarray, np.ndarray]:
+            """(start, place of the sample) of every window of ``width`` bytes within a document."""
+            least = least_of_windows(ranked, width - gram + 1) & place
+            room = np.zeros(n + 1, np.int32)
+            fits = np.diff(offsets) >= width
+            np.add.at(room, offsets[:-1][fits], 1)
+            np.add.at(room, offsets[1:][fits] - width + 1, -1)
+            start = np.flatnonzero(np.cumsum(room[: len(least)]) > 0)
+            return start, least[start]
+
+        if short:
+            _, least = sampled(max(gram, min(PASSAGE, length)))
+            self.picks = np.unique(least).astype(np.int64)
+            self.short_names = grams[self.picks]
+        start, least = sampled(length)
         new = np.ones(len(start), bool)
         new[1:] = (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.flatnonzero(new)
@@ -101,11 +112,11 @@ class Scan:
         return starts, own, check.astype("<u2")
 
 
-def _scans(table: pa.Table, length: int):
+def _scans(table: pa.Table, length: int, short: bool = False):
     for batch in table.to_batches():
         for cut in textscan.slices(batch, limit=SLICE):
             values, offsets = textscan.text_buffer(cut.column(1))
-            yield cut, values, offsets, Scan(values, offsets, length)
+            yield cut, values, offsets, Scan(values, offsets, length, short)
 
 
 REQUEST = "shard int, chunk long, kind int, names binary, checks binary, again binary"
@@ -188,18 +199,19 @@ class _Found:
         return k, c, repeated, chosen
 
 
-def _chunk_names(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    scans = [s for *_, s in _scans(table, length)]
-    return np.concatenate([s.names for s in scans]), np.concatenate([s.runs() for s in scans])
+def _chunk_names(table: pa.Table, length: int) -> dict[int, np.ndarray]:
+    scans = [s for *_, s in _scans(table, length, True)]
+    parts = {NAME: [s.names for s in scans], RUN: [s.runs() for s in scans], SHORT: [s.short_names for s in scans]}
+    return {kind: np.concatenate(own) for kind, own in parts.items()}
 
 
 def _none(keys: np.ndarray) -> np.ndarray:
     return np.zeros(len(keys), "<u2")
 
 
-def _judged(table: pa.Table, found: _Found, length: int) -> list:
+def _judged(table: pa.Table, found: _Found, length: int, short: bool = False) -> list:
     """For each slice: (cut, values, offsets, scan, runs repeated throughout, runs whose windows are to be compared)."""
-    slices = list(_scans(table, length))
+    slices = list(_scans(table, length, short))
     names = [scan.names for *_, scan in slices]
     runs = [scan.runs() for *_, scan in slices]
     k, _, repeated, _ = found.table(NAME, all_names := np.concatenate(names), _none(all_names))
@@ -220,7 +232,9 @@ def _judged(table: pa.Table, found: _Found, length: int) -> list:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): spans of repeated bytes, as array<struct<first, end>>, and the other bytes, joined.
+    """(doc_id, n_bytes, spans, kept, longest_shared): spans of repeated bytes, as array<struct<first, end>>, and the other
+    bytes, joined; longest_shared, the bytes from the first to the last of strings of GRAM bytes in a row, sampled by content,
+    that all start elsewhere too: above 0 wherever PASSAGE bytes recur, though they be too few to be removed.
 
     docs: doc_id, text; other columns are ignored. Texts are UTF-8 bytes, null ones empty; strings never cross documents,
     and overlapping ones count. Rows with equal ids are documents of their own, and equal rows repeat each other. An empty
@@ -233,8 +247,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def ask_names(batches):
         for name, table in chunks(batches):
-            names, runs = _chunk_names(table, length)
-            yield _request_batch([*_requests(name, NAME, names, _none(names), shards), *_requests(name, RUN, runs, _none(runs), shards)])
+            kinds = _chunk_names(table, length)
+            yield _request_batch([r for kind, keys in kinds.items() for r in _requests(name, kind, keys, _none(keys), shards)])
 
     names = written(_answers(rows.mapInArrow(ask_names, REQUEST)), "suffix-names", compression="none")
 
@@ -260,7 +274,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut_out(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found, out = _Found(answers, shards), []
         for blob in texts.column("rows"):
-            judged = _judged(unpack_rows(blob.as_py()), found, length)
+            judged = _judged(unpack_rows(blob.as_py()), found, length, True)
+            short = np.concatenate([j[3].short_names for j in judged])
+            names, _, common, _ = found.table(SHORT, short, _none(short))
             windows = [scan.windows(which) for *_, scan, _, which in judged]
             k, c, repeated, _ = found.table(WINDOW, *joined(windows))
             both_keys = textscan.mix(k) + c
@@ -275,18 +291,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     delta[start] += 1  # starts differ
                     delta[start + length] -= 1
                 gone = np.cumsum(delta[:-1]) > 0
-                out.append(_cut(cut, values, offsets, gone))
+                out.append(_cut(cut, values, offsets, gone, _longest(scan, offsets, common[np.searchsorted(names, scan.short_names)])))
         return pa.concat_tables(out) if out else _OUT.empty_table()
 
-    schema = "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept binary"
+    schema = "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept binary, longest_shared long"
     return sent.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut_out, schema)
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept", pa.binary()), ("longest_shared", pa.int64())])
+
+
+def _longest(scan: Scan, offsets: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each document, the bytes of its longest row of sampled strings that all recur."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    at = scan.picks[common]
+    if len(at):
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        which = np.flatnonzero(common)
+        new = np.ones(len(at), bool)
+        new[1:] = (which[1:] != which[:-1] + 1) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        np.maximum.at(out, doc[first], at[last] - at[first] + min(GRAM, scan.length))
+    return out
 
 
-def _cut(cut: pa.RecordBatch, values: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
+def _cut(cut: pa.RecordBatch, values: np.ndarray, offsets: np.ndarray, gone: np.ndarray, longest: np.ndarray) -> pa.Table:
     """Spans of ``gone`` within each document, and the bytes that stay."""
     edge = np.zeros(len(values) + 1, bool)
     edge[offsets] = True
@@ -305,6 +336,7 @@ def _cut(cut: pa.RecordBatch, values: np.ndarray, offsets: np.ndarray, gone: np.
             "n_bytes": pa.array(np.diff(offsets)),
             "spans": spans,
             "kept": pa.array([kept[a:b] for a, b in zip(stay[:-1].tolist(), stay[1:].tolist(), strict=True)], pa.binary()),
+            "longest_shared": pa.array(longest),
         }
     ).cast(_OUT)
 

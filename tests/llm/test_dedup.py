@@ -3,6 +3,7 @@ import random
 from panelyst.llm import line_dedup as ld
 from panelyst.llm import substring_dedup as sd
 
+from ..conftest import DATA
 from .helpers import empty, odd
 
 
@@ -36,6 +37,23 @@ def test_substrings_by_brute_force(spark):
     check_spans(spark.createDataFrame(rows, "doc_id long, text string"), 100)
 
 
+def test_query_by_brute_force(spark, monkeypatch):
+    """400 bytes over a whole table and many shards, and passages that are too short to go."""
+    monkeypatch.setattr(sd, "SHARD_BYTES", 16 << 10)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(52))
+    assert 250 < len(passage) < 400
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    planted = [(10_000 + i, " ".join(word() for _ in range(40)) + f" {i} {passage} {i} " + " ".join(word() for _ in range(40))) for i in range(6)]
+    fresh = [(20_000 + i, " ".join(word() for _ in range(120))) for i in range(20)]
+    df = spark.createDataFrame(texts + planted + fresh, "doc_id long, text string").repartition(5)
+    check_spans(df, 400)
+    got = {r.doc_id: r for r in sd.repeated_spans(df).collect()}
+    assert all(got[d].longest_shared >= 64 and not got[d].spans for d, _ in planted)
+    assert all(got[d].longest_shared == 0 for d, _ in fresh)
+
+
 def test_substrings_of_odd_rows(spark):
     check_spans(odd(spark), 40)
     assert sd.repeated_spans(empty(spark)).count() == 0
