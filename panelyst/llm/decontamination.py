@@ -239,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                             ["doc_id", "item_id", "edits", "first_byte", "end_byte"],
                         )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, first_byte long, end_byte long")
+        part = docs.select("doc_id", "text").mapInArrow(textscan.tidy(run), "doc_id long, item_id long, edits long, first_byte long, end_byte long")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("windows"), F.min("edits").alias("edits"), F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte")

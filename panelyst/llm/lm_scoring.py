@@ -112,7 +112,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
                 ["shard", "chunk", "level", "dev", "keys", "counts"],
             )
 
-    return docs.mapInArrow(run, REQUEST)
+    return docs.mapInArrow(textscan.tidy(run), REQUEST)
 
 
 ANSWER = "chunk long, shard int, level int, rest binary, dev binary, tokens_rest long, tokens_dev long, types_rest long, types_all long"
@@ -148,7 +148,7 @@ def answers(asked: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in ANSWER.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return asked.groupBy("shard").applyInArrow(run, ANSWER)
+    return asked.groupBy("shard").applyInArrow(textscan.tidied(run), ANSWER)
 
 
 def _looked_up(rows: pa.Table, replies: pa.Table, shards: int):
@@ -248,7 +248,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         t = np.concatenate(frames).astype(np.int64)
         return pa.table({c: pa.array(t[:, i]) for i, c in enumerate(("bucket", "q2", "q1", "n"))})
 
-    gathered = rows.mapInArrow(send(True), "chunk long, rows binary").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cells, "bucket long, q2 long, q1 long, n long")
+    gathered = rows.mapInArrow(textscan.tidy(send(True)), "chunk long, rows binary").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(textscan.tidied(cells), "bucket long, q2 long, q1 long, n long")
     # one row a cell of the grid: bounded by the grid, not by documents
     grid = gathered.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("bucket", "q2", "q1").toPandas()
     for q, p in (("q2", "p2"), ("q1", "p1")):
@@ -282,4 +282,4 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
-    return rows.mapInArrow(send(False), "chunk long, rows binary").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, schema)
+    return rows.mapInArrow(textscan.tidy(send(False)), "chunk long, rows binary").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(textscan.tidied(score), schema)

@@ -125,7 +125,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, bitmap binary")
+    return rows.mapInArrow(textscan.tidy(run), "doc_id long, text_hash long, n long, node long, bitmap binary")
 
 
 def _sharded(shard: np.ndarray, shards: int, columns: dict[str, np.ndarray]):
@@ -165,8 +165,8 @@ def frequent_shingles(docs: DataFrame, k: int, percent: int, shards: int) -> tup
             }
         )
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, keys binary")
-    counted = written(sent.groupBy("shard").applyInArrow(count, "key long, n long, total boolean"), "frequent")
+    sent = docs.select("doc_id", "text").mapInArrow(textscan.tidy(send), "shard int, keys binary")
+    counted = written(sent.groupBy("shard").applyInArrow(textscan.tidied(count), "key long, n long, total boolean"), "frequent")
     rows = counted.where("total").agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(FREQUENT, -(-rows // FREQUENT_MOST))
     # at most FREQUENT_MOST rows by the choice of ``least``
@@ -245,8 +245,8 @@ def tile_rows(docs: DataFrame, k: int, percent: int, shards: int, frequent) -> D
             }
         )
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, keys binary, nodes binary, ns binary, poss binary")
-    return sent.groupBy("shard").applyInArrow(meet, "key long, node long, n long, pos long, band long")
+    sent = docs.select("doc_id", "text").mapInArrow(textscan.tidy(send), "shard int, keys binary, nodes binary, ns binary, poss binary")
+    return sent.groupBy("shard").applyInArrow(textscan.tidied(meet), "key long, node long, n long, pos long, band long")
 
 
 def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def promising(rows: DataFrame, percent: int) -> DataFrame:
                 mark[i] = mark[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(t[0][mark]), pa.array(t[6][mark])], ["key", "node"])
 
-    found = _tiles(rows, []).mapInArrow(run, "key long, node long")
+    found = _tiles(rows, []).mapInArrow(textscan.tidy(run), "key long, node long")
     kept = written(rows.drop("rows").join(found, ["key", "node"], "left_semi"), "promising")
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("rows")), "key")
 
@@ -376,7 +376,7 @@ def cross_pairs(rows: DataFrame, every: DataFrame, bitmaps: DataFrame, percent:
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["a", "b"])
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(textscan.tidy(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -394,7 +394,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
             keep = [i for i in range(len(a)) if overlap_bound(x[i], y[i], n_a[i], n_b[i]) >= least[i]]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    left = written(sided(pairs, nodes, ["n", "bitmap"]).mapInArrow(bounded, "a long, b long"), "bounded")
+    left = written(sided(pairs, nodes, ["n", "bitmap"]).mapInArrow(textscan.tidy(bounded), "a long, b long"), "bounded")
     need = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(need, "node", "left_semi")
     ids = written(wanted.where("doc_id IS NOT NULL").select("doc_id").distinct(), "ids")
@@ -407,9 +407,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.select("doc_id", "text").join(some, "doc_id", "left_semi")
-    found = chosen.mapInArrow(arrays, "node long, items binary").where("node <> 0")
+    found = chosen.mapInArrow(textscan.tidy(arrays), "node long, items binary").where("node <> 0")
     if not nameless.isEmpty():
-        rest = docs.select("doc_id", "text").where("doc_id IS NULL").mapInArrow(arrays, "node long, items binary")
+        rest = docs.select("doc_id", "text").where("doc_id IS NULL").mapInArrow(textscan.tidy(arrays), "node long, items binary")
         # one row for each set: any number of rows without an id may have it
         found = found.unionByName(rest.join(nameless, "node", "left_semi").groupBy("node").agg(F.min("items").alias("items")))
     items = written(found, "items", compression="none")
@@ -427,7 +427,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    links = written(sided(left, items, ["items"]).mapInArrow(exact, "a long, b long").distinct(), "links")
+    links = written(sided(left, items, ["items"]).mapInArrow(textscan.tidy(exact), "a long, b long").distinct(), "links")
     for table in (pairs, left, ids, nameless, items):  # nothing reads them any more
         discard(table)
     return links

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import textscan
 from .common import free_name, new_path
 
 #: Bytes of text that one bucket is meant to hold; a task shuffles one bucket in memory.
@@ -75,7 +76,7 @@ def write_shards(docs: DataFrame, shards: int = 24, seed: int = 0, bucket_bytes:
         .withColumn("bucket", F.pmod(F.xxhash64(by_id, by_text), F.lit(per_shard).cast("long")).cast("int"))
     )
     schema = scattered.drop(by_id, by_text).withColumn("pos", F.lit(0).cast("long")).schema
-    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(_fisher_yates(seed, [by_id, by_text], to_arrow_schema(schema)), schema)
+    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(textscan.tidied(_fisher_yates(seed, [by_id, by_text], to_arrow_schema(schema))), schema)
     path = path or new_path(spark, "shards")
     shuffled.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return read_shards(spark, path, schema, columns)

@@ -176,7 +176,7 @@ def _answers(asked: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
-    return asked.groupBy("shard").applyInArrow(run, ANSWER)
+    return asked.groupBy("shard").applyInArrow(textscan.tidied(run), ANSWER)
 
 
 class _Found:
@@ -250,13 +250,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = _chunk_names(table, length)
             yield _request_batch([r for kind, keys in kinds.items() for r in _requests(name, kind, keys, _none(keys), shards)])
 
-    names = written(_answers(rows.mapInArrow(ask_names, REQUEST)), "suffix-names", compression="none")
+    names = written(_answers(rows.mapInArrow(textscan.tidy(ask_names), REQUEST)), "suffix-names", compression="none")
 
     def send(batches):
         for name, table in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pack_rows(table)], pa.binary())], ["chunk", "rows"])
 
-    sent = rows.mapInArrow(send, "chunk long, rows binary")
+    sent = rows.mapInArrow(textscan.tidy(send), "chunk long, rows binary")
 
     def joined(windows: list) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([w[1] for w in windows]), np.concatenate([w[2] for w in windows])
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out += _requests(name, WINDOW, *joined(windows), shards)
         return pa.Table.from_batches([_request_batch(out)])
 
-    asked = sent.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(ask_windows, REQUEST)
+    asked = sent.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(textscan.tidied(ask_windows), REQUEST)
     both = names.unionByName(written(_answers(asked), "suffix-windows", compression="none"))
 
     def cut_out(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.concat_tables(out) if out else _OUT.empty_table()
 
     schema = "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept binary, longest_shared long"
-    return sent.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut_out, schema)
+    return sent.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(textscan.tidied(cut_out), schema)
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))

@@ -8,6 +8,8 @@ figure or by the longest single text, whichever is larger.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,6 +32,43 @@ _BYTE_LOWER[_SPACE] = 0
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that nothing uses back to the system: workers are kept for later tasks, idle ones with all they once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function of batches that releases memory once its partition ends."""
+
+    def batches_of(batches):
+        yield from run(batches)
+        release()
+
+    return batches_of
+
+
+def tidied(run):
+    """A function of one table, or of two, that releases memory after each."""
+    if run.__code__.co_argcount == 1:
+
+        def one(table):
+            out = run(table)
+            release()
+            return out
+
+        return one
+
+    def two(a, b):
+        out = run(a, b)
+        release()
+        return out
+
+    return two
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit of the result depends on every bit of the input."""
     h = h ^ (h >> _U(30))

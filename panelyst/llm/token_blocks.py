@@ -353,7 +353,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: st
     rows = docs.select("doc_id", "text")
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.mapInArrow(_segments(tokenizer_path, end_id), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(textscan.tidy(_segments(tokenizer_path, end_id)), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -395,4 +395,4 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of a written table: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids."""
     segments = segment_starts(spark.read.schema(SEGMENT_SCHEMA).parquet(path)).select("start", "payload")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return segments.mapInArrow(_documents(with_ids), schema)
+    return segments.mapInArrow(textscan.tidy(_documents(with_ids)), schema)

@@ -150,6 +150,44 @@ def test_model_by_brute_force(spark):
     assert np.isclose(np.exp2(qc.resolve(symbols, tables, order)).sum(), 1)
 
 
+def test_classify_by_brute_force(spark):
+    """Every row's bits, threshold and verdict from the model's own table, one text at a time."""
+    rng = random.Random(12)
+    fine = [(i, _sentence(rng, rng.randint(5, 60)), rng.choice(["en", "fr"])) for i in range(80)]
+    junk = [(100 + i, "".join(rng.choice("#$%&*0123456789") for _ in range(200)), "en") for i in range(10)]
+    rows = fine + junk + [(200, None, "en"), (201, "", "de"), (202, "plain words of another language", "de"), (203, "漢字 Ω", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    fitted = {r.doc_id for r in qc.fitted_ids(labels, 20).collect()}
+    assert len(fitted) == 20
+    model = qc.train(docs.where(docs.doc_id.isin(*fitted)).select("text")).toPandas()
+    tables = {}
+    for kind, col in (("p", "p"), ("b", "backoff")):
+        for k, part in model.dropna(subset=[col]).groupby("k"):
+            part = part.sort_values("g")
+            tables[kind, k] = part.g.to_numpy().astype(np.uint64), part[col].to_numpy()
+
+    def bits(t):
+        raw = (t or "").encode()
+        padded = b"\0" * 5 + raw
+        grams = np.array([int.from_bytes(padded[i : i + 6]) for i in range(len(raw))], np.uint64)
+        return -qc.resolve(grams, tables).mean() if raw else None
+
+    quantile = 0.9
+    want = {d: bits(t) for d, t, _ in rows}
+    judges = [(x, want[d]) for d, t, x in fine[:60] if d not in fitted]
+    at = lambda xs: sorted(xs)[max(0, int(np.ceil(quantile * len(xs))) - 1)]
+    limit = {x: at([b for y, b in judges if y == x]) for x in ("en", "fr")}
+    overall = at([b for _, b in judges])
+    got = {r.doc_id: r for r in qc.classify(docs, labels, quantile, 20).collect()}
+    for d, _, x in rows:
+        r, b = got[d], want[d]
+        assert (r.bits is None) == (b is None) and (b is None or abs(r.bits - b) < 1e-5)
+        assert abs(r.threshold - limit.get(x, overall)) < 1e-5
+        assert r.keep == (b is not None and r.bits <= r.threshold)
+    assert all(not got[d].keep for d, _, _ in junk)
+
+
 def test_held_out_accuracy(spark):
     at = DATA.replace("sf0.001", "sf0.01")  # the smaller table has five rejects to test on
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))

@@ -1,4 +1,5 @@
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from panelyst.llm import lm_scoring as lm
 from panelyst.llm import sharding as sh
 from panelyst.llm import source_mixing as sm
+from panelyst.llm.queries import QUERIES
 
+from ..conftest import DATA
 from .helpers import empty, odd, words
 
 
@@ -93,6 +96,29 @@ def test_shards(spark):
     assert sh.write_shards(empty(spark), 3).count() == 0
 
 
+def test_query_of_shards_by_brute_force(spark):
+    """The registered query against the law worked out in Python: who goes where, with one more shard too."""
+    import xxhash
+
+    def draw(d, j):
+        h = xxhash.xxh64_intdigest(("null" if d is None else str(d)).encode(), 42)
+        for x in (0, j):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+        return (h - (1 << 64) if h >> 63 else h) % (j + 1)
+
+    law = lambda d, n: max([0, *(j for j in range(1, n) if draw(d, j) == 0)])
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = QUERIES["op10_shards"](spark, DATA).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw = (rows[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (law(r.doc_id, 24), law(r.doc_id, 25))
+    for n in range(24):
+        slots = sorted(r.slot for r in got if r.shard == n)
+        assert slots == list(range(len(slots)))
+
+
 def test_growth_moves_rows_into_the_new_shard_alone(spark):
     df = spark.range(20_000).select(sh.shard_of(F.col("id"), 24).alias("a"), sh.shard_of(F.col("id"), 25).alias("b"))
     assert df.where("a <> b AND b <> 24").count() == 0
