@@ -155,13 +155,18 @@ def replaced_ratings(old: DataFrame, new: DataFrame, listings: DataFrame) -> Dat
 
 
 def write_swap(df: DataFrame, path: str) -> None:
-    """Write beside the table and swap folders, so that a plan may read the table it replaces."""
+    """Write beside the table and swap folders, so that a plan may read the table it replaces.
+
+    A run that stopped between the two renames leaves the table under .old; the next one puts it back first.
+    """
     spark = df.sparkSession
     jvm = spark._jvm
     staged, old = f"{path}.staged", f"{path}.old"
-    df.write.mode("overwrite").parquet(staged)
     p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p(old)) and not fs.exists(p(path)):
+        fs.rename(p(old), p(path))
+    df.write.mode("overwrite").parquet(staged)
     fs.delete(p(old), True)
     if fs.exists(p(path)):
         fs.rename(p(path), p(old))
