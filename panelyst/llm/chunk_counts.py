@@ -92,8 +92,3 @@ def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     return [(s, order[bounds[s] : bounds[s + 1]]) for s in np.flatnonzero(np.diff(bounds)).tolist()]
-
-
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, counts = np.unique(keys, return_counts=True)
-    return distinct, counts.astype("<u4")

@@ -1,8 +1,9 @@
-"""Language-model scoring by deleted interpolation of a word bigram, a unigram and a uniform model.
+"""Language-model scoring by deleted interpolation of word trigrams, bigrams, unigrams and a uniform model.
 
-Maximum-likelihood estimates are mixed with weights that depend on how often the context was seen; expectation-maximisation
-learns them on a tenth of the training documents, whose counts are left out of the estimates meanwhile. Counts cover all
-training documents and lie in shards; chunks of documents ask them for what they have.
+Maximum-likelihood estimates are mixed with weights that depend on how often the context was seen: first bigram, unigram and
+uniform part by the word before, then the trigram and that mixture by the two words before. Expectation-maximisation learns
+them on a tenth of the training documents, whose counts are left out of the estimates meanwhile. Counts cover all training
+documents and lie in shards; chunks of documents ask them for what they have.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .chunk_counts import by_shard, chunks, counted, pack_keys, pack_planes, pack_rows, unpack_keys, unpack_planes, unpack_rows
+from .chunk_counts import by_shard, chunks, pack_keys, pack_planes, pack_rows, unpack_keys, unpack_planes, unpack_rows
 from .common import written
 
 _U = np.uint64
@@ -56,6 +57,21 @@ def bigram_keys(token: np.ndarray, before: np.ndarray) -> np.ndarray:
     return textscan.mix(before * _U(0x9E6C63D0876A9A47) + token)
 
 
+def trigram_keys(token: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of each token with the two before it."""
+    pairs = np.empty(len(token), _U)
+    pairs[1:] = bigram_keys(token, before)[:-1]
+    pairs[at[:-1]] = START
+    return textscan.mix(pairs * _U(0xD6E8FEB86659FD93) + token)
+
+
+def _keys(token: np.ndarray, before: np.ndarray, at: np.ndarray):
+    """(level, keys of all tokens) of each level in turn."""
+    yield 1, unigram_keys(token)
+    yield 2, bigram_keys(token, before)
+    yield 3, trigram_keys(token, before, at)
+
+
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
 
@@ -93,18 +109,16 @@ REQUEST = "shard int, chunk long, level int, dev boolean, keys binary, counts bi
 
 
 def requests(docs: DataFrame, shards: int) -> DataFrame:
-    """For each chunk, level (1, 2) and shard: the distinct keys that the chunk has, and its training counts."""
+    """For each chunk, level (1 to 3) and shard: the distinct keys that the chunk has, and its training counts."""
 
     def run(batches):
         for dev, name, rows in _chunks(batches):
             token, before, at = _rows_of(rows)
             learn = np.repeat(rows.column("part").to_numpy() > 0, np.diff(at))
             out = []
-            for level, keys in ((1, unigram_keys(token)), (2, bigram_keys(token, before))):
-                distinct = np.unique(keys)
-                counts = np.zeros(len(distinct), "<u4")
-                seen, n = counted(keys[learn])
-                counts[np.searchsorted(distinct, seen)] = n
+            for level, keys in _keys(token, before, at):
+                distinct, which = np.unique(keys, return_inverse=True)
+                counts = np.bincount(which[learn], minlength=len(distinct)).astype("<u4")
                 for s, which in by_shard(distinct, shards):
                     out.append((s, name, level, dev, pack_keys(distinct[which]), pack_planes(counts[which])))
             yield pa.RecordBatch.from_arrays(
@@ -115,7 +129,7 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(textscan.tidy(run), REQUEST)
 
 
-ANSWER = "chunk long, shard int, level int, rest binary, dev binary, tokens_rest long, tokens_dev long, types_rest long, types_all long"
+ANSWER = "chunk long, of_dev boolean, shard int, level int, rest binary, dev binary, tokens_rest long, tokens_dev long, types_rest long, types_all long"
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -124,7 +138,7 @@ def answers(asked: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         out = []
-        for level in (1, 2):
+        for level in (1, 2, 3):
             own = [r for r in rows if r["level"] == level]
             if not own:
                 continue
@@ -140,39 +154,45 @@ def answers(asked: DataFrame) -> DataFrame:
             for r, at in zip(own, places, strict=True):
                 if r["chunk"] not in seen:  # chunks of the same content ask alike
                     seen.add(r["chunk"])
-                    out.append((r["chunk"], r["shard"], level, pack_planes(rest[at]), pack_planes(dev[at]), None, None, None, None))
+                    out.append((r["chunk"], r["dev"], r["shard"], level, pack_planes(rest[at]), pack_planes(dev[at]), None, None, None, None))
             if level == 1:
                 r, d = sums[False], sums[True]
-                out.append((None, own[0]["shard"], 1, None, None, int(r.sum()), int(d.sum()), int((r > 0).sum()), int((r + d > 0).sum())))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                out.append((None, None, own[0]["shard"], 1, None, None, int(r.sum()), int(d.sum()), int((r > 0).sum()), int((r + d > 0).sum())))
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = [c.split()[0] for c in ANSWER.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return asked.groupBy("shard").applyInArrow(textscan.tidied(run), ANSWER)
 
 
-def _looked_up(rows: pa.Table, replies: pa.Table, shards: int):
-    """Per token: counts of the token, its context and the pair, without and within the held-out documents."""
+def _looked_up(rows: pa.Table, replies: pa.Table, shards: int, within: bool):
+    """(offsets, counts of each token's word, word before, bigram, bigram before, trigram), held-out ones among them or not."""
     token, before, at = _rows_of(rows)
     by = {(r["level"], r["shard"]): r for r in replies.to_pylist()}
-    tables = {}
-    for level, keys in ((1, np.unique(unigram_keys(token))), (2, np.unique(bigram_keys(token, before)))):
-        rest, dev = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    found = {}
+    end = 0
+    for level, every in _keys(token, before, at):
+        keys, places = np.unique(every, return_inverse=True)
+        counts = np.zeros(len(keys), np.uint32)
         for s, which in by_shard(keys, shards):
             r = by.get((level, s))
             if r is None:
                 raise RuntimeError("a chunk has no answer: the documents read differ between two scans of one table")
-            rest[which], dev[which] = unpack_planes(r["rest"], "<u4"), unpack_planes(r["dev"], "<u4")
-        tables[level] = keys, rest, dev
+            counts[which] = unpack_planes(r["rest"], "<u4")
+            if within:
+                counts[which] += unpack_planes(r["dev"], "<u4")
+        found[level] = counts[places]
+        if level == 1 and len(at) > 1:
+            end = counts[np.searchsorted(keys, END)]  # all texts have an end
 
-    def find(level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, rest, dev = tables[level]
-        i = np.searchsorted(have, keys)
-        return rest[i], dev[i]
+    def of_before(counts: np.ndarray) -> np.ndarray:
+        """The counts of what stands before each token; as many texts start as end."""
+        out = np.empty_like(counts)
+        out[1:] = counts[:-1]
+        out[at[:-1]] = end
+        return out
 
-    # as many texts start as end, so the end's count is that of the start as a context; all texts have an end
-    context = np.where(before == START, END, before)
-    return at, find(1, unigram_keys(token)), find(1, unigram_keys(context)), find(2, bigram_keys(token, before))
+    return at, found[1], of_before(found[1]), found[2], of_before(found[2]), found[3]
 
 
 def _estimates(word, context, pair, tokens_: int, types: int):
@@ -181,20 +201,21 @@ def _estimates(word, context, pair, tokens_: int, types: int):
     return p2, p1, 1.0 / (types + 1)
 
 
-def em_weights(cells: pd.DataFrame, rounds: int = 60) -> np.ndarray:
-    """(BUCKETS, 3) weights of bigram, unigram and uniform part by expectation-maximisation over a grid of cells.
+def em_weights(cells: pd.DataFrame, rounds: int = 60, parts: tuple[str, ...] = ("p2", "p1", "p0")) -> np.ndarray:
+    """(BUCKETS, parts) weights of the parts by expectation-maximisation over a grid of cells.
 
-    cells: bucket, p2, p1, p0 and n, how many held-out tokens have them. Buckets without tokens take those of the next
-    lower bucket that has some, and at first the mean of all.
+    cells: bucket, the parts' probabilities and n, how many held-out tokens have them. Buckets without tokens take those of
+    the next lower bucket that has some, and at first the mean of all. In bucket 0 the first part says nothing.
     """
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    p = cells[["p2", "p1", "p0"]].to_numpy(float)
+    many = len(parts)
+    weights = np.full((BUCKETS, many), 1 / many)
+    p = cells[list(parts)].to_numpy(float)
     n, b = cells["n"].to_numpy(float), cells["bucket"].to_numpy(int)
     held = np.bincount(b, n, BUCKETS) if len(cells) else np.zeros(BUCKETS)
     for _ in range(rounds if len(cells) else 0):
         part = weights[b] * p
         part *= (n / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-        new = np.stack([np.bincount(b, part[:, i], BUCKETS) for i in range(3)], axis=1)
+        new = np.stack([np.bincount(b, part[:, i], BUCKETS) for i in range(many)], axis=1)
         weights = np.where(held[:, None] > 0, new / np.maximum(held[:, None], 1e-300), weights)
     last = weights[held > 0].mean(axis=0) if (held > 0).any() else weights[0]
     for i in range(BUCKETS):
@@ -202,9 +223,9 @@ def em_weights(cells: pd.DataFrame, rounds: int = 60) -> np.ndarray:
             last = weights[i]
         else:
             weights[i] = last
-    weights[0, 1:] += weights[0, 0] / 2
+    weights[0, 1:] += weights[0, 0] / (many - 1)
     weights[0, 0] = 0
-    weights = np.maximum(weights, [0, FLOOR, FLOOR])
+    weights = np.maximum(weights, [0] + [FLOOR] * (many - 1))
     return weights / weights.sum(axis=1, keepdims=True)
 
 
@@ -227,7 +248,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shards = max(8, -(-size // SHARD_BYTES))
     replies = written(answers(requests(rows, shards)), "lm-answers", compression="none")
     total = replies.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_rest", "tokens_dev", "types_rest", "types_all")]).first()
-    replies = replies.where("chunk IS NOT NULL").select("chunk", "shard", "level", "rest", "dev")
+    replies = replies.where("chunk IS NOT NULL").select("chunk", "of_dev", "shard", "level", "rest", "dev")
 
     def send(only_dev: bool):
         def run(batches):
@@ -237,33 +258,46 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
         return run
 
-    def cells(sent: pa.Table, found: pa.Table) -> pa.Table:
-        at = [_looked_up(unpack_rows(blob.as_py()), found, shards) for blob in sent.column("rows")]
-        frames = [np.empty((0, 4))]
-        for _, word, context, pair in at:
-            p2, p1, _ = _estimates(word[0], context[0], pair[0], total["tokens_rest"], total["types_rest"])
-            grid = [np.where(p > 0, np.round(STEP * np.log2(np.maximum(p, 1e-300))), -9999) for p in (p2, p1)]
-            u, n = np.unique(np.stack([bucket(context[0]), *grid], axis=1), axis=0, return_counts=True)
-            frames.append(np.column_stack([u, n]))
-        t = np.concatenate(frames).astype(np.int64)
-        return pa.table({c: pa.array(t[:, i]) for i, c in enumerate(("bucket", "q2", "q1", "n"))})
-
-    gathered = rows.mapInArrow(textscan.tidy(send(True)), "chunk long, rows binary").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(textscan.tidied(cells), "bucket long, q2 long, q1 long, n long")
-    # one row a cell of the grid: bounded by the grid, not by documents
-    grid = gathered.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("bucket", "q2", "q1").toPandas()
-    for q, p in (("q2", "p2"), ("q1", "p1")):
-        grid[p] = np.where(grid[q] > -9999, np.exp2(grid[q] / STEP), 0.0)
-    grid["p0"] = 1.0 / (total["types_rest"] + 1)
-    weights = em_weights(grid)
+    def mixed(word, context, pair, weights: np.ndarray, n: int, v: int) -> np.ndarray:
+        p2, p1, p0 = _estimates(word, context, pair, n, v)
+        w = weights[bucket(context)]
+        return w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0
+
+    def gathered(columns: list[str], grid_of) -> pd.DataFrame:
+        """Cells of a grid of held-out tokens: bucket, quantised probabilities and how many; bounded by the grid, not by documents."""
+
+        def cells(sent: pa.Table, found: pa.Table) -> pa.Table:
+            frames = [np.empty((0, len(columns) + 2))]
+            for blob in sent.column("rows"):
+                which, probabilities = grid_of(*_looked_up(unpack_rows(blob.as_py()), found, shards, False)[1:])
+                grid = [np.where(p > 0, np.round(STEP * np.log2(np.maximum(p, 1e-300))), -9999) for p in probabilities]
+                u, n = np.unique(np.stack([which, *grid], axis=1), axis=0, return_counts=True)
+                frames.append(np.column_stack([u, n]))
+            t = np.concatenate(frames).astype(np.int64)
+            return pa.table({c: pa.array(t[:, i]) for i, c in enumerate(["bucket", *columns, "n"])})
+
+        texts = rows.mapInArrow(textscan.tidy(send(True)), "chunk long, rows binary").groupBy("chunk")
+        schema = ", ".join(f"{c} long" for c in ["bucket", *columns, "n"])
+        made = texts.cogroup(replies.where("of_dev").groupBy("chunk")).applyInArrow(textscan.tidied(cells), schema)
+        grid = made.groupBy("bucket", *columns).agg(F.sum("n").alias("n")).orderBy("bucket", *columns).toPandas()
+        for c in columns:
+            grid[c] = np.where(grid[c] > -9999, np.exp2(grid[c] / STEP), 0.0)
+        return grid
+
+    n_rest, v_rest = total["tokens_rest"], total["types_rest"]
+    first = gathered(["p2", "p1"], lambda word, context, pair, *_: (bucket(context), _estimates(word, context, pair, n_rest, v_rest)[:2]))
+    weights = em_weights(first.assign(p0=1.0 / (v_rest + 1)))
+    second = gathered(["p3", "rest"], lambda word, context, pair, before, triple: (bucket(before), (triple / np.maximum(before, 1), mixed(word, context, pair, weights, n_rest, v_rest))))
+    upper = em_weights(second, parts=("p3", "rest"))
     n_all, v_all = total["tokens_rest"] + total["tokens_dev"], total["types_all"]
 
     def score(sent: pa.Table, found: pa.Table) -> pa.Table:
         parts = []
         for blob in sent.column("rows"):
             table = unpack_rows(blob.as_py())
-            at, word, context, pair = (x if i == 0 else x[0] + x[1] for i, x in enumerate(_looked_up(table, found, shards)))
-            p2, p1, p0 = _estimates(word, context, pair, n_all, v_all)
-            w = weights[bucket(context)]
+            at, word, context, pair, before, triple = _looked_up(table, found, shards, True)
+            w = upper[bucket(before)]
+            p = w[:, 0] * (triple / np.maximum(before, 1)) + w[:, 1] * mixed(word, context, pair, weights, n_all, v_all)
             sums = lambda x, at=at: np.add.reduceat(x, at[:-1])
             parts.append(
                 pa.table(
@@ -274,7 +308,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                         "n_known": pa.array(sums((word > 0).astype(np.int64))),
                         "train_tokens": pa.array(np.full(len(at) - 1, n_all, np.int64)),
                         "base_score": pa.array(sums(np.log10((word + 0.1) / (n_all + 0.1 * (v_all + 1))))),
-                        "score": pa.array(sums(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0))),
+                        "score": pa.array(sums(np.log10(p))),
                     }
                 )
             )

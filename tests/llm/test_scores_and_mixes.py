@@ -32,6 +32,47 @@ def test_scores_by_brute_force(spark):
     assert lm.score_texts(empty(spark)).count() == 0
 
 
+def test_interpolation_by_brute_force(spark):
+    """score itself: counts in dictionaries, weights by the same grid and rounds, one text at a time."""
+    docs = odd(spark)
+    rows = [(r.doc_id, words(r.text) + ["</s>"]) for r in docs.select("doc_id", "text").collect()]
+    name = lambda d: str(d) if d is not None else "null"
+    role = lambda d: zlib.crc32(name(d).encode()) % 10
+
+    def count(keep):
+        c = Counter()
+        for d, t in rows:
+            if keep(role(d)):
+                t = ["<s>", "<s>", *t]
+                c.update(t[2:])
+                c.update(zip(t[1:], t[2:], strict=False))
+                c.update(zip(t, t[1:], t[2:], strict=False))
+        n = sum(v for k, v in c.items() if isinstance(k, str))
+        c["<s>"] = c["</s>"]
+        c["<s>", "<s>"] = c["</s>"]
+        return c, n, sum(isinstance(k, str) for k in c) - 1
+
+    def parts(t, c, n, v):
+        """(bucket of one word, p2, p1, bucket of two words, p3) of every token."""
+        t = ["<s>", "<s>", *t]
+        bucket = lambda x: min(lm.BUCKETS - 1, 0 if not x else int(math.log2(x)) + 1)
+        for a, b, w in zip(t, t[1:], t[2:], strict=False):
+            yield bucket(c[b]), c[b, w] / max(c[b], 1), c[w] / n, bucket(c[a, b]), c[a, b, w] / max(c[a, b], 1)
+
+    grid = lambda p: 2.0 ** (round(lm.STEP * math.log2(p)) / lm.STEP) if p > 0 else 0.0
+    rest = count(lambda r: r > 1)
+    held = [x for d, t in rows if role(d) == 1 for x in parts(t, *rest)]
+    p0 = 1 / (rest[2] + 1)
+    first = lm.em_weights(pd.DataFrame([(b, grid(p2), grid(p1), p0, 1) for b, p2, p1, _, _ in held], columns=["bucket", "p2", "p1", "p0", "n"]))
+    below = lambda b, p2, p1, p0: float(first[b] @ [p2, p1, p0])
+    upper = lm.em_weights(pd.DataFrame([(b3, grid(p3), grid(below(b, p2, p1, p0)), 1) for b, p2, p1, b3, p3 in held], columns=["bucket", "p3", "rest", "n"]), parts=("p3", "rest"))
+    every = count(lambda r: r > 0)
+    p0 = 1 / (every[2] + 1)
+    want = sorted((-1 if d is None else d, sum(math.log10(float(upper[b3] @ [p3, below(b, p2, p1, p0)])) for b, p2, p1, b3, p3 in parts(t, *every))) for d, t in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.score_texts(docs).collect())
+    assert len(held) > 50 and np.allclose([x for _, x in want], [x for _, x in got], rtol=1e-6)
+
+
 def test_weights_raise_the_likelihood():
     cells = pd.DataFrame({"bucket": [3, 3, 0], "p2": [0.5, 0.0, 0.0], "p1": [0.01, 0.02, 0.03], "p0": [1e-4] * 3, "n": [30, 10, 5]})
     w = lm.em_weights(cells)
