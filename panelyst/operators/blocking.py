@@ -118,5 +118,6 @@ def brand_or_own(catalog: DataFrame) -> Column:
 def cross_brand_others(catalog: DataFrame) -> DataFrame:
     """(id, other_id) of entries with the same first name token and another brand."""
     c = catalog.where("token IS NOT NULL").select("id", "token", brand_or_own(catalog).alias("bk"))
-    o = c.select(F.col("id").alias("other_id"), "token", F.col("bk").alias("o_bk"))
-    return c.join(o, "token").where("bk <> o_bk").select("id", "other_id")
+    pairs = met(c.select("token", "id"), c.select("token", "id"), ["token"]).select(F.col("a").alias("id"), F.col("b").alias("other_id"))
+    o = c.select(F.col("id").alias("other_id"), F.col("bk").alias("o_bk"))
+    return pairs.join(c.select("id", "bk"), "id").join(o, "other_id").where("bk <> o_bk").select("id", "other_id")

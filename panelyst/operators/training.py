@@ -184,7 +184,8 @@ def train_matcher(catalog: DataFrame, brands: DataFrame, eval_pairs: DataFrame |
     """The training job: labelled pairs, split, fit, threshold on the training part, metrics on both held-out sets."""
     fit, test = split(labeled_pairs(catalog, brands, seed=seed, **options).select("id", "vector", "label"), seed=seed)
     model = train_logistic(fit)
-    scored = lambda rows: rows.select("label", vector_probability(F.col("vector"), model).alias("p"))
+    # to six places, as the threshold is kept: the sweep's running sum is over a million probabilities at most
+    scored = lambda rows: rows.select("label", F.round(vector_probability(F.col("vector"), model), 6).alias("p"))
     t = best_threshold(scored(fit)).first()["threshold"]
     model = Model(tuple(round(w, 6) for w in model.weights), round(model.bias, 6), round(t, 6))
     out = {"model": model, "test": evaluate(scored(test), model.threshold).first().asDict()}

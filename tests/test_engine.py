@@ -253,3 +253,30 @@ def test_registered_pairs_and_clusters_over_all_keys(spark, monkeypatch):
             lo, hi = sorted((root[r.a], root[r.b]))
             root = {i: lo if x == hi else x for i, x in root.items()}
     assert {r.id: r.cluster_id for r in QUERIES["cluster_listings"](spark, DATA).collect()} == root
+
+
+def test_shelves_of_a_stream_are_those_of_the_whole(spark, tmp_path):
+    from panelyst.plans import adapters
+    from panelyst.streaming.resolving import shelves_stream
+
+    views = adapters.shelf_views(spark, DATA)
+    days = [views.where(f"minute(ts) % 3 = {i}") for i in range(3)]
+    for i, part in enumerate(days):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    latest: dict = {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            latest.setdefault((number, r.user_id), []).append((r.place, r.item, r.last_seen))
+
+    q = shelves_stream(stream, 5).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {}
+    for (number, user), rows in sorted(latest.items()):
+        last[user] = sorted(rows)
+    assert len({n for n, _ in latest}) == 3
+    want = {}
+    for r in catalog.shelf(views, 5).collect():
+        want.setdefault(r.user_id, []).append((r.place, r.item, r.last_seen.replace(tzinfo=None)))
+    assert {u: [(p, i, t.replace(tzinfo=None)) for p, i, t in rows] for u, rows in last.items()} == {u: sorted(rows) for u, rows in want.items()}
