@@ -34,6 +34,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def release() -> None:
     """Give memory that nothing uses back to the system: workers are kept for later tasks, idle ones with all they once took."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

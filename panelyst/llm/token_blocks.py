@@ -22,6 +22,8 @@ from . import textscan
 from .common import new_path
 
 BLOCK = 128
+#: Code points whose pieces are looked up at a time; one longer text makes a longer group.
+GROUP = 1 << 20
 #: Share of a block's values that its bit width must hold; the others become exceptions.
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a longer segment.
@@ -204,7 +206,7 @@ class Encoder:
     The kept table stays under ``keep`` pieces; it is emptied beyond that, which changes no result.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -291,9 +293,16 @@ class Encoder:
                 out[i] = self._whole(t)
             else:
                 plain.append(i)
-        ids, lengths = self._plain([texts[i] for i in plain])
-        for i, part in zip(plain, np.split(ids, np.cumsum(lengths)[:-1]), strict=True) if plain else ():
-            out[i] = part
+        at = 0
+        while at < len(plain):
+            group, size = [], 0
+            while at < len(plain) and (not group or size + len(texts[plain[at]]) <= GROUP):
+                group.append(plain[at])
+                size += len(texts[plain[at]])
+                at += 1
+            ids, lengths = self._plain([texts[i] for i in group])
+            for i, part in zip(group, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                out[i] = part
         return out
 
     @staticmethod
