@@ -83,7 +83,8 @@ class Scan:
 
         if short:
             _, least = sampled(max(gram, min(PASSAGE, length)))
-            self.picks = np.unique(least).astype(np.int64)
+            # places of samples never go back from window to window
+            self.picks = least[np.append(True, least[1:] != least[:-1])[: len(least)]].astype(np.int64)
             self.short_names = grams[self.picks]
         start, least = sampled(length)
         new = np.ones(len(start), bool)
