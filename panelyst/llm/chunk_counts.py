@@ -83,12 +83,11 @@ def _chunk(held: list) -> tuple[int, pa.Table]:
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (textscan.mix(keys) % np.uint64(shards)).astype(np.int64)
+    """Ranges of hashes, so that the keys of a shard lie close together and their differences are small."""
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, indices of its keys in their order) for shards that have any."""
-    shard = shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [(s, order[bounds[s] : bounds[s + 1]]) for s in np.flatnonzero(np.diff(bounds)).tolist()]
+    """(shard, indices of its keys) for shards that have any; the keys are ascending hashes."""
+    bounds = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+    return [(s, np.arange(bounds[s], bounds[s + 1])) for s in np.flatnonzero(np.diff(bounds)).tolist()]
