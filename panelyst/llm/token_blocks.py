@@ -206,7 +206,7 @@ class Encoder:
     The kept table stays under ``keep`` pieces; it is emptied beyond that, which changes no result.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -226,7 +226,7 @@ class Encoder:
     def _clear(self) -> None:
         self.hashes, self.starts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.lengths, self.flat = np.empty(0, np.int32), np.empty(0, np.uint16)
-        self.cp_starts, self.cp_lengths, self.cps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.cp_starts, self.cp_lengths, self.cps = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -272,12 +272,15 @@ class Encoder:
         ends = np.append(starts[1:], len(cps))
         if len(self.hashes) + len(distinct) > self.keep:
             self._clear()
-        at = self._find(distinct, text, cps, starts[first], ends[first])[which]
-        sizes = ends - starts
-        # pieces are found by hash and then compared
-        if (self.cp_lengths[at] != sizes).any() or (self.cps[_ranges(self.cp_starts[at], sizes)] != cps).any():
+        kept = self._find(distinct, text, cps, starts[first], ends[first])
+        # pieces are found by hash; one of each kind is compared with what is kept, its repeats by length and sum
+        sizes, plain = ends - starts, np.add.reduceat(cps, starts)
+        own = sizes[first]
+        same = (self.cp_lengths[kept] == own).all() and (sizes == own[which]).all() and (plain == plain[first][which]).all()
+        if not same or (self.cps[_ranges(self.cp_starts[kept], own)] != cps[_ranges(starts[first], own)]).any():
             ids = [self._whole(t) for t in texts]
             return np.concatenate(ids), np.array([len(i) for i in ids])
+        at = kept[which]
         lengths = self.lengths[at].astype(np.int64)
         upto = np.cumsum(lengths)
         take = np.arange(int(upto[-1])) + np.repeat(self.starts[at] - (upto - lengths), lengths)
