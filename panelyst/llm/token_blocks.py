@@ -23,7 +23,7 @@ from .common import new_path
 
 BLOCK = 128
 #: Code points whose pieces are looked up at a time; one longer text makes a longer group.
-GROUP = 1 << 20
+GROUP = 512 << 10
 #: Share of a block's values that its bit width must hold; the others become exceptions.
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a longer segment.
@@ -195,11 +195,6 @@ def piece_starts(cps: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin[:n])
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range in turn."""
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 class Encoder:
     """Encodes lists of texts with a tokenizer file; equal pieces are encoded once and kept by hash.
 
@@ -226,12 +221,12 @@ class Encoder:
     def _clear(self) -> None:
         self.hashes, self.starts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.lengths, self.flat = np.empty(0, np.int32), np.empty(0, np.uint16)
-        self.cp_starts, self.cp_lengths, self.cps = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
+        self.sizes, self.sums = np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _find(self, hashes: np.ndarray, text: str, cps: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def _find(self, hashes: np.ndarray, text: str, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Index of each hash (ascending, distinct) in the kept table; missing pieces are encoded."""
         at = np.searchsorted(self.hashes, hashes)
         known = at < len(self.hashes)
@@ -248,10 +243,8 @@ class Encoder:
             self.hashes = np.insert(self.hashes, at[new], hashes[new])
             self.starts = np.insert(self.starts, at[new], starts)
             self.lengths = np.insert(self.lengths, at[new], lengths)
-            sizes = last[new] - first[new]
-            self.cp_starts = np.insert(self.cp_starts, at[new], len(self.cps) + np.cumsum(sizes) - sizes)
-            self.cp_lengths = np.insert(self.cp_lengths, at[new], sizes)
-            self.cps = np.concatenate([self.cps, cps[_ranges(first[new], sizes)]])
+            self.sizes = np.insert(self.sizes, at[new], last[new] - first[new])
+            self.sums = np.insert(self.sums, at[new], sums[new])
             at = np.searchsorted(self.hashes, hashes)
         return at
 
@@ -272,15 +265,12 @@ class Encoder:
         ends = np.append(starts[1:], len(cps))
         if len(self.hashes) + len(distinct) > self.keep:
             self._clear()
-        kept = self._find(distinct, text, cps, starts[first], ends[first])
-        # pieces are found by hash; one of each kind is compared with what is kept, its repeats by length and sum
         sizes, plain = ends - starts, np.add.reduceat(cps, starts)
-        own = sizes[first]
-        same = (self.cp_lengths[kept] == own).all() and (sizes == own[which]).all() and (plain == plain[first][which]).all()
-        if not same or (self.cps[_ranges(self.cp_starts[kept], own)] != cps[_ranges(starts[first], own)]).any():
+        at = self._find(distinct, text, plain[first], starts[first], ends[first])[which]
+        # pieces are found by a hash of 64 bits, and have to agree in length and in the sum of their code points too
+        if (self.sizes[at] != sizes).any() or (self.sums[at] != plain).any():
             ids = [self._whole(t) for t in texts]
             return np.concatenate(ids), np.array([len(i) for i in ids])
-        at = kept[which]
         lengths = self.lengths[at].astype(np.int64)
         upto = np.cumsum(lengths)
         take = np.arange(int(upto[-1])) + np.repeat(self.starts[at] - (upto - lengths), lengths)
