@@ -23,7 +23,7 @@ from .common import new_path
 
 BLOCK = 128
 #: Code points whose pieces are looked up at a time; one longer text makes a longer group.
-GROUP = 512 << 10
+GROUP = 1 << 20
 #: Share of a block's values that its bit width must hold; the others become exceptions.
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a longer segment.
