@@ -16,7 +16,7 @@ from .common import written
 
 #: Characters of a block.
 BLOCK = 64
-#: Up to so many lines (16 bytes each) are looked up by a broadcast; more by a shuffle.
+#: Up to so many lines (about 60 bytes each) are looked up by a broadcast; more by a shuffle.
 BROADCAST_LINES = 500_000
 
 _L = F.lit
