@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, line_dedup, lm_scoring, ngram_join, quality_classifier, sharding, source_mixing, substring_dedup, token_blocks
-from .common import small_batches
+from . import decontamination, exact_dedup, fingerprints, importance_resampling, line_dedup, lm_scoring, ngram_join, periodic_runs, quality_classifier, sharding, source_mixing, substring_dedup, token_blocks
+from .common import WORD, small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -85,6 +85,39 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.write_shards(docs, 24, columns=columns)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents weighed by how much likelier benchmark texts make their words, and a tenth of them drawn."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, orders=1, buckets=10_000, seed=2024, least_words=20, percent=10).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are equal but for space, and which of each group stays."""
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document of ten, by crc32 of its id, goes over into a repetition of its own words; null ids count as 'null'."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.pmod("g", "n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod("g", F.lit(8)))))
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("words", (F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", turned)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, and its text with each run cut to its first period."""
+    out = periodic_runs.find_runs(with_period(table(spark, sf_dir, "documents")))
+    # the longest; among equals the first start, then the shortest period
+    best = F.try_element_at(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum((y["length"] - x["length"]).cast("double"))).when(x["start"] != y["start"], F.signum((x["start"] - y["start"]).cast("double"))).otherwise(F.signum((x["period"] - y["period"]).cast("double"))).cast("int")), F.lit(1))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("best.length * 1000 div best.period")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_ngram_join": op2_ngram_join,
@@ -96,6 +129,9 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP9_SQL = r"""
@@ -161,4 +197,34 @@ SELECT doc_id, max(n_lines) AS n_lines, count(*) FILTER (again OR near) AS n_rem
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL}
+OP11_SQL = r"""
+WITH c AS (SELECT i, CAST(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS BIGINT) AS v FROM (SELECT unnest(range(256)) AS i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM c),
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, len(ws) AS n FROM w),
+p AS (SELECT doc_id, unnest(ws) AS word FROM w),
+b AS (SELECT unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM benchmark),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM p UNION SELECT word FROM b)),
+k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT)),
+             lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS s FROM p JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM p) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM p JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT d.doc_id, CAST(n AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN x ON x.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20 QUALIFY rank <= (SELECT count(*) FROM z WHERE n_features >= 20) * 10 // 100)
+SELECT z.*, CAST(r.rank AS BIGINT) AS rank FROM z LEFT JOIN r ON r.doc_id = z.doc_id
+"""
+
+OP12_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS normal FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY normal ORDER BY n_chars DESC, doc_id NULLS LAST) AS place,
+             first_value(doc_id) OVER (PARTITION BY normal ORDER BY n_chars DESC, doc_id NULLS LAST) AS keep_id,
+             count(*) OVER (PARTITION BY normal) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(normal) AS text_sha256 FROM r
+"""
+
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_mix_sources": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_exact_dedup": OP12_SQL}
