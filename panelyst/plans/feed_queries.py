@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import agreement, catalog, matching, raters, scoring, training
-from ..sources import feed
+from ..operators import agreement, catalog, graph, matching, raters, scoring, training
+from ..sources import feed, store
 from ..sources import pages as shop_pages
 from . import adapters as a
-from .catalog_queries import AXIS_ORD, BAND, COMPOSITE, ETH, HAZ, MAT, PROBS, STRIP, TIER, _pillars, _probs, _products, _rated, r6, registered
-from .matching_queries import HITS, _prepared, _seen, jaro_sql
+from .catalog_queries import AXIS_ORD, BAND, COMPOSITE, ETH, GTIN, HAZ, ITEMS, MAT, PROBS, STRIP, TIER, _pillars, _probs, _products, _rated, r6, registered
+from .matching_queries import ABLE, FEATURED, HITS, _prepared, _seen, full_sql, jaro_sql, probability_sql
 
 NOW = "2024-01-01 00:00:00"
 
@@ -488,3 +490,43 @@ def weighted_composites(spark, d):
     """Bands of the ends of composites."""
     c = scoring.composites(_pillars(spark, d), scoring.default_weights(spark))
     return c.select("product_id", scoring.verdict_band(r6("overall_min")).alias("low_band"), scoring.verdict_band(r6("overall_max")).alias("high_band"))
+
+
+#: Answers of the feed as items beside the catalog's, in one table of pairs with scores: (a, b, kept) of a listing with an entry of
+#: the catalog, or with another listing. Listings have few ingredients, so barcodes and brands are all they meet by. A unit but
+#: the catalog's makes sizes differ from every entry's.
+_FED = f"""{LISTING},
+fed AS (SELECT n.id, n.name, coalesce(x.brand_id, nullif({STRIP.format(x='n.brand')}, '')) AS brand_key, {GTIN} AS gtin14, string_split(n.ingredients, '|') AS ingredients,
+        list_distinct(list_filter(list_transform(string_split(n.ingredients, '|'), lambda i: {STRIP.format(x='i')}), lambda i: i <> '')) AS iset,
+        CASE WHEN size_unit = 'ml' THEN size_value WHEN size_unit IS NOT NULL THEN -1000 - size_value END AS size_value
+        FROM norm n LEFT JOIN alias x ON x.alias = {STRIP.format(x='n.brand')})"""
+_CATALOG = "sized_item AS (SELECT i.*, p.size_value FROM item i JOIN product p ON p.id = i.id)"
+_MET = "(l.gtin14 = r.gtin14 OR l.brand_key = r.brand_key)"
+INGESTED = f"""WITH RECURSIVE {ITEMS}, {_FED}, {_CATALOG}, whole AS MATERIALIZED (SELECT * FROM {full_sql('sized_item')}), feeding AS MATERIALIZED (SELECT * FROM {full_sql('fed')}),
+featured AS MATERIALIZED (
+  SELECT l.id AS a, r.id AS b, 'entry' AS kind, {FEATURED} FROM feeding l JOIN whole r ON {_MET}
+  UNION ALL SELECT l.id, r.id, 'listing', {FEATURED} FROM feeding l JOIN feeding r ON l.id < r.id AND {_MET}),
+able AS MATERIALIZED (SELECT * FROM featured WHERE {ABLE}), {jaro_sql('able')},
+hit AS MATERIALIZED (SELECT a, b, kind, {probability_sql(matching.SHIPPED)} AS score FROM able JOIN jw USING (na, nb) WHERE {probability_sql(matching.SHIPPED)} >= {matching.SHIPPED.threshold}::DOUBLE),
+found AS MATERIALIZED (SELECT h.a AS id, h.b AS product_id, h.score FROM hit h JOIN item i ON i.id = h.b WHERE kind = 'entry' QUALIFY row_number() OVER (PARTITION BY h.a ORDER BY h.score DESC, i.ord) = 1),
+rest AS MATERIALIZED (SELECT id FROM fed WHERE id NOT IN (SELECT id FROM found)),
+two_way AS MATERIALIZED (SELECT h.a, h.b FROM hit h JOIN rest x ON x.id = h.a JOIN rest y ON y.id = h.b WHERE kind = 'listing' UNION SELECT h.b, h.a FROM hit h JOIN rest x ON x.id = h.a JOIN rest y ON y.id = h.b WHERE kind = 'listing'),
+reach AS (SELECT id AS a, id AS b FROM rest UNION SELECT r.a, e.b FROM reach r JOIN two_way e ON e.a = r.b),
+grouped AS (SELECT a AS id, min(b) AS head FROM reach GROUP BY a)
+SELECT f.id AS listing_id, f.product_id, round(f.score, 6) AS confidence, 'obf-auto' AS method, NULL AS display_name, NULL AS brand_id, NULL AS category FROM found f
+UNION ALL
+SELECT g.id, 'prod-' || g.head, 1.0, 'obf-new', CASE WHEN g.id = g.head THEN n.name END, CASE WHEN g.id = g.head THEN coalesce(x.brand_id, CASE WHEN n.brand IS NULL THEN 'brand-unknown' ELSE 'brand-obf-' || {STRIP.format(x='n.brand')} END) END,
+       CASE WHEN g.id = g.head THEN n.category END
+FROM grouped g JOIN norm n ON n.id = g.id LEFT JOIN alias x ON x.alias = {STRIP.format(x='n.brand')}"""
+
+
+@registered("feed_ingested", INGESTED)
+def feed_ingested(spark, d):
+    """The whole feed ingested: what each listing is attached to, and the product where one was minted for it; put into a store and read back."""
+    good, _ = feed.parsed(_landed(spark, d))
+    made = feed.ingest(good, _prepared(spark, d), a.brands(spark, d), NOW)
+    into = store.Store(spark, f"{graph.shared_folder(spark)}/panelyst/store-{uuid.uuid4().hex}", feed.TABLES)
+    into.merge({t: store.Merge(made[t]) for t in ("listing", "match", "product", "brand")})
+    product = into.read("product").select(F.col("id").alias("own"), "display_name", "brand_id", "category")
+    match = into.read("match").withColumn("own", F.concat(F.lit("prod-"), "listing_id"))
+    return match.join(product, "own", "left").select("listing_id", "product_id", r6("confidence").alias("confidence"), "method", "display_name", "brand_id", "category")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_category, js_trim, parse_quantity, present, primary_brand, strip_norm
 from ..operators.blocking import brand_aliases, prepared
 from ..operators.graph import kept
-from ..operators.matching import cluster_listings, resolve
+from ..operators.matching import SHIPPED, Model, brand_words_suffice, cluster_listings, resolve
+from .store import Merge, Store, upserted  # noqa: F401
 
 SOURCE_ID = "obf-eco"
+UNKNOWN_BRAND = "brand-unknown"
 # Fixed value: fields of a product in the feed.
 PRODUCT = (
     "code string, product_name string, brands string, ingredients_text string, ingredients array<struct<text: string>>, quantity string, categories string, "
@@ -112,40 +114,89 @@ def ensured_brands(rows: DataFrame, brands: DataFrame) -> DataFrame:
     """(id, product's brand_id, minted_name): known brands by name or alias, others minted by their text, blanks one unknown brand."""
     raw = F.coalesce(js_trim(F.col("brand")), F.lit(""))
     joined = rows.select("id", raw.alias("raw")).withColumn("alias", strip_norm(F.col("raw"))).join(brand_aliases(brands), "alias", "left")
-    minted = F.when(F.col("raw") == "", F.lit("brand-unknown")).otherwise(F.concat(F.lit("brand-obf-"), "alias"))
+    minted = F.when(F.col("raw") == "", F.lit(UNKNOWN_BRAND)).otherwise(F.concat(F.lit("brand-obf-"), "alias"))
     return joined.select("id", F.coalesce("brand_id", minted).alias("brand_id"), F.when(F.col("brand_id").isNull(), F.coalesce(F.nullif("raw", F.lit("")), F.lit("Unknown"))).alias("minted_name"))
 
 
-def ingest(good: DataFrame, catalog: DataFrame, brands: DataFrame, now: str) -> dict[str, DataFrame]:
+def minted(grouped: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, product_id): the products of clustered rows (id, cluster_id) that resolved to none.
+
+    ``known`` (listing_id, product_id) are listings that an earlier run gave a product: they keep it, and others of their cluster
+    join the least of these products. A cluster without one gets a product named after its least id. So a run that is repeated,
+    in part or with more rows, names no product anew.
+    """
+    prefix = F.concat(F.lit("prod-"), "cluster_id")
+    if known is None:
+        return grouped.select("id", prefix.alias("product_id"))
+    had = grouped.join(known.select(F.col("listing_id").alias("id"), F.col("product_id").alias("own")), "id", "left")
+    least = had.groupBy("cluster_id").agg(F.min("own").alias("least"))
+    return had.join(least, "cluster_id").select("id", F.coalesce("own", "least", prefix).alias("product_id"))
+
+
+def ingest(good: DataFrame, catalog: DataFrame, brands: DataFrame, now: str, known: DataFrame | None = None, model: Model = SHIPPED) -> dict[str, DataFrame]:
     """One batch of the feed against a catalog snapshot: tables listing, rating, match, product and brand to upsert.
 
     Rows that resolve attach to their product. The others are clustered among themselves, and each cluster mints one product
-    from its row of lowest order, so that listings of one new product meet, whichever came first.
+    (``minted``), so that listings of one new product meet, whichever came first. A product's columns are those of the listing
+    it is named after. ``known`` has what earlier runs minted.
     """
     rows = kept(normalized(good, now), "feed")
-    items = prepared(rows, brands)
-    found = kept(resolve(items, catalog).select("id", "product_id", "confidence"), "resolved")
+    items = kept(prepared(rows, brands), "feed-items")
+    found = kept(resolve(items, catalog, model).select("id", "product_id", "confidence"), "resolved")
     rest = items.join(found, "id", "left_anti")
-    grouped, _ = cluster_listings(rest)
-    heads = grouped.join(rows.select("id", "ord"), "id").groupBy("cluster_id").agg(F.min_by("id", "ord").alias("head"))
-    minted = grouped.join(heads, "cluster_id").select("id", F.concat(F.lit("prod-"), "head").alias("product_id"), "head")
+    grouped, _ = cluster_listings(rest, model, brand_words=brand_words_suffice(model))
+    new = kept(minted(grouped, known), "minted")
     auto = found.select(F.col("id").alias("listing_id"), "product_id", "confidence", F.lit("obf-auto").alias("method"))
-    new = minted.select(F.col("id").alias("listing_id"), "product_id", F.lit(1.0).alias("confidence"), F.lit("obf-new").alias("method"))
-    first = rows.join(minted.where("id = head").select("id", "product_id"), "id").join(ensured_brands(rows, brands), "id")
+    own = new.select(F.col("id").alias("listing_id"), "product_id", F.lit(1.0).alias("confidence"), F.lit("obf-new").alias("method"))
+    heads = new.where(F.col("product_id") == F.concat(F.lit("prod-"), "id"))
+    first = rows.join(heads, "id").join(ensured_brands(rows, brands), "id")
     listing = rows.select("id", "source_id", "native_id", F.col("name").alias("raw_name"), F.coalesce("brand", F.lit("")).alias("raw_brand"), F.col("gtin").alias("raw_gtin"), F.col("ingredients").alias("raw_ingredients"), "url", "payload", "fetched_at")
     name = F.coalesce(F.nullif("name", F.lit("")), "native_id")
     product = first.select(F.col("product_id").alias("id"), "brand_id", name.alias("display_name"), "category", "gtin", "size_value", "size_unit", "ingredients", F.lit(1000).alias("sort_index"))
-    brand = first.where("minted_name IS NOT NULL").groupBy(F.col("brand_id").alias("id")).agg(F.min("minted_name").alias("name")).select("id", "name", F.lit(None).cast("string").alias("parent_id"), F.when(F.col("id") != "brand-unknown", F.array("name")).otherwise(F.array().cast("array<string>")).alias("aliases"))
-    return {"listing": listing, "rating": ratings_of(rows), "match": auto.unionByName(new).withColumn("reviewed", F.lit(False)), "product": product, "brand": brand}
+    brand = first.where("minted_name IS NOT NULL").groupBy(F.col("brand_id").alias("id")).agg(F.min("minted_name").alias("name")).select("id", "name", F.lit(None).cast("string").alias("parent_id"), F.when(F.col("id") != UNKNOWN_BRAND, F.array("name")).otherwise(F.array().cast("array<string>")).alias("aliases"))
+    return {"listing": listing, "rating": ratings_of(rows), "match": auto.unionByName(own).withColumn("reviewed", F.lit(False)), "product": product, "brand": brand}
+
+
+#: Tables of the catalog and the column by which rows are replaced: a listing's ratings are replaced wholesale, also by none.
+TABLES = {"listing": "id", "rating": "listing_id", "match": "listing_id", "product": "id", "brand": "id"}
+PRODUCT_ROW = "id string, brand_id string, display_name string, category string, gtin string, size_value double, size_unit string, ingredients array<string>, sort_index int"
+BRAND_ROW = "id string, name string, parent_id string, aliases array<string>"
+MATCH_ROW = "listing_id string, product_id string, confidence double, method string, reviewed boolean"
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Old rows but for those that new ones replace; columns in ``keep`` keep their old value, such as a human's review."""
-    cols = old.columns
-    if keep:
-        was = old.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in keep])
-        new = new.join(was, new[key] == was["_k"], "left").select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in keep else F.col(c) for c in cols])
-    return old.join(new.select(key), key, "left_anti").select(*cols).unionByName(new.select(*cols))
+def seeded(store: Store, product: DataFrame, brand: DataFrame) -> None:
+    """Put curated products and brands into a store."""
+    cols = lambda ddl: [c.split(" ")[0] for c in re.split(r", (?![^<]*>)", ddl)]
+    store.merge({"product": Merge(product.select(*cols(PRODUCT_ROW))), "brand": Merge(brand.select(*cols(BRAND_ROW)))})
+
+
+def match_context(store: Store) -> tuple[DataFrame, DataFrame]:
+    """(prepared catalog, brands) as a store holds them. Curated rows come first among equals, then by a hash of the id; the
+    unknown brand is no brand."""
+    place = lambda late: F.when(late, F.lit(1 << 40)).otherwise(F.lit(0)) + F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    brands = store.read("brand", BRAND_ROW).withColumn("ord", place(F.col("id").startswith("brand-")))
+    named = brands.where(F.col("id") != UNKNOWN_BRAND).select(F.col("id").alias("brand_id"), F.col("name").alias("brand"))
+    products = store.read("product", PRODUCT_ROW).join(named, "brand_id", "left")
+    items = products.select("id", "brand", F.col("display_name").alias("name"), "gtin", "ingredients", "size_value", "size_unit", place(F.col("sort_index") >= 1000).alias("ord"), F.col("id").alias("product_id"))
+    return kept(prepared(items, brands), "catalog"), brands
+
+
+def ingest_into(store: Store, good: DataFrame, now: str, batch: tuple[str, int] | None = None) -> bool:
+    """Ingest parsed answers into a store, whole or not at all; a batch that is in already changes nothing.
+
+    New products and brands are seen by the next batch. A human's review of a match stays, and so does what it points at.
+    """
+    if batch is not None and batch[1] <= store.applied(batch[0]):
+        return False
+    catalog, brands = match_context(store)
+    known = store.read("match", MATCH_ROW)
+    made = ingest(good, catalog, brands, now, known.where("method = 'obf-new'"))
+    # a reviewed match is not pointed elsewhere
+    reviewed = known.where("reviewed").select("listing_id")
+    made["match"] = made["match"].join(reviewed, "listing_id", "left_anti")
+    merges = {t: Merge(made[t]) for t in ("listing", "match", "product", "brand")}
+    merges["rating"] = Merge(made["rating"], replaced=made["listing"].select(F.col("id").alias("listing_id")))
+    return store.merge(merges, batch)
 
 
 def replaced_ratings(old: DataFrame, new: DataFrame, listings: DataFrame) -> DataFrame:
