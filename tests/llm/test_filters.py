@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -78,6 +80,91 @@ def test_contamination_by_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want | {(60, 8)} and len(want) > 15
 
 
+def test_contamination_by_brute_force_as_registered(spark):
+    """64 letters and digits with up to 5 edits, as op3 has them, by the nearest alignment of every window."""
+    rng = random.Random(12)
+    items = [(i, _sentence(rng, rng.choice([14, 30, 60]))) for i in range(6)]
+    norm = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    docs = []
+    for i in range(36):
+        t = _sentence(rng, 12)
+        if i % 4:
+            s = norm(rng.choice(items)[1])
+            a = rng.randrange(max(1, len(s) - 60))
+            cut = list(s[a : a + rng.randint(50, 90)])
+            for _ in range(rng.randrange(9)):
+                at = rng.randrange(len(cut))
+                cut[at : at + 1] = rng.choice([[], ["x"], ["y", "z"]])
+            t = t[:25] + " " + "".join(cut) + t[25:]
+        docs.append((i, t))
+    want = set()
+    for d, t in docs:
+        text = np.frombuffer(norm(t).encode(), np.uint8)
+        for i, item in items:
+            p = np.frombuffer(norm(item).encode(), np.uint8)
+            n = min(64, len(p))
+            if any(_nearest(p[s : s + n], text) <= int(0.08 * n) for s in range(len(p) - n + 1)):
+                want.add((d, i))
+    got = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 10 < len(want) < 30
+
+
+def _found(items, texts):
+    from pyarrow import array
+
+    index = dc.Index(items)
+    return sorted(dc.matches(index, *textscan.text_buffer(array(texts))))
+
+
+def test_cells_change_nothing(monkeypatch):
+    """A document with many shared q-grams is looked at in cells of places; matches, their number and extents are the same."""
+    rng = random.Random(21)
+    unit = _sentence(rng, 9)
+    items = [(1, unit * 6), (2, "ab" * 150), (3, "a" * 200 + _sentence(rng, 20)), (4, _sentence(rng, 60))]
+    texts = ["b " + unit * 5 + "q" + unit * 3, "ab" * 300 + "c" + "a" * 300, items[3][1] + "a" * 150, _sentence(rng, 50), None, ""]
+    whole = _found(items, texts)
+    for hits in (2000, 20_000):
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert _found(items, texts) == whole
+    assert len(whole) > 500 and {m[:2] for m in whole} >= {(0, 1), (1, 2), (1, 3), (2, 4), (2, 3)}
+
+
+def test_one_letter_over_and_over():
+    """200,000 equal letters against 500: memory stays below a gigabyte."""
+    code = """
+import resource, sys, pyarrow as pa
+from panelyst.llm import decontamination as dc, textscan
+index = dc.Index([(1, "a" * 500)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(1 for _ in dc.matches(index, *textscan.text_buffer(pa.array(["a" * 200_000]))))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout.split()
+    assert int(out[0]) > 100_000 and int(out[1]) < 1000
+
+
+def test_one_broadcast_at_a_time(spark, monkeypatch):
+    """Of several blocks of the benchmark one is held at a time, and each is let go before the next is collected."""
+    rng = random.Random(3)
+    items = [(i, _sentence(rng, 40)) for i in range(9)]
+    live, most = set(), []
+    made = spark.sparkContext.broadcast
+
+    def counted(value):
+        shared = made(value)
+        live.add(id(value))
+        most.append(len(live))
+        end = shared.destroy
+        shared.destroy = lambda *a: (live.discard(id(value)), end(*a))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
+    got = dc.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=700)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(9)]
+    assert len(most) >= 3 and max(most) == 1 and not live
+
+
 @pytest.mark.parametrize("start", range(0, 17, 5))
 def test_excerpts_at_any_phase(spark, start):
     rng = random.Random(4)
