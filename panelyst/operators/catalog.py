@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
+from .graph import kept
 from .scoring import AXES, composites, verdict_band
 
 MINTED_SORT = 1000
@@ -100,16 +101,56 @@ def top_alternative(products: DataFrame, every: DataFrame) -> DataFrame:
     return p.join(heads, "category").where(below & (F.col("alt_id") != F.col("product_id"))).select("product_id", "alt_id", "alt_safety")
 
 
-def shelf_catalog(products: DataFrame, every: DataFrame, most: int = 200) -> DataFrame:
-    """(product_id, alternatives): of the category's ``most`` safest products those safer than each, safest first, as one array.
+def safety_runs(products: DataFrame, every: DataFrame) -> DataFrame:
+    """(product_id, category, safety, place, n_safer): each category as a run of its rated products, safest first, then by id.
 
-    Only the safest of a category are paired, which is what a shelf shows of it: the safest are everybody's best alternatives.
+    ``place`` is where a product stands in its run, from 1, and NULL without safety ratings; ``n_safer`` is how many of the run
+    are safer than it. So a product's alternatives are the first n_safer places of its category's run, which looks them up
+    without pairs. Places are counted within whole points of safety, and these summed, so a category with a third of
+    all products is dealt to as many tasks as it has points.
     """
-    safety = every.where(F.col("axis") == AXES[0]).select(F.col("product_id").alias("id"), F.col("representative").alias("s"))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("s"), "id"))
-    top = products.select("id", "category").join(safety.where("s IS NOT NULL"), "id").withColumn("place", place).where(F.col("place") <= most)
-    ranked = alternatives(products, every, top.select("id")).withColumn("r", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("alt_safety"), "alt_id")))
-    return ranked.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("r", "alt_id", "alt_safety", "cleaner", "tradeoffs"))).alias("alternatives"))
+    safety = every.where(F.col("axis") == AXES[0]).select("product_id", F.col("representative").alias("safety"))
+    p = products.select(F.col("id").alias("product_id"), "category").join(safety, "product_id", "left").withColumn("point", F.floor("safety"))
+    rated = p.where("safety IS NOT NULL")
+    points = rated.groupBy("category", "point").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("category").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, -1)
+    points = points.select("category", "point", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    within = Window.partitionBy("category", "point").orderBy(F.desc("safety"))
+    placed = rated.withColumn("row", F.row_number().over(within.orderBy(F.desc("safety"), "product_id"))).withColumn("rank", F.rank().over(within))
+    placed = placed.join(points, ["category", "point"]).select("product_id", "category", "safety", (F.col("row") + F.col("before")).alias("place"), (F.col("rank") - 1 + F.col("before")).alias("n_safer"))
+    none = p.where("safety IS NULL").join(rated.groupBy("category").agg(F.count("*").alias("n")), "category", "left")
+    return placed.unionByName(none.select("product_id", "category", "safety", F.lit(None).cast("long").alias("place"), F.coalesce("n", F.lit(0).cast("long")).alias("n_safer")))
+
+
+def axis_deltas(every: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (product_id, alt_id) with cleaner and tradeoffs: arrays of struct<axis, delta>, in the order of the axes, of those where
+    the alternative is five points better or more, or worse; an axis that either lacks is in neither."""
+    wide = every.groupBy("product_id").agg(*[F.max(F.when(F.col("axis") == a, F.col("representative"))).alias(a) for a in AXES])
+    side = lambda key, name: wide.select(F.col("product_id").alias(key), F.struct(*AXES).alias(name))
+    both = pairs.join(side("product_id", "base_axes"), "product_id", "left").join(side("alt_id", "alt_axes"), "alt_id", "left")
+    delta = F.array(*[F.struct(F.lit(a).alias("axis"), (F.col(f"alt_axes.{a}") - F.col(f"base_axes.{a}")).alias("delta")) for a in AXES])
+    chosen = lambda test: F.filter(delta, lambda d: F.coalesce(test(d["delta"]), F.lit(False)))
+    return both.withColumn("cleaner", chosen(lambda d: d >= DELTA_POINTS)).withColumn("tradeoffs", chosen(lambda d: d <= -DELTA_POINTS)).drop("base_axes", "alt_axes")
+
+
+def top_alternatives(products: DataFrame, every: DataFrame, k: int | None = None) -> DataFrame:
+    """(product_id, place, alt_id, alt_safety, cleaner, tradeoffs): the k safest of a product's alternatives, or all of them.
+
+    Places are looked up in the category's run by equality, so the work is in proportion to the result: k rows a product at most.
+    """
+    runs = kept(safety_runs(products, every), "safety-runs")
+    wanted = F.col("n_safer") if k is None else F.least("n_safer", F.lit(k))
+    asked = runs.where(wanted > 0).select("product_id", "category", F.explode(F.sequence(F.lit(1).cast("long"), wanted)).alias("place"))
+    offered = runs.where("place IS NOT NULL" if k is None else F.col("place") <= k)
+    found = asked.join(offered.select("category", "place", F.col("product_id").alias("alt_id"), F.col("safety").alias("alt_safety")), ["category", "place"])
+    return axis_deltas(every, found.select("product_id", "place", "alt_id", "alt_safety")).select("product_id", "place", "alt_id", "alt_safety", "cleaner", "tradeoffs")
+
+
+def shelf_catalog(products: DataFrame, every: DataFrame, most: int | None = None) -> DataFrame:
+    """(product_id, alternatives): of each product that has any, the safer ones of its category, safest first, as one array of
+    struct<place, alt_id, alt_safety, cleaner, tradeoffs>; all of them, or the first ``most``."""
+    entry = F.struct("place", "alt_id", "alt_safety", "cleaner", "tradeoffs")
+    return top_alternatives(products, every, most).groupBy("product_id").agg(F.array_sort(F.collect_list(entry)).alias("alternatives"))
 
 
 def browse(products: DataFrame, means: DataFrame, widest: DataFrame, order: str = "name", category: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
@@ -13,7 +13,7 @@ from ..sources import feed, store
 from ..sources import pages as shop_pages
 from . import adapters as a
 from .catalog_queries import AXIS_ORD, BAND, COMPOSITE, ETH, GTIN, HAZ, ITEMS, MAT, PROBS, STRIP, TIER, _pillars, _probs, _products, _rated, r6, registered
-from .matching_queries import ABLE, FEATURED, HITS, _prepared, _seen, full_sql, jaro_sql, probability_sql
+from .matching_queries import ABLE, FEATURED, HITS, UNSIZED_HITS, _prepared, _seen, full_sql, jaro_sql, probability_sql
 
 NOW = "2024-01-01 00:00:00"
 
@@ -296,14 +296,40 @@ def distinct_brands(spark, d):
     return catalog.distinct_brands(catalog.views(_products(spark, d), a.brands(spark, d), _pillars(spark, d)))
 
 
-@registered("shelf_catalog", f"""WITH {a.PRODUCT}, {a.PILLARS}, safe AS (SELECT p.id, p.category, q.representative AS s FROM product p LEFT JOIN pillar q ON q.product_id = p.id AND q.axis = 'ingredient_safety'),
-o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(s, 9) DESC, id) AS place FROM safe WHERE s IS NOT NULL)
-SELECT b.id AS product_id, string_agg(o.id, ',' ORDER BY o.place) AS alternatives, count(*) AS n FROM safe b JOIN o ON o.category = b.category AND o.place <= 5 AND round(o.s, 9) > coalesce(round(b.s, 9), '-infinity'::DOUBLE) AND o.id <> b.id GROUP BY b.id""")
+def _delta_sql(sign: str) -> str:
+    """The axes of a pair that differ by five points or more, with thousandths of points."""
+    one = lambda x: f"CASE WHEN {sign}(round(wa.{x}, 9) - round(wb.{x}, 9)) >= 5 THEN '{x}' || CAST(round((round(wa.{x}, 9) - round(wb.{x}, 9)) * 1000) AS BIGINT) END"
+    return f"array_to_string(list_filter([{', '.join(map(one, scoring.AXES))}], lambda z: z IS NOT NULL), '|')"
+
+
+SAFER = f"""WITH {a.PRODUCT}, {a.PILLARS}, safe AS (SELECT p.id, p.category, round(q.representative, 9) AS s FROM product p LEFT JOIN pillar q ON q.product_id = p.id AND q.axis = 'ingredient_safety'),
+wide AS (SELECT product_id, {', '.join(f"max(CASE WHEN axis = '{x}' THEN representative END) AS {x}" for x in scoring.AXES)} FROM pillar GROUP BY product_id),
+safer AS (SELECT b.id AS product_id, x.id AS alt_id, x.s, {_delta_sql('')} AS cleaner, {_delta_sql('-')} AS tradeoffs, row_number() OVER (PARTITION BY b.id ORDER BY x.s DESC, x.id) AS place
+  FROM safe b JOIN safe x ON x.category = b.category AND x.s > coalesce(b.s, '-infinity'::DOUBLE) LEFT JOIN wide wa ON wa.product_id = x.id LEFT JOIN wide wb ON wb.product_id = b.id)"""
+
+
+def _rounded(spark, d) -> DataFrame:
+    """All pillars to nine places, so that engines agree on ties and on what is five points."""
+    return scoring.all_pillars(_products(spark, d).select(F.col("id").alias("product_id")), _pillars(spark, d)).withColumn("representative", F.round("representative", 9))
+
+
+def _deltas(c) -> Column:
+    return F.array_join(F.transform(c, lambda x: F.concat(x["axis"], F.round(x["delta"] * 1000).cast("long").cast("string"))), "|")
+
+
+@registered("shelf_catalog", f"{SAFER} SELECT product_id, count(*) AS n, string_agg(alt_id || ':' || cleaner || '/' || tradeoffs, ';' ORDER BY place) AS alternatives FROM safer GROUP BY product_id")
 def shelf_catalog(spark, d):
-    """The five safest products of the category that are safer than each product."""
-    every = scoring.all_pillars(_products(spark, d).select(F.col("id").alias("product_id")), _pillars(spark, d)).withColumn("representative", F.round("representative", 9))
-    out = catalog.shelf_catalog(_products(spark, d), every, 5)
-    return out.select("product_id", F.array_join(F.transform("alternatives", lambda x: x["alt_id"]), ",").alias("alternatives"), F.size("alternatives").cast("long").alias("n"))
+    """Every safer product of the category of each product, safest first, with the axes that differ."""
+    out = catalog.shelf_catalog(_products(spark, d), _rounded(spark, d))
+    one = lambda x: F.concat(x["alt_id"], F.lit(":"), _deltas(x["cleaner"]), F.lit("/"), _deltas(x["tradeoffs"]))
+    return out.select("product_id", F.size("alternatives").cast("long").alias("n"), F.array_join(F.transform("alternatives", one), ";").alias("alternatives"))
+
+
+@registered("top_alternatives", f"{SAFER} SELECT product_id, place, alt_id, round(s, 6) AS alt_safety, cleaner, tradeoffs FROM safer WHERE place <= 3")
+def top_alternatives(spark, d):
+    """The three safest alternatives of each product, looked up in runs of categories."""
+    out = catalog.top_alternatives(_products(spark, d), _rounded(spark, d), 3)
+    return out.select("product_id", "place", "alt_id", r6("alt_safety").alias("alt_safety"), _deltas(F.col("cleaner")).alias("cleaner"), _deltas(F.col("tradeoffs")).alias("tradeoffs"))
 
 
 STANCES = ["concern", "neutral", "unknown", "support"]
@@ -477,7 +503,7 @@ def split_parts(spark, d):
     return fit.withColumn("fits", F.lit(True)).unionByName(test.withColumn("fits", F.lit(False))).select(F.col("id").cast("long").alias("doc_id"), "fits")
 
 
-@registered("rate_check")
+@registered("rate_check", f"""{UNSIZED_HITS} SELECT (SELECT count(*) FROM item) AS probes, count(*) AS resolved, count(*) FILTER (CAST(substr(entry, 2) AS BIGINT) % 2 = 0) AS resolved_to_rated, count(*) FILTER (ambiguous) AS ambiguous FROM verdict""")
 def rate_check(spark, d):
     """How many sightings without size resolve, and to rated products."""
     c = _prepared(spark, d)
@@ -525,7 +551,7 @@ def feed_ingested(spark, d):
     """The whole feed ingested: what each listing is attached to, and the product where one was minted for it; put into a store and read back."""
     good, _ = feed.parsed(_landed(spark, d))
     made = feed.ingest(good, _prepared(spark, d), a.brands(spark, d), NOW)
-    into = store.Store(spark, f"{graph.shared_folder(spark)}/panelyst/store-{uuid.uuid4().hex}", feed.TABLES)
+    into = store.Store(spark, f"{graph.shared_folder(spark)}/panelyst/store-{uuid.uuid4().hex}", feed.TABLES, buckets=8)
     into.merge({t: store.Merge(made[t]) for t in ("listing", "match", "product", "brand")})
     product = into.read("product").select(F.col("id").alias("own"), "display_name", "brand_id", "category")
     match = into.read("match").withColumn("own", F.concat(F.lit("prod-"), "listing_id"))

@@ -195,6 +195,11 @@ ranked AS (SELECT product, entry, score, row_number() OVER w AS place, lead(scor
 verdict AS (SELECT product, entry, score, coalesce(score - next < {matching.AMBIGUITY}, FALSE) AS ambiguous FROM ranked WHERE place = 1)"""
 
 
+#: The same of sightings that have lost their size too.
+UNSIZED_HITS = HITS.replace("SELECT * REPLACE (NULL::VARCHAR AS gtin14,", "SELECT * REPLACE (NULL::VARCHAR AS gtin14, NULL::DOUBLE AS size_value,")
+assert UNSIZED_HITS != HITS
+
+
 @registered("resolve_sightings", f"{HITS} SELECT 'sighting-' || product AS id, entry AS product_id, round(score, 6) AS confidence, ambiguous FROM verdict")
 def resolve_sightings(spark, d):
     """Synthetic sightings of all products against the catalog, over all keys."""
@@ -204,13 +209,16 @@ def resolve_sightings(spark, d):
 SIZED_ITEM = SIZED[SIZED.index("own AS (") :]
 
 
-@registered("recall_by_bucket", f"""{HITS}, {SIZED_ITEM},
+RECALL = f"""{HITS}, {SIZED_ITEM},
 probe AS (SELECT product_id, {CUT} AS bucket FROM sized QUALIFY row_number() OVER (PARTITION BY {CUT} ORDER BY ('0x' || substr(md5('1|' || product_id), 1, 8))::BIGINT, product_id) <= 50),
 o AS (SELECT bucket, CASE WHEN entry IS NULL THEN 'unresolved' WHEN entry <> product_id THEN 'wrong' WHEN ambiguous THEN 'ambiguous' ELSE 'correct' END AS outcome FROM probe LEFT JOIN verdict ON product = product_id),
-b AS (SELECT unnest(['tail', 'small', 'mid', 'head']) AS bucket)
-SELECT b.bucket, count(outcome) AS total, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'wrong') AS wrong,
+b AS (SELECT ['tail', 'small', 'mid', 'head'][i] AS bucket, i FROM (SELECT unnest([1, 2, 3, 4]) AS i)),
+by_bucket AS (SELECT b.bucket, b.i, count(outcome) AS total, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome = 'wrong') AS wrong,
        count(*) FILTER (outcome = 'unresolved') AS unresolved, CASE WHEN count(outcome) = 0 THEN 0 ELSE round(count(*) FILTER (outcome = 'correct') * 1.0::DOUBLE / count(outcome), 6) END AS recall
-FROM b LEFT JOIN o USING (bucket) GROUP BY b.bucket""")
+FROM b LEFT JOIN o USING (bucket) GROUP BY b.bucket, b.i)"""
+
+
+@registered("recall_by_bucket", f"{RECALL} SELECT * EXCLUDE (i) FROM by_bucket")
 def recall_by_bucket(spark, d):
     """Recall of synthetic sightings by brand size."""
     c = _prepared(spark, d)
@@ -219,12 +227,14 @@ def recall_by_bucket(spark, d):
     return out.select("bucket", *[F.col(x).cast("long").alias(x) for x in ("total", *training.OUTCOMES)], r6("recall").alias("recall"))
 
 
-@registered("fairness_gap")
+@registered("fairness_gap", f"""{RECALL}, probed AS (SELECT * FROM by_bucket WHERE total > 0)
+SELECT (SELECT bucket FROM probed ORDER BY recall DESC, i LIMIT 1) AS best, (SELECT bucket FROM probed ORDER BY recall, i LIMIT 1) AS worst,
+       (SELECT round(max(recall) - min(recall), 6) FROM probed) AS gap, (SELECT bucket FROM probed ORDER BY ambiguous DESC, i LIMIT 1) AS most_ambiguous""")
 def fairness_gap(spark, d):
     """The best and worst bucket by recall, their gap and the most ambiguous one."""
     c = _prepared(spark, d)
     outcomes = training.measure_recall(training.stratified_probes(c, 50, cutoffs=CUTS), c, a.brands(spark, d), cutoffs=CUTS)
-    return training.fairness_gap(training.recall_by_bucket(outcomes))
+    return training.fairness_gap(training.recall_by_bucket(outcomes).withColumn("recall", r6("recall"))).withColumn("gap", r6("gap"))
 
 
 @registered("labeled_pairs", f"""{KEYED}, sibling AS ({sibling_sql("(SELECT id, display_name AS name FROM product)")}),
@@ -237,3 +247,39 @@ def labeled_pairs(spark, d):
     """Training pairs by label and kind: own sightings, others of a block, changed variants, without brand, other brands."""
     pairs = training.labeled_pairs(_prepared(spark, d), a.brands(spark, d), brandless=1)
     return pairs.groupBy("label", F.element_at(F.split("id", "-"), 3).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _unit_sql(*keys: str) -> str:
+    """hash_unit of keys."""
+    joined = " || '|' || ".join(keys)
+    return f"(('0x' || substr(md5({joined}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_KEYS = ("salt", "b.id")
+_TAIL = f"{a._sql_list(training.TAILS)}[CAST(floor({_unit_sql("'tail'", *_KEYS)} * {len(training.TAILS)}) AS INT) + 1]"
+_CUT = f"""CASE WHEN len(ingredients) > 5 AND {_unit_sql("'halve'", *_KEYS)} < 0.5 THEN ingredients[1:CAST(floor({_unit_sql("'cut'", *_KEYS)} * (len(ingredients) - 5)) + 5 AS INT)] ELSE ingredients END"""
+_CLEAN = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+SIGHTED = f"""{KEYED}, sibling AS ({sibling_sql("(SELECT id, display_name AS name FROM product)")}),
+base AS (SELECT id, brand_id AS brand, display_name AS name, gtin, ingredients, size_value, size_unit FROM product),
+beside AS (SELECT p.a, p.b FROM pair p JOIN item x ON x.id = p.a JOIN item y ON y.id = p.b WHERE coalesce(x.gtin14 <> y.gtin14, TRUE)),
+block_other AS (SELECT a AS id, b AS other_id FROM beside UNION ALL SELECT b, a FROM beside),
+own AS (SELECT id, token, coalesce(brand_key, '__nobrand:' || id) AS bk FROM item WHERE token IS NOT NULL),
+brand_other AS (SELECT x.id, y.id AS other_id FROM own x JOIN own y ON x.token = y.token AND x.bk <> y.bk),
+drawn AS (
+  SELECT id AS entry, salt, id, 1 AS label FROM base, (SELECT unnest(['1-p-1', '1-p-2']) AS salt)
+  UNION ALL SELECT id, salt, arg_min(other_id, {_unit_sql('salt', 'id', 'other_id')}), 0 FROM block_other, (SELECT unnest(['1-n-1', '1-n-2']) AS salt) GROUP BY id, salt
+  UNION ALL SELECT id, salt, arg_min(other_id, {_unit_sql('salt', 'id', 'other_id')}), 0 FROM brand_other, (SELECT '1-c-1' AS salt) GROUP BY id, salt)
+SELECT d.entry, label, 's-' || salt || '-' || d.entry || '-' || b.id AS id, brand, {_CLEAN.format(x=f"brand || ' ' || name || ' ' || {_TAIL}")} AS name, CASE WHEN {_unit_sql("'gtin'", *_KEYS)} < {training.KEEP_GTIN} THEN gtin END AS gtin,
+       array_to_string({_CUT}, '|') AS ingredients, size_value, size_unit FROM drawn d JOIN base b ON b.id = d.id
+UNION ALL
+SELECT b.id, 0, 's-' || salt || '-' || b.id, brand, {_CLEAN.format(x=f"brand || ' ' || s.sibling || ' ' || {_TAIL}")}, NULL, array_to_string(ingredients, '|'), size_value, size_unit
+FROM base b JOIN sibling s ON s.id = b.id AND s.sibling IS NOT NULL, (SELECT '1-v-1' AS salt)
+UNION ALL
+SELECT b.id, 1, 's-' || salt || '-' || b.id, NULL, {_CLEAN.format(x=f"name || ' ' || {_TAIL}")}, NULL, array_to_string({_CUT}, '|'), NULL, NULL FROM base b, (SELECT '1-b-1' AS salt) WHERE len(ingredients) >= 5"""
+
+
+@registered("labeled_sightings", SIGHTED)
+def labeled_sightings(spark, d):
+    """Every labelled pair: the entry and the sighting it is compared with, as training takes them."""
+    out = training.labeled_sightings(_prepared(spark, d), brandless=1)
+    return out.select("entry", "label", "id", "brand", "name", "gtin", F.array_join("ingredients", "|").alias("ingredients"), "size_value", "size_unit")
