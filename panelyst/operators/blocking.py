@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ingredient_keys
+from ..functions.similarity import character_set
 from ..functions.text import first_name_token, normalize_gtin, normalize_name, normalized_set, strip_norm
 from ..functions.variants import variant_tokens
 
@@ -25,10 +26,11 @@ def brand_aliases(brands: DataFrame) -> DataFrame:
 
 def with_brand_key(items: DataFrame, brands: DataFrame) -> DataFrame:
     """``items`` with brand_key: the canonical brand, an unknown one's normalised text, or NULL without letters and digits."""
+    # the row is one struct, so that its columns' names meet none of these
     norm = F.nullif(strip_norm(F.col("brand")), F.lit(""))
-    a = brand_aliases(brands)
-    joined = items.withColumn("_norm", norm).join(a, F.col("_norm") == F.col("alias"), "left")
-    return joined.withColumn("brand_key", F.coalesce("brand_id", "_norm")).drop("_norm", "alias", "brand_id")
+    rows = items.drop("brand_key").select(F.struct("*").alias("row"), norm.alias("norm")).alias("i")
+    joined = rows.join(brand_aliases(brands).alias("a"), F.expr("i.norm = a.alias"), "left")
+    return joined.select("i.row.*", F.coalesce("a.brand_id", "i.norm").alias("brand_key"))
 
 
 def prepared(items: DataFrame, brands: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def prepared(items: DataFrame, brands: DataFrame) -> DataFrame:
     out = with_brand_key(items, brands)
     out = out.withColumn("gtin14", normalize_gtin(F.col("gtin"))).withColumn("token", first_name_token(F.col("name")))
     norm = F.nullif(normalize_name(F.col("name")), F.lit(""))
-    out = out.withColumn("norm_name", norm).withColumn("name_words", F.array_distinct(F.split("norm_name", " ")))
+    out = out.withColumn("norm_name", norm).withColumn("name_chars", character_set(F.col("norm_name"))).withColumn("name_words", F.array_distinct(F.split("norm_name", " ")))
     out = out.withColumn("ingredient_set", normalized_set(F.col("ingredients"))).withColumn("variants", variant_tokens(F.col("name")))
     return out.withColumn("keys", block_keys())
 

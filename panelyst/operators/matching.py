@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import jaro_winkler, jaro_winkler_most
 from ..functions.text import overlap_coefficient, sizes_equal
 from ..functions.variants import variants_conflict
 from .blocking import blocked, candidate_pairs
@@ -36,7 +36,7 @@ SHIPPED = Model(
 )
 HAND_WEIGHTS = [6.0, 2.0, 1.5, 2.5, 3.0, 1.0, -4.0]
 
-SIDE = ["norm_name", "name_words", "gtin14", "brand_key", "ingredients", "ingredient_set", "size_value", "size_unit", "variants"]
+SIDE = ["norm_name", "name_chars", "name_words", "gtin14", "brand_key", "ingredients", "ingredient_set", "size_value", "size_unit", "variants"]
 
 
 def sided(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -50,12 +50,25 @@ def with_features(pairs: DataFrame) -> DataFrame:
 
     A common barcode is TRUE or NULL, a variant conflict too: neither's absence says anything.
     """
+    return with_name_similarity(with_cheap_features(pairs))
+
+
+def _both_named() -> Column:
+    return F.col("l.norm_name").isNotNull() & F.col("r.norm_name").isNotNull()
+
+
+def with_name_similarity(pairs: DataFrame) -> DataFrame:
+    """The one feature that leaves the JVM."""
+    return pairs.withColumn("name_jaro_winkler", F.when(_both_named(), jaro_winkler(F.col("l.norm_name"), F.col("r.norm_name"))))
+
+
+def with_cheap_features(pairs: DataFrame) -> DataFrame:
+    """All features but Jaro-Winkler, of built-in functions."""
     lhs, rhs = F.col("l"), F.col("r")
-    both = lhs["norm_name"].isNotNull() & rhs["norm_name"].isNotNull()
+    both = _both_named()
     enough = lambda x: (F.size(x["ingredients"]) >= LEAST_INGREDIENTS) & (F.size(x["ingredient_set"]) >= LEAST_INGREDIENTS)
     return (
         pairs.withColumn("gtin_exact", F.when(lhs["gtin14"] == rhs["gtin14"], F.lit(True)))
-        .withColumn("name_jaro_winkler", F.when(both, jaro_winkler(lhs["norm_name"], rhs["norm_name"])))
         .withColumn("name_token_set", F.when(both, overlap_coefficient(lhs["name_words"], rhs["name_words"])))
         .withColumn("brand_match", lhs["brand_key"] == rhs["brand_key"])
         .withColumn("ingredients_overlap", F.when(enough(lhs) & enough(rhs), overlap_coefficient(lhs["ingredient_set"], rhs["ingredient_set"])))
@@ -77,13 +90,37 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
-def probability(model: Model = SHIPPED) -> Column:
-    """The match probability over the feature columns, as one sum that stays in generated code."""
+def logit(model: Model = SHIPPED, name_similarity: Column | None = None) -> Column:
+    """The model's sum over the feature columns; with ``name_similarity`` in place of the column name_jaro_winkler."""
     z = F.lit(0.0)
     for i, f in enumerate(FEATURES):
-        c = F.col(f).cast("double")
+        c = (F.col(f) if name_similarity is None or f != "name_jaro_winkler" else name_similarity).cast("double")
         z = z + F.coalesce(c * F.lit(model.weights[2 * i]) + F.lit(model.weights[2 * i + 1]), F.lit(0.0))
-    return sigmoid(z + F.lit(model.bias))
+    return z + F.lit(model.bias)
+
+
+def probability(model: Model = SHIPPED) -> Column:
+    """The match probability over the feature columns, as one sum that stays in generated code."""
+    return sigmoid(logit(model))
+
+
+def hits_among(sides: DataFrame, model: Model = SHIPPED) -> DataFrame:
+    """Pairs with l and r whose probability reaches the threshold, with features and score.
+
+    Jaro-Winkler is bounded first, by the characters that both names have and their common beginning, in built-in functions;
+    pairs that stay below the threshold even so never reach the Arrow function.
+    """
+    return with_name_similarity(able(sides, model)).withColumn("score", probability(model)).where(F.col("score") >= model.threshold)
+
+
+def able(sides: DataFrame, model: Model = SHIPPED) -> DataFrame:
+    """Pairs with all features but Jaro-Winkler that could reach the threshold under its bounds."""
+    cheap = with_cheap_features(sides)
+    weight = model.weights[2 * FEATURES.index("name_jaro_winkler")]
+    most = jaro_winkler_most(*[F.col(f"{side}.{c}") for c in ("norm_name", "name_chars") for side in "lr"]) if weight >= 0 else F.lit(0.0)
+    # a hair below, so that rounding loses nothing
+    least = math.log(model.threshold / (1 - model.threshold)) - 1e-9 if 0 < model.threshold < 1 else math.inf * (model.threshold - 0.5)
+    return cheap.where(logit(model, F.when(_both_named(), most)) >= least)
 
 
 def brand_alone_most(model: Model = SHIPPED) -> float:
@@ -124,7 +161,8 @@ def cluster_listings(items: DataFrame, model: Model = SHIPPED, fine_only: bool =
     Where brand_words_suffice, ``brand_words`` gives the same clusters and leaves pairs below the threshold out of the scored ones.
     """
     scored = scored_pairs(items, model, fine_only, brand_words)
-    return clusters(items.select("id"), scored.where(F.col("score") >= model.threshold)), scored
+    pairs = candidate_pairs(items, fine_only, brand_words).select("a", "b")
+    return clusters(items.select("id"), hits_among(sided(pairs, items, items), model)), scored
 
 
 def clusters(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -133,16 +171,18 @@ def clusters(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster_id"))
 
 
-def resolve(items: DataFrame, catalog: DataFrame, model: Model = SHIPPED, fine_only: bool = False) -> DataFrame:
+def resolve(items: DataFrame, catalog: DataFrame, model: Model = SHIPPED, fine_only: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """(id, product_id, entry_id, confidence, ambiguous, reason) of items that resolve; prepared inputs, the catalog with product_id.
+    ``pairs`` (id, entry_id) are the candidates if they are known already.
 
     The best entry at or above the threshold wins, the first of the catalog among equals; it is ambiguous if the best entry
     of any other product comes within 0.04.
     """
     entries = catalog.select(F.col("id").alias("entry_id"), "product_id", F.col("ord").alias("entry_ord"))
     # the same hits as by whole brands, without their quadratic buckets
-    scored = with_features(sided(blocked(items, catalog, fine_only, brand_words_suffice(model)).withColumnRenamed("id", "a").withColumnRenamed("entry_id", "b"), items, catalog))
-    hits = scored.withColumn("score", probability(model)).where(F.col("score") >= model.threshold).select(F.col("a").alias("id"), F.col("b").alias("entry_id"), "score").join(entries, "entry_id")
+    pairs = blocked(items, catalog, fine_only, brand_words_suffice(model)) if pairs is None else pairs
+    sides = sided(pairs.withColumnRenamed("id", "a").withColumnRenamed("entry_id", "b"), items, catalog)
+    hits = hits_among(sides, model).select(F.col("a").alias("id"), F.col("b").alias("entry_id"), "score").join(entries, "entry_id")
     # the best of each product first: partial aggregation, so that popular items don't gather all their hits in a window
     by_product = hits.groupBy("id", "product_id").agg(F.max_by(F.struct("entry_id", "score", "entry_ord"), F.struct("score", -F.col("entry_ord"))).alias("h"))
     order = Window.partitionBy("id").orderBy(F.desc("h.score"), "h.entry_ord")

@@ -155,19 +155,30 @@ def evaluate(rows: DataFrame, threshold: float) -> DataFrame:
     return c.select(F.lit(float(threshold)).alias("threshold"), *confusion(*[F.col(k) for k in ("tp", "fp", "tn", "fn")]))
 
 
+#: Ranges of probabilities into which the sweep's running sums are dealt.
+RANGES = 1000
+
+
 def threshold_sweep(rows: DataFrame) -> DataFrame:
-    """Metrics at every distinct probability and at 0.5 and 1.01, from one running sum over distinct probabilities.
+    """Metrics at every distinct probability and at 0.5 and 1.01, from running sums over distinct probabilities in two steps.
 
-    The running sum stands in one task over at most as many rows as there are distinct probabilities rounded as given.
+    Each of RANGES ranges of probabilities has its own running sums, and totals of ranges say what lies above; totals are met
+    with one another, RANGES squared rows at most, so no step gathers all probabilities in one task.
     """
     spark = rows.sparkSession
-    per = rows.groupBy("p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    per = rows.where("p IS NOT NULL").groupBy("p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
     extra = spark.createDataFrame([(0.5, 0, 0), (1.01, 0, 0)], "p double, pos long, neg long")
     per = per.unionByName(extra).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    tp, fp = F.sum("pos").over(above), F.sum("neg").over(above)
-    c = per.select(F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.sum("neg").over(whole) - fp).alias("tn"), (F.sum("pos").over(whole) - tp).alias("fn"))
+    # 0.5 and 1.01 may be the only rows; probabilities are from 0 to 1
+    per = per.withColumn("range", F.floor(F.col("p") * RANGES).cast("int"))
+    totals = per.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = F.col("o.range") > F.col("r.range")
+    some = lambda c, name: F.sum(F.when(above, F.col(f"o.{c}")).otherwise(F.lit(0))).alias(name)
+    met = totals.select("range").alias("r").join(F.broadcast(totals.alias("o")))
+    higher = met.groupBy("r.range").agg(some("pos", "pos_above"), some("neg", "neg_above"), F.sum("o.pos").alias("all_pos"), F.sum("o.neg").alias("all_neg"))
+    within = Window.partitionBy("range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, fp = F.sum("pos").over(within) + F.col("pos_above"), F.sum("neg").over(within) + F.col("neg_above")
+    c = per.join(F.broadcast(higher), "range").select(F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.col("all_neg") - fp).alias("tn"), (F.col("all_pos") - tp).alias("fn"))
     return c.select("threshold", *confusion(*[F.col(k) for k in ("tp", "fp", "tn", "fn")]))
 
 
@@ -184,7 +195,7 @@ def train_matcher(catalog: DataFrame, brands: DataFrame, eval_pairs: DataFrame |
     """The training job: labelled pairs, split, fit, threshold on the training part, metrics on both held-out sets."""
     fit, test = split(labeled_pairs(catalog, brands, seed=seed, **options).select("id", "vector", "label"), seed=seed)
     model = train_logistic(fit)
-    # to six places, as the threshold is kept: the sweep's running sum is over a million probabilities at most
+    # to six places, as the threshold is kept
     scored = lambda rows: rows.select("label", F.round(vector_probability(F.col("vector"), model), 6).alias("p"))
     t = best_threshold(scored(fit)).first()["threshold"]
     model = Model(tuple(round(w, 6) for w in model.weights), round(model.bias, 6), round(t, 6))

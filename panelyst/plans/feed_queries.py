@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import agreement, catalog, graph, matching, raters, scoring, training
+from ..operators import agreement, catalog, graph, matching, raters, scoring, search, training
 from ..sources import feed, store
 from ..sources import pages as shop_pages
 from . import adapters as a
@@ -296,6 +296,18 @@ def distinct_brands(spark, d):
     return catalog.distinct_brands(catalog.views(_products(spark, d), a.brands(spark, d), _pillars(spark, d)))
 
 
+@registered("indexed_search", f"""WITH {a.PRODUCT}, {a.BRAND}, named AS (SELECT p.id, lower(p.display_name) AS x, lower(coalesce(b.name, '')) AS y, coalesce(p.gtin, '') AS z FROM product p LEFT JOIN brand b ON b.id = p.brand_id),
+query AS (SELECT DISTINCT unnest(string_split(x, ' ')) AS query FROM named UNION SELECT DISTINCT substr(z, 7) FROM named)
+SELECT query, count(*) AS n, min(id) AS first_id FROM query JOIN named ON contains(x, query) OR contains(y, query) OR contains(z, query) WHERE length(query) >= 3 GROUP BY query""")
+def indexed_search(spark, d):
+    """Every word of a name and every end of a barcode, searched through the trigram index."""
+    named = _products(spark, d).join(a.brands(spark, d).select(F.col("id").alias("brand_id"), F.col("name").alias("brand_name")), "brand_id", "left")
+    index = search.SearchIndex(spark, f"{graph.shared_folder(spark)}/panelyst/search-{uuid.uuid4().hex}", 8).build(named)
+    words = named.select(F.explode(F.split(F.lower("display_name"), " ")).alias("query"))
+    queries = words.unionByName(named.select(F.substring(F.coalesce("gtin", F.lit("")), 7, 100).alias("query"))).distinct()
+    return index.search_all(named, queries).groupBy("query").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 def _delta_sql(sign: str) -> str:
     """The axes of a pair that differ by five points or more, with thousandths of points."""
     one = lambda x: f"CASE WHEN {sign}(round(wa.{x}, 9) - round(wb.{x}, 9)) >= 5 THEN '{x}' || CAST(round((round(wa.{x}, 9) - round(wb.{x}, 9)) * 1000) AS BIGINT) END"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import blocking, graph, matching, training
+from ..operators import block_index, blocking, graph, matching, training
+from ..sources import kept_components, store
 from . import adapters as a
 from .catalog_queries import CUT, CUTS, MINHASH, NORM, SIZED, r6, registered
 
@@ -171,16 +174,34 @@ def pair_scores(spark, d):
     return out.select("a", "b", *[r6(F.col(f).cast("double")).alias(f) for f in matching.FEATURES], *[r6(c).alias(c) for c in ("score", "hand", "by_vector")])
 
 
-@registered("cluster_listings", f"""{FULL}, able AS (SELECT * FROM featured WHERE {ABLE}), {jaro_sql('able')},
+CLUSTERED = f"""{FULL}, able AS (SELECT * FROM featured WHERE {ABLE}), {jaro_sql('able')},
 link AS (SELECT a, b FROM able JOIN jw USING (na, nb) WHERE {probability_sql(matching.SHIPPED)} >= {matching.SHIPPED.threshold}::DOUBLE),
 two_way AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT id AS a, id AS b FROM product UNION SELECT r.a, e.b FROM reach r JOIN two_way e ON e.a = r.b)
-SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a""")
+SELECT a AS id, min(b) AS cluster_id FROM reach GROUP BY a"""
+
+
+@registered("cluster_listings", CLUSTERED)
 def cluster_listings(spark, d):
     """Clusters of the catalog by the matcher, over all keys; brands meet by name words, which finds the same links."""
     return matching.cluster_listings(_prepared(spark, d), brand_words=matching.brand_words_suffice(matching.SHIPPED))[0]
 
 
+@registered("kept_clusters", CLUSTERED)
+def kept_clusters(spark, d):
+    """The same clusters, grown in a store by three batches of links."""
+    items = _prepared(spark, d)
+    pairs = blocking.candidate_pairs(items, brand_words=matching.brand_words_suffice(matching.SHIPPED)).select("a", "b")
+    links = graph.kept(matching.hits_among(matching.sided(pairs, items, items)).select("a", "b"), "links")
+    into = store.Store(spark, f"{graph.shared_folder(spark)}/panelyst/clusters-{uuid.uuid4().hex}", kept_components.TABLES, buckets=8)
+    clusters = kept_components.KeptComponents(into)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(2).cast("long"))
+    alone = items.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for n, batch in enumerate([links.where(part == 0), alone, links.where(part == 1)]):
+        clusters.add(batch, ("links", n))
+    return clusters.read().select(F.col("node").alias("id"), F.col("root").alias("cluster_id"))
+
+
 #: Sightings and their hits on the catalog. Barcodes are lost, so keys are brands and bands of ingredients, which are those of
 #: the product itself; a sighting's words are its brand's, its name's and the tail's.
 HITS = f"""WITH RECURSIVE {MINHASH}, sized_item AS (SELECT i.*, p.size_value, p.brand_id FROM item i JOIN product p ON p.id = i.id),
@@ -200,12 +221,22 @@ UNSIZED_HITS = HITS.replace("SELECT * REPLACE (NULL::VARCHAR AS gtin14,", "SELEC
 assert UNSIZED_HITS != HITS
 
 
-@registered("resolve_sightings", f"{HITS} SELECT 'sighting-' || product AS id, entry AS product_id, round(score, 6) AS confidence, ambiguous FROM verdict")
+RESOLVED = f"{HITS} SELECT 'sighting-' || product AS id, entry AS product_id, round(score, 6) AS confidence, ambiguous FROM verdict"
+
+
+@registered("resolve_sightings", RESOLVED)
 def resolve_sightings(spark, d):
     """Synthetic sightings of all products against the catalog, over all keys."""
     return matching.resolve(_seen(spark, d), _prepared(spark, d)).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
 
 
+@registered("indexed_sightings", RESOLVED)
+def indexed_sightings(spark, d):
+    """The same through a blocking index that is built once and stays where it is."""
+    index = block_index.BlockIndex(spark, f"blocks_{uuid.uuid4().hex}").build(_prepared(spark, d), 8)
+    return index.resolve(_seen(spark, d)).select("id", "product_id", r6("confidence").alias("confidence"), "ambiguous")
+
+
 SIZED_ITEM = SIZED[SIZED.index("own AS (") :]
 
 
