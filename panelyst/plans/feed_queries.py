@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import agreement, catalog, graph, matching, raters, scoring, search, training
-from ..sources import feed, store
+from ..sources import feed, store, stored
 from ..sources import pages as shop_pages
 from . import adapters as a
 from .catalog_queries import AXIS_ORD, BAND, COMPOSITE, ETH, GTIN, HAZ, ITEMS, MAT, PROBS, STRIP, TIER, _pillars, _probs, _products, _rated, r6, registered
@@ -568,3 +568,37 @@ def feed_ingested(spark, d):
     product = into.read("product").select(F.col("id").alias("own"), "display_name", "brand_id", "category")
     match = into.read("match").withColumn("own", F.concat(F.lit("prod-"), "listing_id"))
     return match.join(product, "own", "left").select("listing_id", "product_id", r6("confidence").alias("confidence"), "method", "display_name", "brand_id", "category")
+
+
+_ALL = INGESTED.index("\nSELECT f.id AS listing_id")
+
+
+@registered("feed_summary", f"""{INGESTED[:_ALL]}, kinds AS (SELECT p_partkey % 11 AS r FROM part WHERE p_partkey % 7 <> 0 OR p_partkey = 0)
+SELECT (SELECT count(*) FROM norm) AS fetched, (SELECT count(*) FROM kinds WHERE r = 1) AS not_found, (SELECT count(*) FROM kinds WHERE r IN (2, 3)) AS invalid, (SELECT count(*) FROM found) AS matched,
+       (SELECT count(DISTINCT head) FROM grouped) AS created, (SELECT count(*) FROM grouped WHERE id <> head) AS joined, (SELECT count(*) FROM norm WHERE eco_score IS NOT NULL) AS ratings""")
+def feed_summary(spark, d):
+    """The ingestion job over landed answers and a store with the catalog: what it fetched, matched and minted."""
+    folder = f"{graph.shared_folder(spark)}/panelyst/job-{uuid.uuid4().hex}"
+    _landed(spark, d).select("raw").write.text(f"{folder}/landed")
+    into = store.Store(spark, f"{folder}/tables", feed.TABLES, buckets=8)
+    feed.seeded(into, _products(spark, d), a.brands(spark, d))
+    return feed.run_job(spark, ["--landed", f"{folder}/landed", "--tables", f"{folder}/tables"], NOW)
+
+
+@registered("seeded_tables", f"""WITH {FLAG}, {a.BRAND}, {a.SOURCE}
+SELECT 'brand' AS "table", count(*) AS n, sum(len(aliases)) AS members, min(coalesce(parent_id, '~')) AS first FROM brand UNION ALL SELECT 'product', count(*), sum(len(ingredients)), min(coalesce(gtin, '~')) FROM product
+UNION ALL SELECT 'source', count(*), 0, min(axis) FROM source UNION ALL SELECT 'flag', count(DISTINCT product_id), count(*), min(slug) FROM position""")
+def seeded_tables(spark, d):
+    """Curated tables seeded twice as stored rows, read back with their lists: rows, members of lists, and a least value."""
+    into = store.Store(spark, f"{graph.shared_folder(spark)}/panelyst/seed-{uuid.uuid4().hex}", stored.KEYS, buckets=8)
+    flags = _flags(spark, d).withColumn("id", F.concat("product_id", F.lit("-"), "slug"))
+    tables = {"brand": a.brands(spark, d), "product": _products(spark, d), "source": a.sources(spark, d), "flag": flags}
+    stored.seed(into, {t: df.limit(3) for t, df in tables.items()})
+    counts = stored.seed(into, tables)
+    measured = {"brand": ("aliases", F.coalesce("parent_id", F.lit("~"))), "product": ("ingredients", F.coalesce("gtin", F.lit("~"))), "source": (None, F.col("axis")), "flag": ("positions", F.col("slug"))}
+    out = None
+    for t, (members, least) in measured.items():
+        size = F.sum(F.size(members)) if members else F.lit(0).cast("long")
+        one = stored.from_rows(t, into.read(t)).agg(size.alias("members"), F.min(least).alias("first")).select(F.lit(t).alias("table"), "members", "first")
+        out = one if out is None else out.unionByName(one)
+    return counts.join(out, "table").select("table", "n", "members", "first")

@@ -190,15 +190,59 @@ def ingest_into(store: Store, good: DataFrame, now: str, batch: tuple[str, int]
         return False
     catalog, brands = match_context(store)
     known = store.read("match", MATCH_ROW)
-    made = ingest(good, catalog, brands, now, known.where("method = 'obf-new'"))
-    # a reviewed match is not pointed elsewhere
-    reviewed = known.where("reviewed").select("listing_id")
-    made["match"] = made["match"].join(reviewed, "listing_id", "left_anti")
-    merges = {t: Merge(made[t]) for t in ("listing", "match", "product", "brand")}
+    return put(store, ingest(good, catalog, brands, now, known.where("method = 'obf-new'")), known, batch)
+
+
+def put(store: Store, made: dict[str, DataFrame], known: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+    """Merge what ingest() gave into a store; a match that a human has reviewed is not pointed elsewhere."""
+    match = made["match"].join(known.where("reviewed").select("listing_id"), "listing_id", "left_anti")
+    merges = {t: Merge(made[t]) for t in ("listing", "product", "brand")} | {"match": Merge(match)}
     merges["rating"] = Merge(made["rating"], replaced=made["listing"].select(F.col("id").alias("listing_id")))
     return store.merge(merges, batch)
 
 
+def summary(landed: DataFrame, envelope: bool, made: dict[str, DataFrame]) -> DataFrame:
+    """One row of counts of a batch: fetched, not_found, invalid, matched, created (products), joined (listings that share a product
+    minted for another), ratings."""
+    e = landed.withColumn("status", F.from_json("raw", "status double")["status"] if envelope else F.lit(1.0))
+    good, bad = parsed(landed, envelope)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    minted_now = F.col("method") == "obf-new"
+    named = F.col("product_id") == F.concat(F.lit("prod-"), "listing_id")
+    parts = [
+        count(good, "fetched"), e.agg(F.count_if(F.col("status") != 1).alias("not_found")), count(bad, "invalid"),
+        made["match"].agg(F.count_if(~minted_now).alias("matched"), F.count_if(minted_now & named).alias("created"), F.count_if(minted_now & ~named).alias("joined")), count(made["rating"], "ratings"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:  # one row each
+        out = out.crossJoin(p)
+    return out
+
+
+def run_job(spark: SparkSession, argv: list[str], now: str, keys: dict[str, str] | None = None) -> DataFrame:
+    """The ingestion job over landed answers (--landed) and a store (--tables): given barcodes, or all answers; --search keeps those
+    whose name or brands hold a text, --limit takes so many in order of their codes, --dry writes nothing. Gives the summary."""
+    args = job_arguments(argv)
+    landed = read_landed(spark, args.landed)
+    if args.barcodes:
+        landed = wanted_barcodes(landed, args.barcodes)
+    at = lambda path: F.lower(F.coalesce(F.get_json_object("raw", f"$.product.{path}"), F.lit("")))
+    if args.search:
+        landed = landed.where(F.contains(at("product_name"), F.lit(args.search.lower())) | F.contains(at("brands"), F.lit(args.search.lower())))
+    if args.limit is not None:
+        landed = landed.orderBy(F.get_json_object("raw", "$.code").asc_nulls_last(), "raw").limit(args.limit)
+    landed = kept(landed, "landed")
+    store = Store(spark, args.tables, keys or TABLES)
+    catalog, brands = match_context(store)
+    known = store.read("match", MATCH_ROW)
+    good, _ = parsed(landed)
+    made = ingest(good, catalog, brands, now, known.where("method = 'obf-new'"))
+    out = kept(summary(landed, True, made), "summary")
+    if not args.dry:
+        put(store, made, known)
+    return out
+
+
 def replaced_ratings(old: DataFrame, new: DataFrame, listings: DataFrame) -> DataFrame:
     """Ratings of written listings are replaced wholesale, also by none."""
     stay = old.join(listings.select(F.col("id").alias("listing_id")), "listing_id", "left_anti")
