@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from panelyst.llm import line_dedup as ld
 from panelyst.llm import substring_dedup as sd
@@ -108,3 +111,30 @@ def test_lines_of_odd_rows(spark):
         by.setdefault((r.doc_id, r.n_chars), set()).add(r.text)
     assert all(len(v) == 1 for v in by.values())
     assert ld.dedup_lines(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 127, 128, 129, 4095, 4096, 4097, 5000])
+def test_one_edit_anywhere(spark, n):
+    """A character put in, left out or changed at either end of a block, of a run of blocks and of the line; two edits are too many."""
+    rng = random.Random(n)
+    base = "".join(rng.choice("abcdefé") for _ in range(n))
+    at = sorted({p for e in (0, 1, 62, 63, 64, 65, 127, 128, n // 2, 4095, 4096, n - 2, n - 1) for p in [e] if 0 <= p < n})
+    edits = [base[:p] + x + base[p + y :] for p in at for x, y in (("X", 1), ("X", 0), ("", 1))] + [base + "X"]
+    far = ["Y" + base[1:-1] + "Z", "Y" + base + "Z", base[1:-1]]
+    rows = [(0, base)] + [(1 + i, t) for i, t in enumerate(edits)] + [(1000 + i, t) for i, t in enumerate(far)]
+    got = {r.doc_id: r.n_removed for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and all(got[1 + i] == 1 for i in range(len(edits)))
+    near = lambda a, b: any(a[:i] == b[:i] and a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :] for i in range(max(len(a), len(b)) + 1))
+    assert all(got[1000 + i] == int(any(near(t, u) for u in [base, *edits, *far[:i]])) for i, t in enumerate(far))
+
+
+def test_long_lines_and_many_lines(spark):
+    """A line of a megabyte with a near copy, and a document of 200,000 equal lines, each within a minute."""
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(1 << 20))
+    other = line[:700_000] + "Z" + line[700_001:]
+    many = "the same line\n" * 200_000
+    for rows, want in (([(1, line), (2, other)], {1: 0, 2: 1}), ([(1, many)], {1: 199_999})):
+        start = time.time()
+        got = {r.doc_id: r.n_removed for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want and time.time() - start < 60
