@@ -59,7 +59,7 @@ def _both_named() -> Column:
 
 def with_name_similarity(pairs: DataFrame) -> DataFrame:
     """The one feature that leaves the JVM."""
-    return pairs.withColumn("name_jaro_winkler", F.when(_both_named(), jaro_winkler(F.col("l.norm_name"), F.col("r.norm_name"))))
+    return pairs.withColumn("name_jaro_winkler", F.when(_both_named(), jaro_winkler(F.col("l.norm_name"), F.col("r.norm_name"), once=True)))
 
 
 def with_cheap_features(pairs: DataFrame) -> DataFrame:
@@ -114,13 +114,20 @@ def hits_among(sides: DataFrame, model: Model = SHIPPED) -> DataFrame:
 
 
 def able(sides: DataFrame, model: Model = SHIPPED) -> DataFrame:
-    """Pairs with all features but Jaro-Winkler that could reach the threshold under its bounds."""
+    """Pairs with all features but Jaro-Winkler that could reach the threshold under its bounds.
+
+    Those that couldn't even with equal names go first, which costs little; only of the rest are characters compared.
+    """
     cheap = with_cheap_features(sides)
     weight = model.weights[2 * FEATURES.index("name_jaro_winkler")]
-    most = jaro_winkler_most(*[F.col(f"{side}.{c}") for c in ("norm_name", "name_chars") for side in "lr"]) if weight >= 0 else F.lit(0.0)
+    bounds = [F.lit(0.0)]
+    if weight >= 0:
+        bounds = [F.lit(1.0), jaro_winkler_most(*[F.col(f"{side}.{c}") for c in ("norm_name", "name_chars") for side in "lr"])]
     # a hair below, so that rounding loses nothing
     least = math.log(model.threshold / (1 - model.threshold)) - 1e-9 if 0 < model.threshold < 1 else math.inf * (model.threshold - 0.5)
-    return cheap.where(logit(model, F.when(_both_named(), most)) >= least)
+    for most in bounds:
+        cheap = cheap.where(logit(model, F.when(_both_named(), most)) >= least)
+    return cheap
 
 
 def brand_alone_most(model: Model = SHIPPED) -> float:
