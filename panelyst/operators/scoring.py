@@ -119,7 +119,9 @@ def top_drivers(found: DataFrame, weights: DataFrame) -> DataFrame:
     both = _weighted(found, weights).join(composites(found, weights).select("product_id", "overall"), "product_id")
     diff = F.col("representative") - F.col("overall")
     moved = both.where(F.abs(diff) >= 0.5).withColumn("magnitude", F.abs(diff) * F.col("w"))
-    best = moved.groupBy("product_id").agg(F.max_by(F.struct("axis", F.when(diff > 0, "lifts").otherwise("drags").alias("direction"), "magnitude"), F.struct("magnitude", -axis_rank(F.col("axis")))).alias("b"))
+    # sums in another order differ in their last digits, which would break ties
+    order = F.struct(F.round("magnitude", 9), -axis_rank(F.col("axis")))
+    best = moved.groupBy("product_id").agg(F.max_by(F.struct("axis", F.when(diff > 0, "lifts").otherwise("drags").alias("direction"), "magnitude"), order).alias("b"))
     return best.select("product_id", "b.axis", "b.direction", "b.magnitude")
 
 

@@ -280,3 +280,11 @@ def test_shelves_of_a_stream_are_those_of_the_whole(spark, tmp_path):
     for r in catalog.shelf(views, 5).collect():
         want.setdefault(r.user_id, []).append((r.place, r.item, r.last_seen.replace(tzinfo=None)))
     assert {u: [(p, i, t.replace(tzinfo=None)) for p, i, t in rows] for u, rows in last.items()} == {u: sorted(rows) for u, rows in want.items()}
+
+
+def test_top_driver_ties_go_by_axis(spark):
+    """Two axes that move the composite alike but for the last digit of a sum: the first of them, as SQL has it."""
+    found = spark.createDataFrame([("p", "ingredient_safety", 1 / 3), ("p", "packaging", 76.0)], "product_id string, axis string, representative double")
+    found = found.withColumn("spread_min", F.lit(None).cast("double")).withColumn("spread_max", F.lit(None).cast("double"))
+    r = scoring.top_drivers(found, scoring.default_weights(spark)).first()
+    assert (r.axis, r.direction) == ("ingredient_safety", "drags")
