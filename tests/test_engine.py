@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panelyst.functions import hashing
 from panelyst.operators import agreement, blocking, catalog, generic_names, graph, matching, raters, scoring, training
 
 from .conftest import DATA
@@ -288,3 +289,11 @@ def test_top_driver_ties_go_by_axis(spark):
     found = found.withColumn("spread_min", F.lit(None).cast("double")).withColumn("spread_max", F.lit(None).cast("double"))
     r = scoring.top_drivers(found, scoring.default_weights(spark)).first()
     assert (r.axis, r.direction) == ("ingredient_safety", "drags")
+
+
+def test_distinct_names_meet(spark):
+    """name_similarities joins names, not the customers and suppliers that share them."""
+    from panelyst.plans.feed_queries import name_similarities
+
+    plan = name_similarities(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join Inner") :].count("Aggregate [") == 2
