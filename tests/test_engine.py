@@ -291,6 +291,15 @@ def test_top_driver_ties_go_by_axis(spark):
     assert (r.axis, r.direction) == ("ingredient_safety", "drags")
 
 
+def test_bands_once_a_list(spark):
+    """Band keys are worked out once a distinct list of ingredients: below the hash family there is an aggregate of lists."""
+    sets = spark.range(300).select(F.col("id").cast("string").alias("id"), F.array(*[F.concat(F.lit(f"t{j}"), (F.col("id") % 3).cast("string")) for j in range(4)], F.lit("z")).alias("ingredient_set"))
+    small = sets.withColumn("ingredient_set", F.slice("ingredient_set", 1, 2))
+    out = blocking.with_bands(sets.unionByName(small))
+    assert out.count() == 600 and out.where("size(bands) = 16").select("bands").distinct().count() == 3 and out.where("size(bands) = 0").count() == 300
+    assert out.select(*blocking.with_bands(sets).columns).where(F.col("bands") != hashing.ingredient_keys(F.col("ingredient_set"))).count() == 0
+
+
 def test_distinct_names_meet(spark):
     """name_similarities joins names, not the customers and suppliers that share them."""
     from panelyst.plans.feed_queries import name_similarities
