@@ -291,6 +291,25 @@ def test_top_driver_ties_go_by_axis(spark):
     assert (r.axis, r.direction) == ("ingredient_safety", "drags")
 
 
+def test_copies_of_a_name_meet_once(spark):
+    """Hits are those of all pairs; what names say is worked out once a pair of names, however many items have them."""
+    row = lambda i, name, gtin, size: (f"i{i:03}", "Brand#1" if i % 7 else None, name, gtin, [f"x{j}" for j in range(i % 3, 6 + i % 3)], size, "ml" if i % 5 else None, i, f"i{i:03}")
+    names = ["red bolt", "red bolt SPF 30", "blue bolt", "blue ring lavender"]
+    rows = [row(i, names[i % 4], "00000000000017" if i % 11 == 0 else None, float(i % 9) + 0.3 * (i % 2)) for i in range(160)]
+    items = spark.createDataFrame(rows, "id string, brand string, name string, gtin string, ingredients array<string>, size_value double, size_unit string, ord int, product_id string")
+    brands = spark.createDataFrame([("Brand#1", "Brand#1", [], 0)], "id string, name string, aliases array<string>, ord int")
+    c = blocking.prepared(items, brands).cache()
+    pairs = lambda df: {(r.a, r.b, round(r.score, 9)) for r in df.collect()}
+    every = pairs(matching.hits_among(matching.sided(blocking.candidate_pairs(c).select("a", "b"), c, c)))
+    got = matching.hits(c, c, ordered=True).collect()
+    assert {(r.a, r.b, round(r.score, 9)) for r in got} == every and len(got) == len(every) > 300
+    both = matching.hits(c, c)
+    assert pairs(both.where("a < b")) == every
+    by_name = matching.names_of(matching.named(c))
+    assert by_name.count() == 4 and matching.name_pairs(by_name, by_name).count() <= 16
+    assert matching.names_lead(matching.SHIPPED) and not matching.names_lead(matching.Model(matching.SHIPPED.weights, 5.0, 0.5))
+
+
 def test_bands_once_a_list(spark):
     """Band keys are worked out once a distinct list of ingredients: below the hash family there is an aggregate of lists."""
     sets = spark.range(300).select(F.col("id").cast("string").alias("id"), F.array(*[F.concat(F.lit(f"t{j}"), (F.col("id") % 3).cast("string")) for j in range(4)], F.lit("z")).alias("ingredient_set"))
