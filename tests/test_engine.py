@@ -325,3 +325,19 @@ def test_distinct_names_meet(spark):
 
     plan = name_similarities(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan[plan.index("Join Inner") :].count("Aggregate [") == 2
+
+
+def test_alternatives_in_tiles(spark):
+    """One category of many products: those of every pair, and no task takes the whole category."""
+    n = 2500
+    p = spark.range(n).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit("cream").alias("category"))
+    every = p.select(F.col("id").alias("product_id"), F.explode(F.array(F.lit("ingredient_safety"), F.lit("labor"))).alias("axis"), (F.substring("id", 2, 9).cast("int") % 50).cast("double").alias("representative"))
+    every = every.withColumn("representative", F.when(F.col("axis") == "labor", 50 - F.col("representative")).otherwise(F.col("representative")))
+    out = catalog.alternatives(p, every)
+    got = out.groupBy(F.array_join("cleaner", ",").alias("c"), F.array_join("tradeoffs", ",").alias("t")).agg(F.count("*").alias("n"), F.count_distinct("product_id", "alt_id").alias("d")).collect()
+    pairs = sum((n // 50) ** 2 for a in range(50) for b in range(50) if a > b)
+    far = sum((n // 50) ** 2 for a in range(50) for b in range(50) if a - b >= 5)
+    assert {(r.c, r.t): (r.n, r.d) for r in got} == {("ingredient_safety", "labor"): (far, far), ("", ""): (pairs - far, pairs - far)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join [" in x and "alt_id" in x]
+    assert joins and all("_l#" in x and "_r#" in x for x in joins)
