@@ -341,3 +341,19 @@ def test_alternatives_in_tiles(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join [" in x and "alt_id" in x]
     assert joins and all("_l#" in x and "_r#" in x for x in joins)
+
+
+def test_sharing_makes_each_pair_once(spark):
+    """Pairs that share any key, once each without a step that finds equal ones; brands, barcodes and lists may be absent."""
+    row = lambda i: (f"i{i:03}", [None, "Brand#1", "Brand#2", "Other"][i % 4], ["red bolt", "red ring SPF 30", "blue bolt"][i % 3], f"{i % 7:014}" if i % 3 == 0 else None, [f"x{j}" for j in range(i % 5, 4 + i % 5 + i % 4)], 1.0, "ml", i, f"i{i:03}")
+    items = spark.createDataFrame([row(i) for i in range(90)], "id string, brand string, name string, gtin string, ingredients array<string>, size_value double, size_unit string, ord int, product_id string")
+    brands = spark.createDataFrame([("Brand#1", "Brand#1", ["other"], 0)], "id string, name string, aliases array<string>, ord int")
+    c = blocking.prepared(items, brands).cache()
+    keys = {r.id: set(r["keys"]) for r in c.collect()}
+    want = sorted((x, y) for x in keys for y in keys if x != y and keys[x] & keys[y])
+    got = lambda df: sorted((r.a, r.b) for r in df.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect())
+    assert got(blocking.sharing(c, [])) == want and len(want) > 1000
+    out = blocking.sharing(c, [], ordered=True)
+    assert got(out) == [(x, y) for x, y in want if x < y]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
