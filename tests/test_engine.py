@@ -357,3 +357,12 @@ def test_sharing_makes_each_pair_once(spark):
     assert got(out) == [(x, y) for x, y in want if x < y]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_negatives_are_drawn_without_sorting_pairs(spark):
+    """The least hash is kept in place: pairs go into an aggregate of longs, neither sorted nor moved."""
+    c = blocking.prepared(a.items(spark, DATA), a.brands(spark, DATA))
+    plan = training.labeled_sightings(c)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "partial_min" in plan and "min_by" not in plan
+    n = blocking.numbered(c).select("number", "id").collect()
+    assert sorted(r.number for r in n) == list(range(len(n))) and len({r.id for r in n}) == len(n)
