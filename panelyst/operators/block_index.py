@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocking import brand_word_keyed, keyed
-from .graph import shared_folder
-from .matching import SHIPPED, Model, brand_words_suffice, resolve
+from .graph import kept, shared_folder
+from .matching import SHIPPED, Model, brand_words_suffice, hits_by_names, hits_without_names, name_members, name_pairs, name_words_of, named, names_lead, names_of, resolve
 
 
 class BlockIndex:
@@ -18,6 +18,9 @@ class BlockIndex:
 
     Keys are those of resolve(): barcodes, brand and first word, ingredient bands, and brands, which meet by name words
     wherever the model lets them. A key table's bucket holds whole keys, sorted.
+
+    Where names_lead there are also ``<name>_names`` and ``<name>_members``, bucketed by name_id, and ``<name>_words``, bucketed by
+    key: each name of a brand once, the entries that have it, and its words. resolve() then goes from names to entries.
     """
 
     def __init__(self, spark: SparkSession, name: str, model: Model = SHIPPED):
@@ -37,6 +40,11 @@ class BlockIndex:
         its bucket."""
         self._save(catalog, "entries", "id", buckets)
         self._save(self._keyed(self.entries()).select("key", F.col("id").alias("entry_id")), "keys", "key", buckets)
+        if names_lead(self.model):
+            theirs = named(self.entries())
+            self._save(names_of(theirs), "names", "name_id", buckets)
+            self._save(name_members(theirs), "members", "name_id", buckets)
+            self._save(name_words_of(self._table("names")).withColumnRenamed("id", "b"), "words", "key", buckets)
         return self
 
     def _save(self, df: DataFrame, table: str, by: str, buckets: int) -> None:
@@ -46,7 +54,10 @@ class BlockIndex:
         df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
 
     def entries(self) -> DataFrame:
-        return self.spark.table(f"{self.name}_entries")
+        return self._table("entries")
+
+    def _table(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}")
 
     def candidates(self, items: DataFrame) -> DataFrame:
         """(id, entry_id): distinct entries that share a key with a prepared item; only the items' keys are moved."""
@@ -55,4 +66,12 @@ class BlockIndex:
 
     def resolve(self, items: DataFrame) -> DataFrame:
         """What matching.resolve() gives for the items and the catalog of the index."""
-        return resolve(items, self.entries(), self.model, pairs=self.candidates(items))
+        if not names_lead(self.model):
+            return resolve(items, self.entries(), self.model, pairs=self.candidates(items))
+        mine = named(items)
+        names = kept(names_of(mine), "names")
+        words = name_words_of(names).withColumnRenamed("id", "a")
+        pairs = words.join(self._table("words"), ["key", "word"]).select("a", "b").distinct()
+        by_name = kept(name_pairs(names, self._table("names"), self.model, pairs), "name-pairs")
+        found = hits_by_names(name_members(mine), self._table("members"), by_name, self.model)
+        return resolve(items, self.entries(), self.model, found=found.unionByName(hits_without_names(items, self.entries(), self.model)))

@@ -361,7 +361,9 @@ def test_sharing_makes_each_pair_once(spark):
 
 def test_negatives_are_drawn_without_sorting_pairs(spark):
     """The least hash is kept in place: pairs go into an aggregate of longs, neither sorted nor moved."""
-    c = blocking.prepared(a.items(spark, DATA), a.brands(spark, DATA))
+    from panelyst.plans import adapters as a
+
+    c = graph.kept(blocking.prepared(a.items(spark, DATA), a.brands(spark, DATA)), "prepared")
     plan = training.labeled_sightings(c)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "partial_min" in plan and "min_by" not in plan
     n = blocking.numbered(c).select("number", "id").collect()

@@ -37,6 +37,10 @@ def test_index_resolves_like_the_whole_catalog(spark):
     got = {r.id: (r.product_id, round(r.confidence, 9), r.ambiguous) for r in index.resolve(seen).collect()}
     want = {r.id: (r.product_id, round(r.confidence, 9), r.ambiguous) for r in matching.resolve(seen, catalog).collect()}
     assert got == want and len(want) > 100
+    # names lead: each stands once in the index, and the keys of items are not read
+    plan = index.resolve(seen)._jdf.queryExecution().executedPlan().toString()
+    assert "blocks_members" in plan and "blocks_keys" not in plan
+    assert index._table("names").count() < index.entries().count()
 
 
 def test_index_moves_only_the_batch(spark):
