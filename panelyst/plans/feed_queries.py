@@ -162,7 +162,7 @@ ASIN = "upper(substr(md5('asin' || p_partkey), 1, 10))"
 
 def _product_pages(spark, d) -> DataFrame:
     """part as product pages of two shops, and pages of neither."""
-    p = a.products(spark, d)
+    p = a.dealt(a.products(spark, d), "ord")
     k, name, brand = F.col("ord"), F.col("display_name"), F.regexp_replace("brand_id", "#", "")
     esc = lambda c: F.regexp_replace(c, "&", "&amp;")
     listed = F.array_join("ingredients", ", ")

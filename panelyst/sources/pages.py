@@ -163,7 +163,8 @@ def candidates(html: Column, site: Column) -> Column:
 
         return pd.Series([one(p, s) for p, s in zip(pages, sites, strict=True)], dtype="object")
 
-    return F.from_json(apply(html, site), CANDIDATES)
+    # taken for non-deterministic, so that filters on it stay above and no page is parsed twice
+    return F.from_json(apply.asNondeterministic()(html, site), CANDIDATES)
 
 
 def ld_nodes(scripts: Column) -> Column:

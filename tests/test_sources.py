@@ -106,3 +106,13 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.id: r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got["s1"].product_id == "p1" and got["s2"].product_id is None and not got["s2"].cosmetic
+
+
+def test_pages_are_parsed_once_and_in_many_tasks(spark):
+    """A filter on what is parsed stays above the parser, and a small table's pages aren't one task's work."""
+    from panelyst.plans.feed_queries import page_sightings, sighting_items
+
+    for query in (page_sightings, sighting_items):
+        df = query(spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and df.rdd.getNumPartitions() > 4
