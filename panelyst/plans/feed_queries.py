@@ -30,7 +30,7 @@ ANSWER = f"""answer AS (
 
 def _landed(spark, d) -> DataFrame:
     """part as landed answers: most found, of eleven one not found, one broken and one with a wrong type."""
-    p, k = a.table(spark, d, "part"), F.col("p_partkey")
+    p, k = a.dealt(a.table(spark, d, "part"), "p_partkey"), F.col("p_partkey")
     null = F.lit(None).cast("string")
     code = F.when(k % 7 == 0, "").otherwise(F.lpad(k.cast("string"), 13, "0"))
     product = F.struct(

@@ -116,3 +116,10 @@ def test_pages_are_parsed_once_and_in_many_tasks(spark):
         df = query(spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and df.rdd.getNumPartitions() > 4
+
+
+def test_landed_answers_are_dealt(spark):
+    """A small table's answers are made and parsed in many tasks."""
+    from panelyst.plans.feed_queries import _landed
+
+    assert _landed(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
