@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelyst.operators import blocking, matching
+from panelyst.operators import blocking, catalog, matching
 from panelyst.plans import feed_queries, matching_queries  # noqa: F401
 from panelyst.plans.catalog_queries import QUERIES
 
@@ -25,3 +25,17 @@ def test_pairs_look_up_what_names_say(spark, monkeypatch):
     assert len(want) > 300 and shown(matching.every_scored_pair(c)) == want
     monkeypatch.setattr(matching, "TABLED", 2)
     assert shown(matching.every_scored_pair(c)) == want
+
+
+def test_shelves_are_made_without_a_row_a_pair(spark, monkeypatch):
+    """Each product's alternatives come from the beginning of its category's run; they are those of top_alternatives."""
+    monkeypatch.setattr(catalog, "SHELF_BLOCK", 3)
+    rows = [(f"p{i:02}", "ab"[i % 2] if i < 58 else None, [None, 10.0, 70.0][i % 3] if i % 5 else float(i), float(i * 7 % 60) if i % 4 else None) for i in range(60)]
+    products = spark.createDataFrame([r[:2] for r in rows], "id string, category string")
+    every = spark.createDataFrame([(r[0], axis, v) for r in rows for axis, v in zip(("ingredient_safety", "labor"), r[2:], strict=True)], "product_id string, axis string, representative double")
+    for most in (None, 4):
+        got = catalog.shelf_catalog(products, every, most).collect()
+        flat = sorted(str((r.product_id, *a)) for r in got for a in r.alternatives)
+        assert flat == sorted(str(tuple(r)) for r in catalog.top_alternatives(products, every, most).collect()) and len(flat) > 100
+        assert all(r.n == len(r.alternatives) and [a.place for a in r.alternatives] == list(range(1, r.n + 1)) for r in got)
+    assert "explode(sequence(1" not in plan(QUERIES["shelf_catalog"](spark, DATA))
