@@ -99,13 +99,18 @@ def band_label(score: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv]), verdict_band(score)), F.lit("Unknown"))
 
 
-def hazard_dictionary(spark: SparkSession) -> DataFrame:
-    """(key, hazard, category, penalty); of entries with one key the later stands."""
+def hazard_keys() -> dict[str, tuple[str, str, int]]:
+    """Hazard, category and penalty by normalised name; of entries with one name the later stands."""
     keys = {}
     for name, category, synonyms in HAZARDS:
         for s in synonyms:
             keys["".join(ch for ch in s.lower() if ch.isascii() and ch.isalnum())] = (name, category, PENALTY[category])
-    return spark.createDataFrame([(k, *v) for k, v in keys.items()], "key string, hazard string, category string, penalty int")
+    return keys
+
+
+def hazard_dictionary(spark: SparkSession) -> DataFrame:
+    """(key, hazard, category, penalty)."""
+    return spark.createDataFrame([(k, *v) for k, v in hazard_keys().items()], "key string, hazard string, category string, penalty int")
 
 
 def hazard_matches(lists: DataFrame) -> DataFrame:
@@ -114,9 +119,10 @@ def hazard_matches(lists: DataFrame) -> DataFrame:
     lists: product_id, ingredients. Allergens share 30 points in their order, so later ones may cost less or nothing.
     """
     each = lists.select("product_id", F.posexplode("ingredients").alias("pos", "raw")).withColumn("ingredient", js_trim(F.col("raw"))).where("ingredient <> ''")
-    first = each.withColumn("key", normalize_ingredient(F.col("ingredient"))).where("key <> ''").groupBy("product_id", "key").agg(F.min(F.struct("pos", "ingredient")).alias("f"))
-    # the dictionary has some fifty rows
-    hit = first.join(F.broadcast(hazard_dictionary(lists.sparkSession)), "key").select("product_id", "f.pos", "f.ingredient", "hazard", "category", "penalty")
+    # what the dictionary of some fifty rows doesn't know goes before anything is grouped
+    known = each.withColumn("key", normalize_ingredient(F.col("ingredient"))).join(F.broadcast(hazard_dictionary(lists.sparkSession)), "key")
+    first = known.groupBy("product_id", "key", "hazard", "category", "penalty").agg(F.min(F.struct("pos", "ingredient")).alias("f"))
+    hit = first.select("product_id", "f.pos", "f.ingredient", "hazard", "category", "penalty")
     before = Window.partitionBy("product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.when(F.col("category") == "allergen", F.col("penalty"))).over(before), F.lit(0))
     left = F.greatest(F.lit(0), F.least(F.col("penalty"), F.lit(ALLERGEN_CAP) - spent)).cast("int")
@@ -124,12 +130,19 @@ def hazard_matches(lists: DataFrame) -> DataFrame:
 
 
 def hazard_scores(lists: DataFrame) -> DataFrame:
-    """(product_id, score, label, flagged, ingredient_count, summary); products without ingredients have no row."""
-    count = F.size(F.filter(F.transform("ingredients", js_trim), lambda x: x != ""))
-    base = lists.select("product_id", count.alias("ingredient_count")).where("ingredient_count > 0")
-    n = {c: F.count_if(F.col("category") == c).alias(c) for c in PENALTY}
-    sums = hazard_matches(lists).groupBy("product_id").agg(F.sum("penalty").alias("cost"), F.count("*").alias("flagged"), *n.values())
-    out = base.join(sums, "product_id", "left").fillna(0, ["cost", "flagged", *n])
+    """(product_id, score, label, flagged, ingredient_count, summary); products without ingredients have no row.
+
+    A list is judged where it stands: its recognised names are an array of categories, no row each. Allergens that share a cap
+    in their order cost their sum, or the cap.
+    """
+    stated = F.filter(F.transform("ingredients", js_trim), lambda x: x != "")
+    category = F.create_map(*[F.lit(x) for k, (_, c, _) in hazard_keys().items() for x in (k, c)])
+    found = F.filter(F.transform(F.array_distinct(F.transform("stated", normalize_ingredient)), lambda k: F.try_element_at(category, k)), lambda c: c.isNotNull())
+    base = lists.select("product_id", stated.alias("stated")).select("product_id", F.size("stated").alias("ingredient_count"), found.alias("found")).where("ingredient_count > 0")
+    n = {c: F.size(F.filter("found", lambda x: x == c)).cast("long").alias(c) for c in PENALTY}  # noqa: B023
+    out = base.select("product_id", "ingredient_count", F.size("found").cast("long").alias("flagged"), *n.values())
+    cost = sum((F.least(F.lit(ALLERGEN_CAP), F.col(c) * p) if c == "allergen" else F.col(c) * p for c, p in PENALTY.items()), F.lit(0))
+    out = out.withColumn("cost", cost)
     score = js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.col("cost"))))
     said = {"prohibited": " prohibited", "restricted": " restricted", "concern": " of concern", "allergen": " regulated allergen"}
     part = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(t), F.when(F.lit(c == "allergen") & (F.col(c) != 1), "s").otherwise(""))) for c, t in said.items()]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelyst.operators import blocking, catalog, matching
+from panelyst.operators import blocking, catalog, matching, raters
 from panelyst.plans import feed_queries, matching_queries  # noqa: F401
 from panelyst.plans.catalog_queries import QUERIES
 
@@ -39,3 +39,16 @@ def test_shelves_are_made_without_a_row_a_pair(spark, monkeypatch):
         assert flat == sorted(str(tuple(r)) for r in catalog.top_alternatives(products, every, most).collect()) and len(flat) > 100
         assert all(r.n == len(r.alternatives) and [a.place for a in r.alternatives] == list(range(1, r.n + 1)) for r in got)
     assert "explode(sequence(1" not in plan(QUERIES["shelf_catalog"](spark, DATA))
+
+
+def test_ingredient_lists_are_judged_where_they_stand(spark):
+    """No row an ingredient, no grouping; scores and counts are those of hazard_matches."""
+    known = ["Limonene", " d-limonene", "PARFUM", "Retinol", "lilial", "Linalool", "Citral", "Geraniol", "Eugenol", "Coumarin", "Aqua", " ", "--", "Limonene"]
+    rows = [(f"p{i:02}", [known[(i * 5 + j * j) % 14] for j in range(i % 13)] if i % 9 else None) for i in range(40)]
+    lists = spark.createDataFrame(rows, "product_id string, ingredients array<string>")
+    scores = raters.hazard_scores(lists)
+    assert "Generate" not in plan(scores) and "Aggregate" not in plan(scores)
+    want = raters.hazard_matches(lists).groupBy("product_id").agg(F.sum("penalty").alias("cost"), F.count("*").alias("n")).collect()
+    want = {r.product_id: (max(0.0, 100.0 - r.cost), r.n) for r in want}
+    got = {r.product_id: (r.score, r.flagged) for r in scores.collect()}
+    assert len(want) > 20 and got == {p: want.get(p, (100.0, 0)) for p, x in rows if x and any(i.strip() for i in x)}
