@@ -127,10 +127,30 @@ def top_drivers(found: DataFrame, weights: DataFrame) -> DataFrame:
 
 def marginal_effects(every: DataFrame, weights: DataFrame) -> DataFrame:
     """(product_id, axis, effect) of every axis: unavailable, lifts, drags or neutral; lifts where no composite exists yet."""
-    joined = every.join(composites(every, weights).select("product_id", "overall"), "product_id", "left")
-    diff = F.col("representative") - F.col("overall")
-    effect = F.when(F.col("representative").isNull(), "unavailable").when(F.col("overall").isNull(), "lifts").when(F.abs(diff) < 1e-9, "neutral").when(diff > 0, "lifts").otherwise("drags")
-    return joined.select("product_id", "axis", effect.alias("effect"))
+    wide = every.groupBy("product_id").agg(*[F.max(F.when(F.col("axis") == a, F.col("representative"))).alias(a) for a in AXES])
+    return effects_of_axes(wide, weights)
+
+
+def axis_means(rated: DataFrame) -> DataFrame:
+    """(product_id, AXES): the representatives of a product's axes side by side, NULL without ratings; one group a product."""
+    return rated.groupBy("product_id").agg(*[F.avg(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in AXES])
+
+
+def effects_of_axes(wide: DataFrame, weights: DataFrame) -> DataFrame:
+    """marginal_effects of representatives that stand side by side: the composite is made in the row, so pillars need no join with it."""
+    usable = weights.where((F.col("w") > 0) & ~F.isnan("w") & (F.col("w") < float("inf")))
+    # one row
+    both = wide.crossJoin(F.broadcast(usable.agg(*[F.max(F.when(F.col("axis") == a, F.col("w"))).alias(f"w_{a}") for a in AXES])))
+    counts = lambda a, x: F.when(F.col(a).isNotNull() & F.col(f"w_{a}").isNotNull(), x).otherwise(0.0)
+    top = sum((counts(a, F.col(a) * F.col(f"w_{a}")) for a in AXES), F.lit(0.0))
+    overall = top / F.nullif(sum((counts(a, F.col(f"w_{a}")) for a in AXES), F.lit(0.0)), F.lit(0.0))
+
+    def effect(a: str) -> Column:
+        diff = F.col(a) - F.col("overall")
+        return F.when(F.col(a).isNull(), "unavailable").when(F.col("overall").isNull(), "lifts").when(F.abs(diff) < 1e-9, "neutral").when(diff > 0, "lifts").otherwise("drags")
+
+    each = F.array(*[F.struct(F.lit(a).alias("axis"), effect(a).alias("effect")) for a in AXES])
+    return both.withColumn("overall", overall).select("product_id", F.explode(each).alias("e")).select("product_id", "e.axis", "e.effect")
 
 
 def mean_of_pillars(found: DataFrame) -> DataFrame:

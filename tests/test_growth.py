@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelyst.operators import blocking, catalog, matching, raters
+from panelyst.operators import blocking, catalog, matching, raters, scoring
 from panelyst.plans import feed_queries, matching_queries  # noqa: F401
 from panelyst.plans.catalog_queries import QUERIES
 
@@ -52,3 +52,20 @@ def test_ingredient_lists_are_judged_where_they_stand(spark):
     want = {r.product_id: (max(0.0, 100.0 - r.cost), r.n) for r in want}
     got = {r.product_id: (r.score, r.flagged) for r in scores.collect()}
     assert len(want) > 20 and got == {p: want.get(p, (100.0, 0)) for p, x in rows if x and any(i.strip() for i in x)}
+
+
+def test_effects_are_made_in_one_row_a_product(spark):
+    """The query groups ratings once a product and joins no pillar with its composite; effects are those of composites()."""
+    assert plan(QUERIES["marginal_effects"](spark, DATA)).count("MergeJoin") + plan(QUERIES["marginal_effects"](spark, DATA)).count("HashJoin") <= 2
+    values = [None, 10.0, 40.0, 70.0]
+    rows = [(f"p{i}", axis, values[(i >> 2 * k) % 4]) for i in range(256) for k, axis in enumerate(scoring.AXES)]
+    every = spark.createDataFrame(rows, "product_id string, axis string, representative double").withColumn("spread_min", F.lit(None).cast("double")).withColumn("spread_max", F.lit(None).cast("double"))
+    for w in ([1.0, 1.0, 1.0, 1.0], [2.0, 0.0, float("nan"), 1.0], [0.0, 0.0, 0.0, 0.0]):
+        weights = spark.createDataFrame(list(zip(scoring.AXES, w, strict=True)), "axis string, w double")
+        overall = {r.product_id: r.overall for r in scoring.composites(every, weights).collect()}
+        got = {(r.product_id, r.axis): r.effect for r in scoring.marginal_effects(every, weights).collect()}
+        for p, axis, v in rows:
+            o = overall.get(p)
+            want = "unavailable" if v is None else "lifts" if o is None else "neutral" if abs(v - o) < 1e-9 else "lifts" if v > o else "drags"
+            assert got[p, axis] == want
+        assert len(got) == len(rows)
