@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelyst.operators import blocking, catalog, matching, raters, scoring
+from panelyst.operators import blocking, catalog, graph, matching, raters, scoring
 from panelyst.plans import feed_queries, matching_queries  # noqa: F401
 from panelyst.plans.catalog_queries import QUERIES
 
@@ -69,3 +69,12 @@ def test_effects_are_made_in_one_row_a_product(spark):
             want = "unavailable" if v is None else "lifts" if o is None else "neutral" if abs(v - o) < 1e-9 else "lifts" if v > o else "drags"
             assert got[p, axis] == want
         assert len(got) == len(rows)
+
+
+def test_components_send_no_table_of_nodes_through_the_driver(spark, monkeypatch):
+    plans, write = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, label: plans.append(plan(df)) or write(df, label))
+    out = QUERIES["clusters_by_code"](spark, DATA)
+    assert sum("SortMergeJoin" in x for x in plans) > 1 and not any("Broadcast" in x for x in [*plans, plan(out)])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40) if i % 10], "a long, b long")
+    assert {r.node: r.root for r in graph.connected(edges).collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 41)}
