@@ -1,8 +1,11 @@
+import gc
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelyst.llm import decontamination as dc
@@ -314,6 +317,53 @@ def test_blocks_change_nothing(monkeypatch):
     assert all((a == b).all() for a, b in zip(textscan.word_hashes(values, offsets), words, strict=True))
 
 
+def _peak(run):
+    """Result of run(), and the most bytes of arrays and hash tables that it had at once."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_chunk_follows_its_distinct_ngrams():
+    """32 blocks of the same n-grams: neither their lists nor their places are held for all blocks at once."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(97, 123, (300, 7), np.uint8)
+    texts = [pool[rng.integers(0, len(pool), 600)].tobytes().decode() for _ in range(2000)]
+    table = pa.table({"text": texts})
+    values, offsets = textscan.text_buffer(table.column(0))
+    want = np.unique(qc.codes(values, offsets))
+    grams, of_all = _peak(lambda: qc.distinct_codes(table, 0))
+    assert (grams == want).all()
+    # what is distinct and its hash table, what waits while it is merged, and a block
+    most = 8 * (3 * len(want) + 4 * max(qc.WAITING, len(want)) + 8 * qc.BLOCK)
+    assert of_all < most, of_all
+    cost = (want % np.uint64(1009)).astype(np.int64)
+    sums, of_sums = _peak(lambda: qc.text_sums(values, offsets, grams, cost))
+    each = (qc.codes(values, offsets) % np.uint64(1009)).astype(np.int64)
+    assert (sums == np.add.reduceat(each, offsets[:-1])).all()
+    assert of_sums < most, of_sums
+
+
+def test_sums_of_odd_texts(monkeypatch):
+    monkeypatch.setattr(qc, "BLOCK", 7)
+    monkeypatch.setattr(qc, "WAITING", 3)
+    rng = random.Random(8)
+    texts = ["", None, *["".join(rng.choice("abé ") for _ in range(rng.randrange(40))) for _ in range(50)], "", "x" * 90, None]
+    table = pa.table({"text": pa.array(texts, pa.string())})
+    values, offsets = textscan.text_buffer(table.column(0))
+    grams, every = qc.distinct_codes(table, 0), qc.codes(values, offsets)
+    assert (grams == np.unique(every)).all()
+    cost = np.arange(len(grams), dtype=np.int64) + 1
+    at = cost[np.searchsorted(grams, every)]
+    assert qc.text_sums(values, offsets, grams, cost).tolist() == [at[a:b].sum() for a, b in zip(offsets, offsets[1:], strict=False)]
+    nothing = pa.table({"text": pa.array(["", None], pa.string())})
+    none = qc.distinct_codes(nothing, 0)
+    assert not len(none) and qc.text_sums(*textscan.text_buffer(nothing.column(0)), none, none.astype(np.int64)).tolist() == [0, 0]
+
+
 def test_copies_of_the_model_change_nothing(spark, monkeypatch):
     docs = odd(spark)
     model = qc.train(docs.limit(20).select("text"))
