@@ -61,20 +61,26 @@ def normalized_ratings(ratings: DataFrame, sources: DataFrame) -> DataFrame:
 RATING_FIELDS = ("ord", "source_id", "source_name", "funding_model", "score", "score_raw", "match_confidence", "match_method", "match_reviewed")
 
 
-def pillars(rated: DataFrame, keep_ratings: bool = True, ends: bool | None = None) -> DataFrame:
+def pillars(rated: DataFrame, keep_ratings: bool = True, ends: bool | None = None, in_order: bool = False) -> DataFrame:
     """(product_id, axis, representative, spread_min, spread_max, n, disagreement, ratings) of axes with ratings.
 
     The mean represents an axis; extremes are NULL below two ratings. Nothing blends axes here. ``ends`` adds first, low and
     high: the first rating, the first of the lowest and the last of the highest, which takes no list of all; it goes
     with the ratings unless it is said.
+
+    Where ratings have ``at``, their place in the table, ties that ``ord`` leaves open go by it; ``in_order`` also sums the mean by
+    it, so that its last digits, and what hangs on them, don't vary with how the table was dealt to tasks.
     """
-    aggs = [F.avg("score").alias("representative"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")]
+    mean = F.avg("score")
+    if in_order:
+        mean = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "score"))), F.lit(0.0), lambda total, x: total + x["score"]) / F.count("*")
+    aggs = [mean.alias("representative"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")]
     ends = keep_ratings if ends is None else ends
     if keep_ratings:
         aggs.append(F.array_sort(F.collect_list(F.struct(*RATING_FIELDS))).alias("ratings"))
     if ends:
-        one, by_score = F.struct(*RATING_FIELDS), F.struct("score", "ord")
-        aggs += [F.min_by(one, F.col("ord")).alias("first"), F.min_by(one, by_score).alias("low"), F.max_by(one, by_score).alias("high")]
+        one, by_score = F.struct(*RATING_FIELDS), F.struct("score", "ord", "source_name", "funding_model")
+        aggs += [F.min_by(one, F.struct("ord", "at") if "at" in rated.columns else F.col("ord")).alias("first"), F.min_by(one, by_score).alias("low"), F.max_by(one, by_score).alias("high")]
     many = F.col("n") > 1
     out = rated.groupBy("product_id", "axis").agg(*aggs)
     return out.select(
@@ -118,8 +124,8 @@ def top_drivers(found: DataFrame, weights: DataFrame) -> DataFrame:
     the first axis wins ties."""
     both = _weighted(found, weights).join(composites(found, weights).select("product_id", "overall"), "product_id")
     diff = F.col("representative") - F.col("overall")
-    moved = both.where(F.abs(diff) >= 0.5).withColumn("magnitude", F.abs(diff) * F.col("w"))
-    # sums in another order differ in their last digits, which would break ties
+    # sums in another order differ in their last digits, which would decide what is half a point, and break ties
+    moved = both.where(F.round(F.abs(diff), 9) >= 0.5).withColumn("magnitude", F.abs(diff) * F.col("w"))
     order = F.struct(F.round("magnitude", 9), -axis_rank(F.col("axis")))
     best = moved.groupBy("product_id").agg(F.max_by(F.struct("axis", F.when(diff > 0, "lifts").otherwise("drags").alias("direction"), "magnitude"), order).alias("b"))
     return best.select("product_id", "b.axis", "b.direction", "b.magnitude")
