@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .blocking import brand_word_keyed, keyed
 from .graph import kept, shared_folder
-from .matching import SHIPPED, Model, brand_words_suffice, hits_by_names, hits_without_names, name_members, name_pairs, name_words_of, named, names_lead, names_of, resolve
+from .matching import SHIPPED, Model, brand_words_suffice, hits_without_names, name_members, name_pairs, name_words_of, named, names_lead, names_of, near_hits, resolve
 
 
 class BlockIndex:
@@ -73,5 +73,5 @@ class BlockIndex:
         words = name_words_of(names).withColumnRenamed("id", "a")
         pairs = words.join(self._table("words"), ["key", "word"]).select("a", "b").distinct()
         by_name = kept(name_pairs(names, self._table("names"), self.model, pairs), "name-pairs")
-        found = hits_by_names(name_members(mine), self._table("members"), by_name, self.model)
-        return resolve(items, self.entries(), self.model, found=found.unionByName(hits_without_names(items, self.entries(), self.model)))
+        others = hits_without_names(items, self.entries(), self.model)
+        return resolve(items, self.entries(), self.model, found=near_hits(name_members(mine), self._table("members"), by_name, others, self.entries(), self.model))
