@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelyst.operators import blocking, graph, matching
+from panelyst.operators import blocking, graph, matching, training
 
 ITEM = "id string, brand string, name string, gtin string, ingredients array<string>, size_value double, size_unit string, ord int, product_id string"
 
@@ -30,3 +30,11 @@ def test_names_are_prepared_once(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(40)], "id int, name string")
     made = graph.kept(blocking.once_each(rows, "name", {"made": F.uuid()}), "made")
     assert made.count() == 40 and made.select("name", "made").distinct().count() == 3
+
+
+def test_training_pairs_are_counted_without_being_drawn(catalog):
+    drawn = training.labeled_sightings(catalog, brandless=1).groupBy("label", F.element_at(F.split("id", "-"), 3).alias("kind")).agg(F.count("*").alias("n"))
+    counted = training.labeled_counts(catalog, brandless=1)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, drawn.collect()))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "_l" not in plan and "FlatMap" not in plan
