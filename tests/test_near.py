@@ -38,3 +38,11 @@ def test_training_pairs_are_counted_without_being_drawn(catalog):
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, drawn.collect()))
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "_l" not in plan and "FlatMap" not in plan
+
+
+def test_tiles_of_large_keys_grow_instead_of_being_copied(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE_ROWS", 2)
+    rows = spark.range(100).selectExpr("'k' AS key", "id")
+    a, b = blocking.tiled(rows, rows, ["key"])
+    assert a.count() == b.count() == 100 * blocking.TILE_BLOCKS
+    assert a.withColumnRenamed("id", "x").join(b, ["key", "_l", "_r"]).select("x", "id").distinct().count() == 10000
